@@ -1,0 +1 @@
+"""No operator of this engine is a stream; new runs are appended as batches (see ``sinks``)."""

@@ -7,6 +7,7 @@ from plumbline.catalog.registry import ORACLES, QUERIES
 MODULES = (
     "audit",
     "gold",
+    "profiling",
 )
 
 for _name in MODULES:

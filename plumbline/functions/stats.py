@@ -59,5 +59,4 @@ def pearson(x: Column, y: Column) -> Column:
     xs = F.when(y.isNotNull(), x)
     ys = F.when(x.isNotNull(), y)
     value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))
-    constant = (F.min(xs) == F.max(xs)) | (F.min(ys) == F.max(ys))
-    return F.when(~constant, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return F.when(value > 1.0, 1.0).when(value < -1.0, -1.0).otherwise(value)

@@ -8,6 +8,10 @@ MODULES = (
     "audit",
     "gold",
     "profiling",
+    "preparation",
+    "evaluation",
+    "defects",
+    "experiments",
 )
 
 for _name in MODULES:

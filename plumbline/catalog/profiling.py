@@ -20,6 +20,7 @@ from plumbline.profile.columns import classify, normalize
 NUMERIC = ("quantity", "price", "discount", "tax", "linenumber", "copied")
 CATEGORICAL = ("flag", "status")
 TARGET = "tax"
+ORDER = ("quantity", "price", "discount", "tax", "linenumber", "flag", "status", "copied")
 
 
 def lines(spark, sf):
@@ -420,8 +421,8 @@ def prof_vif(spark, sf):
     )
 
 
-def long_sql() -> str:
-    """All flags of the line frame with a numeric target, metric by metric."""
+def stats_sql() -> str:
+    """One row of statistics per column of the line frame with a numeric target."""
     parts = []
     for c in (*NUMERIC, *CATEGORICAL):
         number = c in NUMERIC
@@ -447,13 +448,25 @@ def long_sql() -> str:
         zero = (
             f"(select is_zero_inflated from ({SPREAD_SQL.replace('{c}', c)}))" if number else "false"
         )
+        top = (
+            "null::double"
+            if number
+            else f"(select round(100e0 * max(m) / sum(m), 2) from (select count(*) as m from lines where {c} is not null group by {c}))"
+        )
+        outliers = f"(select iqr_outlier_pct from ({SPREAD_SQL.replace('{c}', c)}))" if number else "null::double"
         duplicate = {"quantity": "'copied'", "copied": "'quantity'"}.get(c, "null")
         parts.append(
             f"""select '{c}' as c, {str(number).lower()} as num, count(*) as n_rows, count({c}) as n,
   count(distinct {c}) as k, coalesce(bool_and({fractional}) filter ({c} is not null), false) as whole,
   {corr} as corr, {missing_corr} as mcorr, {skew} as skew, {sequence} as seq, {variation} as cv, {zero} as zero,
-  {duplicate} as dup, '{c}' = '{TARGET}' as target from lines"""
+  {duplicate} as dup, '{c}' = '{TARGET}' as target, {top} as top, {outliers} as outliers, {ORDER.index(c)} as ordinal
+from lines"""
         )
+    return " union all ".join(parts)
+
+
+def long_sql() -> str:
+    """All flags of the line frame, metric by metric."""
     flags = {
         "has_missing": "n < n_rows",
         "is_sequential": "seq",
@@ -482,7 +495,7 @@ def long_sql() -> str:
         f"select 'col:' || c || ':{m}' as metric_key, null::double as num_value, {e} as bool_value from s"
         for m, e in flags.items()
     ] + [f"select 'col:' || c || ':{m}', round({e}, 6), null from s" for m, e in numbers.items()]
-    return f"with {LINES}, s as ({' union all '.join(parts)}) {' union all '.join(rows)}"
+    return f"with {LINES}, s as ({stats_sql()}) {' union all '.join(rows)}"
 
 
 LONG_METRICS = tuple(m for m in ds.FLAG_METRICS if m != "is_multicollinear") + (

@@ -12,6 +12,7 @@ MODULES = (
     "evaluation",
     "defects",
     "experiments",
+    "ingestion",
 )
 
 for _name in MODULES:

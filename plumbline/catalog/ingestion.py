@@ -214,6 +214,13 @@ def text_line_explode(spark, sf):
     )
 
 
+PLANTED = """(select doc_id, replace(text, 'token = ', 'access_token = ') || case doc_id % 9 when 0 then
+  chr(10) || 'AKIA' || upper(substr(md5(cast(doc_id as varchar)), 1, 16)) when 1 then
+  chr(10) || 'use BEARER ' || md5(cast(doc_id as varchar)) when 2 then chr(10) || 'sk-ant-' || md5(cast(doc_id as varchar))
+  when 3 then chr(10) || 'akia' || md5(cast(doc_id as varchar)) when 4 then chr(10) || 'ghp_' ||
+  md5(cast(doc_id as varchar)) || ' xoxb-' || md5(cast(doc_id as varchar)) else '' end as text from documents)"""
+
+
 def secret_sql(source, key, text):
     """Every line of a text column against every pattern."""
     rows = []
@@ -238,6 +245,24 @@ def secret_scan(spark, sf):
     return scan(spark, sf, "documents", "doc_id", "text")
 
 
+@query("secret_scan_planted", secret_sql(PLANTED, "doc_id", "text"))
+def secret_scan_planted(spark, sf):
+    """Documents with tokens of several kinds added by document number."""
+    digest, kind = F.md5(F.col("doc_id").cast("string")), F.col("doc_id") % 9
+    extra = (
+        F.when(kind == 0, F.concat(F.lit("\nAKIA"), F.upper(F.substring(digest, 1, 16))))
+        .when(kind == 1, F.concat(F.lit("\nuse BEARER "), digest))
+        .when(kind == 2, F.concat(F.lit("\nsk-ant-"), digest))
+        .when(kind == 3, F.concat(F.lit("\nakia"), digest))
+        .when(kind == 4, F.concat(F.lit("\nghp_"), digest, F.lit(" xoxb-"), digest))
+        .otherwise("")
+    )
+    text = F.concat(F.replace(F.col("text"), F.lit("token = "), F.lit("access_token = ")), extra)
+    documents = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    lines = secrets.split_lines(documents, "doc_id", "text")
+    return secrets.scan_lines(lines, ["doc_id", "line_no"]).withColumnRenamed("doc_id", "k")
+
+
 @query("secret_scan_pages", secret_sql("pages", "page_id", "html"))
 def secret_scan_pages(spark, sf):
     return scan(spark, sf, "pages", "page_id", "html")
@@ -422,7 +447,7 @@ union all select run_id, 'unkeyable_claim', claim_id from k where subject is nul
 def dq_rules(spark, sf):
     """The rules that need no file list, over one set of claims, verdicts and scores."""
     parsed, bad = nz.parse_lines(claim_lines(spark, sf))
-    keyed = nz.claims_with_keys(parsed)
+    keyed = nz.claims_with_keys(parsed).persist()
     code = F.when(F.col("o_orderstatus") == "F", "EVIDENCE_ACCURATE").otherwise("EVIDENCE_MISSTATED")
     layer1 = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("run_id"),

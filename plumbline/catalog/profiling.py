@@ -1,6 +1,6 @@
 """Profiler queries.
 
-The profiled dataset is ``lineitem`` with values removed by a hash of the row, a copied column and
+The profiled dataset is ``lineitem`` with values removed by a rule on its keys, a copied column and
 a small numeric target; ``orders`` serves for identifiers and class targets.
 """
 
@@ -10,8 +10,7 @@ from itertools import combinations, permutations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.registry import query, sql_hash32, table
-from plumbline.functions.hashing import hash32
+from plumbline.catalog.registry import query, table
 from plumbline.profile import associations as assoc
 from plumbline.profile import dataset as ds
 from plumbline.profile import univariate as uni
@@ -24,8 +23,8 @@ ORDER = ("quantity", "price", "discount", "tax", "linenumber", "flag", "status",
 
 
 def lines(spark, sf):
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
-    gap, price_gap = hash32(key) % 100, hash32(key, "p") % 100
+    gap = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17) % 100
+    price_gap = (F.col("l_orderkey") * 13 + F.col("l_partkey") * 7 + F.col("l_linenumber")) % 100
     return (
         table(spark, sf, "lineitem")
         .withColumns({"_gap": gap, "_pgap": price_gap})
@@ -42,12 +41,12 @@ def lines(spark, sf):
     )
 
 
-KEY_SQL = "(l_orderkey || '-' || l_partkey)"
-LINES = f"""lines as (select case when {sql_hash32(KEY_SQL)} % 100 >= 12 then l_quantity end as quantity,
-  case when {sql_hash32(KEY_SQL, "p")} % 100 >= 45 then l_extendedprice end as price, l_discount as discount,
-  l_tax as tax, l_linenumber as linenumber,
-  case when {sql_hash32(KEY_SQL)} % 100 >= 6 then l_returnflag end as flag, l_linestatus as status,
-  case when {sql_hash32(KEY_SQL)} % 100 >= 12 then l_quantity end as copied from lineitem)"""
+GAP = "(l_orderkey * 31 + l_partkey * 17) % 100"
+PRICE_GAP = "(l_orderkey * 13 + l_partkey * 7 + l_linenumber) % 100"
+LINES = f"""lines as (select case when {GAP} >= 12 then l_quantity end as quantity,
+  case when {PRICE_GAP} >= 45 then l_extendedprice end as price, l_discount as discount,
+  l_tax as tax, l_linenumber as linenumber, case when {GAP} >= 6 then l_returnflag end as flag, l_linestatus as status,
+  case when {GAP} >= 12 then l_quantity end as copied from lineitem)"""
 
 
 def per_column(template: str, names) -> str:
@@ -106,7 +105,7 @@ def prof_quartiles_outliers(spark, sf):
     frame = normalize(lines(spark, sf).select(*NUMERIC))
     columns = classify(frame)
     values = uni.numeric_values(frame, columns)
-    freq = uni.numeric_frequencies(uni.value_frequencies(frame, columns))
+    freq = uni.numeric_frequencies(uni.value_frequencies(frame, columns)).persist()
     return rounded(uni.outlier_profile(uni.spread(values, freq)))
 
 
@@ -328,9 +327,7 @@ def prof_cramers(spark, sf):
 )
 def prof_corr_matrix(spark, sf):
     frame = normalize(lines(spark, sf).select(*NUMERIC))
-    means = uni.moments(frame, classify(frame)).select("column_name", "mean").collect()
-    pairs = assoc.pair_correlations(frame, NUMERIC, {r["column_name"]: r["mean"] for r in means})
-    return rounded(pairs)
+    return rounded(assoc.pair_correlations(frame, NUMERIC, uni.means(frame, NUMERIC)))
 
 
 GAPPY = ("quantity", "price", "flag", "copied")
@@ -386,7 +383,7 @@ def prof_missing_target(spark, sf):
 )
 def prof_duplicate_columns(spark, sf):
     frame = normalize(lines(spark, sf).select(*NUMERIC))
-    pairs = assoc.pair_correlations(frame, NUMERIC).collect()
+    pairs = assoc.pair_correlations(frame, NUMERIC, uni.means(frame, NUMERIC)).collect()
     found = ds.duplicate_columns(frame, classify(frame), pairs)
     return spark.createDataFrame(list(found.items()), "column_name string, duplicate_of string")
 
@@ -407,7 +404,7 @@ union all select 'discount', round((1 - ab * ab) / det, 6), (1 - ab * ab) / det
 def prof_vif(spark, sf):
     frame = normalize(lines(spark, sf).select(*VIF_COLUMNS))
     columns = classify(frame)
-    stats = {r["column_name"]: r.asDict() for r in uni.moments(frame, columns).collect()}
+    stats = {c: {"mean": m} for c, m in uni.means(frame, VIF_COLUMNS).items()}
     freq = uni.numeric_frequencies(uni.value_frequencies(frame, columns))
     medians = uni.exact_quantiles(uni.numeric_values(frame, columns), freq, (0.5,))
     for row in medians.collect():

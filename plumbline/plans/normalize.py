@@ -469,7 +469,8 @@ def normalize_runs(artifacts: RunArtifacts) -> dict[str, DataFrame]:
         "manual_dataset_corrections_json",
         F.when(value_type(corrections) == "null", "[]").otherwise(canonical_json(corrections)),
     )
-    keyed = claims_with_keys(parsed["claims.jsonl"].join(arms.select("run_id", "dataset"), "run_id"))
+    # Read by five of the tables below; parsed once.
+    keyed = claims_with_keys(parsed["claims.jsonl"].join(arms.select("run_id", "dataset"), "run_id")).persist()
     quality.append(unkeyable(keyed))
 
     def simple(artifact, table, *extra):

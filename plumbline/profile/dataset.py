@@ -161,7 +161,8 @@ def column_statistics(df: DataFrame, target: str, entity: str = "dataset") -> Da
         add(uni.frequency_summary(frequencies).drop("n"))
         numeric = uni.numeric_frequencies(frequencies)
         if numeric is not None:
-            add(uni.outlier_profile(uni.spread(uni.numeric_values(df, columns), numeric)))
+            sizes = {c: stats[c].get("nunique", 0) for c in columns.numeric}
+            add(uni.outlier_profile(uni.spread(uni.numeric_values(df, columns), numeric, sizes)))
             add(uni.sequential(frequencies))
         for frame in frequencies.values():
             frame.unpersist()

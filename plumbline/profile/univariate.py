@@ -32,6 +32,12 @@ def numeric_values(df: DataFrame, columns: Columns) -> DataFrame:
     )
 
 
+def means(df: DataFrame, names: Sequence[str]) -> dict[str, float | None]:
+    """Column means, for centring."""
+    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in names]).first()
+    return row.asDict()
+
+
 def moments(df: DataFrame, columns: Columns) -> DataFrame:
     """One row per column.
 
@@ -181,30 +187,38 @@ def _quantiles_by_bracket(values: DataFrame, freq: DataFrame, probs: Sequence[fl
     )
 
 
+def distinct_estimates(values: DataFrame) -> dict[str, int]:
+    """Estimated distinct values per column (about 5 % off): one row per column."""
+    counts = values.groupBy("column_name").agg(F.approx_count_distinct("value").alias("k"))
+    return {r["column_name"]: r["k"] for r in counts.collect()}
+
+
 def exact_quantiles(
-    values: DataFrame, freq: DataFrame, probs: Sequence[float], in_memory: int = IN_MEMORY_DISTINCT
+    values: DataFrame,
+    freq: DataFrame,
+    probs: Sequence[float],
+    in_memory: int = IN_MEMORY_DISTINCT,
+    sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """Interpolated quantiles per column: (column_name, prob, quantile).
 
-    Columns of at most ``in_memory`` distinct values (counted first) use the built-in percentile;
-    larger ones the bracket method. Both are exact; the bracket method needs columns of well over
-    ``SKETCH_ACCURACY`` rows, which ``in_memory`` guarantees.
+    Columns of at most ``in_memory`` distinct values (``sizes``, else estimated first) use the
+    built-in percentile; larger ones the bracket method. Both are exact; the bracket method needs
+    columns of well over ``SKETCH_ACCURACY`` rows, which ``in_memory`` guarantees.
     """
-    sizes = {r["column_name"]: r["k"] for r in freq.groupBy("column_name").agg(F.count("*").alias("k")).collect()}
-    small = [c for c, k in sizes.items() if k <= in_memory]
+    sizes = distinct_estimates(values) if sizes is None else sizes
     large = [c for c, k in sizes.items() if k > in_memory]
-    parts = []
-    if small:
-        chosen = freq if not large else freq.where(F.col("column_name").isin(small))
-        parts.append(_quantiles_in_memory(chosen, probs))
-    if large:
-        wanted = F.col("column_name").isin(large)
-        parts.append(_quantiles_by_bracket(values.where(wanted), freq.where(wanted), probs))
-    return union_all(parts or [_quantiles_in_memory(freq, probs)])
+    if not large:
+        return _quantiles_in_memory(freq, probs)
+    wanted = F.col("column_name").isin(large)
+    bracketed = _quantiles_by_bracket(values.where(wanted), freq.where(wanted), probs)
+    if len(large) == len(sizes):
+        return bracketed
+    return _quantiles_in_memory(freq.where(~wanted), probs).unionByName(bracketed)
 
 
-def quartiles(values: DataFrame, freq: DataFrame, in_memory: int = IN_MEMORY_DISTINCT) -> DataFrame:
-    q = exact_quantiles(values, freq, (0.25, 0.5, 0.75), in_memory)
+def quartiles(values: DataFrame, freq: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    q = exact_quantiles(values, freq, (0.25, 0.5, 0.75), sizes=sizes)
     return q.groupBy("column_name").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(label)
@@ -213,13 +227,13 @@ def quartiles(values: DataFrame, freq: DataFrame, in_memory: int = IN_MEMORY_DIS
     )
 
 
-def spread(values: DataFrame, freq: DataFrame) -> DataFrame:
+def spread(values: DataFrame, freq: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
     """Quartiles, share of zeros and counts outside the whiskers, from the frequency table."""
     low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     outside = (F.col("value") < low) | (F.col("value") > high)
     return (
-        freq.join(F.broadcast(quartiles(values, freq)), "column_name")
+        freq.join(F.broadcast(quartiles(values, freq, sizes)), "column_name")
         .groupBy("column_name", "q1", "median", "q3")
         .agg(
             F.sum("n").alias("n"),

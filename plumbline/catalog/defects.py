@@ -11,9 +11,6 @@ from plumbline.operators import corruption as cor
 from plumbline.operators import sampling
 from plumbline.plans import audit
 
-PRICE = "orders"
-
-
 def priced_orders(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
@@ -70,7 +67,11 @@ def inject_report(spark, sf):
     )
 
 
-DEFECTS = (("constant", "col:a:is_constant"), ("leakage", "col:b:leakage_suspect"), ("high_missing", "col:c:has_high_missing"))
+DEFECTS = {
+    "constant": "col:a:is_constant",
+    "leakage": "col:b:leakage_suspect",
+    "high_missing": "col:c:has_high_missing",
+}
 
 
 def recall_inputs(spark, sf):
@@ -93,8 +94,7 @@ def recall_inputs(spark, sf):
         .join(owner.drop("o_orderpriority"), "claim_id")
     )
     claims = audit.derived_severity(owner.drop("o_orderpriority"), evidence, ["run_id", "claim_id"])
-    expected = spark.createDataFrame(list(DEFECTS), "defect string, expected_metric_key string")
-    return evidence, claims.withColumnRenamed("rule_derived_severity", "severity"), expected
+    return evidence, claims.withColumnRenamed("rule_derived_severity", "severity")
 
 
 MATCH_SQL = """with e as (select o_custkey as run_id, l_orderkey as claim_id, case l_linenumber when 1 then 'constant'
@@ -106,7 +106,7 @@ m as (select distinct run_id, defect, e.claim_id from e join c on e.claim_id = c
 
 @query("defect_matches", f"{MATCH_SQL} select run_id, defect, claim_id from m")
 def defect_matches(spark, sf):
-    return cor.defect_matches(*recall_inputs(spark, sf))
+    return cor.defect_matches(*recall_inputs(spark, sf), DEFECTS)
 
 
 @query(
@@ -118,18 +118,19 @@ from customer cross join (values ('constant', 'col:a:is_constant'), ('leakage',
 left join n on n.run_id = c_custkey and n.defect = d.defect""",
 )
 def defect_recall(spark, sf):
-    evidence, claims, expected = recall_inputs(spark, sf)
-    return cor.defect_recall(cor.defect_matches(evidence, claims, expected), runs(spark, sf), expected)
+    evidence, claims = recall_inputs(spark, sf)
+    return cor.defect_recall(cor.defect_matches(evidence, claims, DEFECTS), runs(spark, sf), DEFECTS)
 
 
 @query(
     "sample_k",
-    """select p_partkey, p_name from part qualify row_number() over (order by md5(p_partkey || '|sample42'), p_partkey) <= 500""",
+    """select p_partkey, p_name from part
+qualify row_number() over (order by md5(p_partkey || '|sample42'), p_partkey) <= count(*) over () // 10""",
 )
 def sample_k(spark, sf):
-    """A sample of exactly 500 rows; the size is the feature."""
-    k = 500 if table(spark, sf, "part").count() >= 500 else 100
-    return sampling.sample_exact(table(spark, sf, "part"), "p_partkey", k, 42).select("p_partkey", "p_name")
+    """A sample of exactly a tenth of the parts."""
+    parts = table(spark, sf, "part")
+    return sampling.sample_exact(parts, "p_partkey", parts.count() // 10, 42).select("p_partkey", "p_name")
 
 
 SENTINEL = """s as (select p_partkey, case when p_size = 50 then 365243 else p_size end as days from part)"""

@@ -15,6 +15,7 @@ from plumbline.functions.hashing import keyed_md5
 
 HASH_BUCKET_DIGITS = 3
 CUTS = 63
+BROADCAST_GROUPS = 10_000
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], key: str, output: str, salt: str = "") -> DataFrame:
@@ -38,15 +39,18 @@ def hash_rank(df: DataFrame, group: Sequence[str], key: str, output: str, salt:
 def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
     """Adds ``cum_{c}`` (inclusive running total by ascending ``order``) and ``all_{c}`` per group.
 
-    ``df`` has one row per group and order value.
+    ``df`` has one row per group and order value. The cut points are broadcast for at most
+    ``BROADCAST_GROUPS`` groups (counted first); for more, Spark joins them like any table.
     """
+    few = df.select(*group).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda frame: frame)
     grid = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     cuts = df.groupBy(*group).agg(
         F.array_distinct(F.percentile_approx(order, F.array(*[F.lit(g) for g in grid]), F.lit(1000))).alias("_cuts"),
         *[F.sum(c).alias(f"all_{c}") for c in sums],
     )
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    tagged = df.join(F.broadcast(cuts), list(group)).withColumn("_bucket", bucket).drop("_cuts")
+    tagged = df.join(small(cuts), list(group)).withColumn("_bucket", bucket).drop("_cuts")
     # At most CUTS + 1 rows per group.
     totals = tagged.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
     by_bucket = Window.partitionBy(*group).orderBy("_bucket")
@@ -57,7 +61,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Sequen
     result = tagged
     for c in sums:
         result = result.withColumn(f"_w_{c}", F.sum(c).over(inside))
-    result = result.join(F.broadcast(offsets), [*group, "_bucket"])
+    result = result.join(small(offsets), [*group, "_bucket"])
     for c in sums:
         result = result.withColumn(f"cum_{c}", F.col(f"_w_{c}") + F.col(f"_o_{c}"))
     return result.drop("_bucket", *[f"_w_{c}" for c in sums], *[f"_o_{c}" for c in sums])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import normal
 from plumbline.functions.stats import pearson
+from plumbline.operators.features import vocabulary
 from plumbline.operators.sampling import smallest_by_hash
 
 # Names and sizes of the planted defects.
@@ -59,12 +61,12 @@ def leak_numeric(df: DataFrame, target: str, key: str) -> DataFrame:
 def leak_label(df: DataFrame, target: str, key: str) -> DataFrame:
     """Adds the label with 0.5 % of the rows (at least one) moved to the next class."""
     rows = df.count()
-    classes = sorted(r[0] for r in df.select(target).distinct().collect())
+    classes = vocabulary(df, target)
     if len(classes) < 2:
         raise ValueError("a label leak needs two classes")
     following = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, classes[(i + 1) % len(classes)])])
     flipped = smallest_by_hash(df, key, max(1, round(rows * FLIP_SHARE)), "flip")
-    return df.withColumn(LEAKED, F.when(flipped, following[F.col(target)]).otherwise(F.col(target)))
+    return df.withColumn(LEAKED, F.when(flipped, following[F.col(target).cast("string")]).otherwise(F.col(target).cast("string")))
 
 
 def plant_missing(df: DataFrame, key: str) -> DataFrame:
@@ -84,9 +86,9 @@ def plant_defects(df: DataFrame, target: str, key: str) -> DataFrame:
 def corruption_report(df: DataFrame, target: str) -> DataFrame:
     """The planted defects as measured: distinct values, correlation and missing share."""
     if df.schema[target].dataType.typeName() in ("string", "boolean"):
-        classes = sorted(r[0] for r in df.select(target).distinct().collect())
+        classes = vocabulary(df, target)
         code = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        y, leaked = code[F.col(target)], code[F.col(LEAKED)]
+        y, leaked = code[F.col(target).cast("string")], code[F.col(LEAKED).cast("string")]
     else:
         y, leaked = F.col(target).cast("double"), F.col(LEAKED)
     return df.agg(
@@ -116,21 +118,27 @@ def replace_sentinel(df: DataFrame, column: str, sentinel: float) -> tuple[DataF
     return fixed, audit
 
 
-def defect_matches(evidence: DataFrame, claims: DataFrame, expected: DataFrame) -> DataFrame:
-    """(defect, claim) for critical findings that cite the expected key of a planted defect."""
-    cited = evidence.select("run_id", "claim_id", "metric_key").join(
-        F.broadcast(expected.select("defect", F.col("expected_metric_key").alias("metric_key"))), "metric_key"
+def defect_matches(evidence: DataFrame, claims: DataFrame, expected: Mapping[str, str]) -> DataFrame:
+    """(run, defect, claim) for critical findings that cite the expected key of a planted defect."""
+    defects = F.create_map(*[F.lit(x) for defect, key in expected.items() for x in (key, defect)])
+    cited = (
+        evidence.where(F.col("metric_key").isin(*expected.values()))
+        .select("run_id", "claim_id", defects[F.col("metric_key")].alias("defect"))
+        .distinct()
     )
     critical = claims.where("severity = 'critical'").select("run_id", "claim_id")
-    return cited.select("run_id", "defect", "claim_id").distinct().join(critical, ["run_id", "claim_id"])
+    return cited.join(critical, ["run_id", "claim_id"]).select("run_id", "defect", "claim_id")
 
 
-def defect_recall(matches: DataFrame, runs: DataFrame, expected: DataFrame) -> DataFrame:
+def defect_recall(matches: DataFrame, runs: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     """Whether each planted defect of each run was found, and by how many claims."""
     hits = matches.groupBy("run_id", "defect").agg(F.count("*").alias("matching_claims"))
-    wanted = runs.select("run_id").join(F.broadcast(expected))
+    planted = F.array(
+        *[F.struct(F.lit(d).alias("defect"), F.lit(k).alias("expected_metric_key")) for d, k in expected.items()]
+    )
     return (
-        wanted.join(hits, ["run_id", "defect"], "left")
+        runs.select("run_id", F.inline(planted))
+        .join(hits, ["run_id", "defect"], "left")
         .fillna(0, ["matching_claims"])
         .withColumn("recalled", F.col("matching_claims") > 0)
     )

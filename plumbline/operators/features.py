@@ -124,9 +124,12 @@ def ordinal(column: Column, categories: Sequence[str]) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in categories]), column.cast("string")) - 1, F.lit(-1))
 
 
-def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct labels numbered from zero; the label set of a classification task is small."""
-    labels = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+def label_codes(df: DataFrame, label: str, limit: int = 10_000) -> DataFrame:
+    """Sorted distinct labels numbered from zero; a classification task has at most ``limit`` of them."""
+    found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{label} has more than {limit} classes")
+    labels = sorted(r[0] for r in found)
     kind = df.schema[label].dataType.simpleString()
     return df.sparkSession.createDataFrame(
         [(v, i) for i, v in enumerate(labels)], f"{label} {kind}, code bigint"

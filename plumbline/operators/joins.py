@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 64
+HOT_SHARE = 1 / 200
 SALTS = 32
+TRACKED = 10_000
+
+
+def any_null(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
 
 
 def check_join_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> None:
@@ -30,34 +36,46 @@ def guarded_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(right, list(keys), how)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _hot_keys(left: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[list[int], bool]:
+    """Hashes of the keys that hold more than HOT_SHARE of the rows, and whether NULL keys do.
+
+    One frequent-items sketch over the key columns; at most 1/HOT_SHARE hashes reach the driver.
+    """
+    no_key = any_null(keys)
+    found = left.agg(
+        F.count("*").alias("rows"),
+        F.count_if(no_key).alias("nulls"),
+        F.expr(f"approx_top_k(CASE WHEN NOT ({' OR '.join(f'`{k}` IS NULL' for k in keys)}) "
+               f"THEN xxhash64({', '.join(f'`{k}`' for k in keys)}) END, {TRACKED // 40}, {TRACKED})").alias("top"),
+    ).first()
+    limit = found["rows"] * HOT_SHARE
+    if found["rows"] < min_rows:
+        return [], False
+    return [t["item"] for t in found["top"] if t["item"] is not None and t["count"] > limit], found["nulls"] > limit
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000) -> DataFrame:
     """Left join to a side that is unique by ``keys``, safe when a few keys hold most left rows.
 
-    The at most ``HOT_KEYS`` most frequent keys (an exact count over the key columns only, combined
-    before its shuffle) are spread over ``SALTS`` partitions, and their few right rows are copied to
-    each of them. Rows with a NULL key match nothing and are spread the same way. Every other key
-    holds at most 1/HOT_KEYS of the rows.
+    Keys that hold more than HOT_SHARE of the rows are found first. Their rows, and rows with a NULL
+    key (which match nothing), are spread over ``SALTS`` partitions, and their few right rows are
+    copied to each of them. Without hot keys, or below ``min_rows``, this is a plain join.
     """
     keys = list(keys)
     check_join_columns(left, right, keys)
-    counted = left.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counted.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    hashed = [f.name for f in left.schema.fields if not f.dataType.simpleString().count("map<")]
+    kinds = dict(left.dtypes)
+    right = right.withColumns({k: F.col(k).cast(kinds[k]) for k in keys if dict(right.dtypes)[k] != kinds[k]})
+    hot, hot_nulls = _hot_keys(left, keys, min_rows)
+    if not hot and not hot_nulls:
+        return left.join(right, keys, "left")
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
     spread = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(SALTS))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0).cast("bigint"))
-    )
     zero = F.lit(0).cast("bigint")
-    copies = F.when(F.col("_hot"), F.sequence(zero, zero + (SALTS - 1))).otherwise(F.array(zero))
-    replicated = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return salted.drop("_hot").join(replicated, [*keys, "_salt"], "left").drop("_salt")
+    salted = left.withColumn("_salt", F.when(is_hot | any_null(keys), spread).otherwise(zero))
+    copies = F.when(is_hot, F.sequence(zero, zero + (SALTS - 1))).otherwise(F.array(zero))
+    replicated = right.withColumn("_salt", F.explode(copies))
+    return salted.join(replicated, [*keys, "_salt"], "left").drop("_salt")
 
 
 def enrich_claims(claims: DataFrame, layer1: DataFrame, layer2: DataFrame) -> DataFrame:

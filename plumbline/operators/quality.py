@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import count_where
+from plumbline.operators.joins import any_null
 
 QUALITY_COLUMNS = ("run_id", "rule", "severity", "artifact", "record_key", "message", "details_json")
 
 
-def any_null(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-
-
 def deduplicate(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     """One row per grain: the smallest by the remaining columns, so the winner is always the same.
 

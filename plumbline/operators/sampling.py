@@ -33,8 +33,10 @@ def smallest_by_hash(df: DataFrame, key: str, k: int, salt: str) -> Column:
             remaining -= row["n"]
         else:
             raise ValueError(f"cannot take {k} rows: the source has fewer")
-        if size <= SMALL_BUCKET or width >= 32:
+        if size <= SMALL_BUCKET:
             break
+        if width >= 32:
+            raise ValueError(f"{key} is not unique: {size} rows share one value")
     bucket = df.where(digest.startswith(prefix)).select(digest.alias("d"), F.col(key).alias("k"))
     last = bucket.orderBy("d", "k").limit(remaining).collect()[-1]
     cut = F.lit(last["d"])

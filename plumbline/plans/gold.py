@@ -77,14 +77,12 @@ def layer2_scores(enriched: DataFrame, runs: DataFrame) -> DataFrame:
 
 def detection(defects: DataFrame, runs: DataFrame) -> DataFrame:
     """Planted and detected defects with the columns missed; a NULL outcome counts as neither."""
+    outcomes = (F.count("*").alias("n"), F.sum(F.col("recalled").cast("bigint")).alias("hits"))
+    per_run = defects.groupBy("run_id", "defect", "column_name").agg(*outcomes, F.bool_or(~F.col("recalled")).alias("missed"))
     per_column = (
-        defects.join(runs.select("run_id", "dataset"), "run_id")
+        per_run.join(runs.select("run_id", "dataset"), "run_id")
         .groupBy("dataset", "defect", "column_name")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("recalled").cast("bigint")).alias("hits"),
-            F.bool_or(~F.col("recalled")).alias("missed"),
-        )
+        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.bool_or("missed").alias("missed"))
     )
     return (
         per_column.groupBy("dataset", "defect")
@@ -144,9 +142,8 @@ def base_rates(evidence_refs: DataFrame, runs: DataFrame, dataset: str) -> DataF
     """Largest cited mean of the target per run of one dataset; text that is no number is skipped."""
     target_mean = F.concat(F.lit("col:"), F.col("target_column"), F.lit(":mean"))
     value = F.col("claimed_value_json").try_cast("double")
-    cited = (
-        evidence_refs.groupBy("run_id", "metric_key").agg(F.max(value).alias("base_rate"))
-    )
+    means = evidence_refs.where(F.col("metric_key").like("col:%:mean"))
+    cited = means.groupBy("run_id", "metric_key").agg(F.max(value).alias("base_rate"))
     wanted = runs.where(F.col("dataset") == dataset).select("run_id", target_mean.alias("metric_key"))
     return cited.join(wanted, ["run_id", "metric_key"]).select("run_id", "base_rate")
 

@@ -144,7 +144,7 @@ def column_statistics(df: DataFrame, target: str, entity: str = "dataset") -> Da
     spark = df.sparkSession
     df = normalize(df)
     columns = classify(df)
-    stats = {c: {"dtype": columns.dtypes[c]} for c in columns.order}
+    stats = {c: {"dtype": columns.dtypes[c], "n_rows": 0, "n": 0, "is_whole": False} for c in columns.order}
 
     def add(frame, rename=None):
         for name, row in _by_column(frame).items():
@@ -186,7 +186,7 @@ def column_statistics(df: DataFrame, target: str, entity: str = "dataset") -> Da
             add(assoc.strongest(clusters), {"strongest": "missingness_cluster_corr_max"})
 
     def numeric_pairs():
-        centers = {c: stats[c]["mean"] for c in columns.numeric}
+        centers = {c: stats[c].get("mean") for c in columns.numeric}
         pairs.extend(assoc.pair_correlations(df, columns.numeric, centers).collect())
         duplicate_of.update(duplicate_columns(df, columns, pairs))
 

@@ -13,6 +13,7 @@ MODULES = (
     "defects",
     "experiments",
     "ingestion",
+    "models",
 )
 
 for _name in MODULES:

@@ -8,7 +8,7 @@ from plumbline.catalog.gold import runs
 from plumbline.catalog.profiling import rounded
 from plumbline.catalog.registry import query, sql_normal, table
 from plumbline.operators import corruption as cor
-from plumbline.operators import sampling
+from plumbline.operators import quality, sampling
 from plumbline.plans import audit
 
 def priced_orders(spark, sf):
@@ -160,3 +160,25 @@ def sentinel_fix(spark, sf):
 def sentinel_audit(spark, sf):
     _, report = cor.replace_sentinel(employed(spark, sf), "days", 365243)
     return rounded(report)
+
+
+@query(
+    "planted_frame_check",
+    """select 'changed_target' as frame, 'must keep every row and the target' as problem where (select count(*) from orders) > 0
+union all select 'lost_rows', 'must keep every row and the target' where (select count(*) from orders) > 0""",
+)
+def planted_frame_check(spark, sf):
+    """Three planted frames, two of them wrong."""
+    orders = priced_orders(spark, sf).drop("o_orderstatus")
+    good = orders.withColumns({c: F.lit(1) for c in cor.COLUMNS})
+    frames = {
+        "good": good,
+        "changed_target": good.withColumn("o_totalprice", F.col("o_totalprice") + 1),
+        "lost_rows": good.where("o_orderkey % 2 = 0"),
+    }
+    found = [
+        (name, problem)
+        for name, frame in frames.items()
+        for problem in quality.planted_frame_problems(orders, frame, "o_orderkey", "o_totalprice")
+    ]
+    return spark.createDataFrame(found, "frame string, problem string")

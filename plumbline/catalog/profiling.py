@@ -11,6 +11,8 @@ from itertools import combinations, permutations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, table
+from plumbline.operators import corruption as cor
+from plumbline.plans import audit
 from plumbline.profile import associations as assoc
 from plumbline.profile import dataset as ds
 from plumbline.profile import univariate as uni
@@ -530,3 +532,70 @@ def prof_dataset_metrics(spark, sf):
     )
     text = F.coalesce("str_value", F.array_join(entries, ","))
     return metrics.select("metric_key", "num_value", "bool_value", text.alias("text"))
+
+
+@query(
+    "metric_key_parse",
+    """with k as (select l_orderkey, case l_linenumber when 1 then 'target:is_imbalanced' when 2 then 'n_rows'
+  else 'col:c' || l_suppkey || ':is_skewed' end as metric_key from lineitem)
+select metric_key, count(*) as cited, case when metric_key = 'target:is_imbalanced' then metric_key
+  when metric_key = 'n_rows' then 'n_rows' else 'is_skewed' end as rule_name from k group by 1, 3""",
+)
+def metric_key_parse(spark, sf):
+    key = (
+        F.when(F.col("l_linenumber") == 1, "target:is_imbalanced")
+        .when(F.col("l_linenumber") == 2, "n_rows")
+        .otherwise(F.concat(F.lit("col:c"), F.col("l_suppkey").cast("string"), F.lit(":is_skewed")))
+    )
+    cited = table(spark, sf, "lineitem").groupBy(key.alias("metric_key")).agg(F.count("*").alias("cited"))
+    return cited.withColumn("rule_name", audit.rule_name(F.col("metric_key")))
+
+
+@query(
+    "allowed_evidence",
+    " union all ".join(
+        [f"select 'col:{c}:{m}' as metric_key" for c in ("quantity", "tax") for m in ds.NUMBER_METRICS + ds.FLAG_METRICS + ds.TEXT_METRICS]
+        + [f"select '{m}'" for m in ("n_rows", "n_duplicated_rows", "target_dtype", "target_class_balance", "target_skew", "target:is_imbalanced")]
+    ),
+)
+def allowed_evidence(spark, sf):
+    """Profile of three columns of which two were kept by the plan."""
+    long = ds.profile(lines(spark, sf).select("quantity", "tax", "status"), TARGET, "regression")
+    kept = spark.createDataFrame([("quantity",), ("tax",)], "column_name string")
+    return audit.allowed_evidence(long, kept)
+
+
+@query(
+    "planted_identified",
+    """select * from (values ('constant', 'SYNTH_CONSTANT', 1, true), ('high_missing', 'SYNTH_HIGH_MISSING', 1, true),
+  ('leakage', 'SYNTH_LEAKED', 1, true)) t(defect, column_name, matches, unambiguous) where (select count(*) from orders) > 0""",
+)
+def planted_identified(spark, sf):
+    """Defects planted into orders and found again by their profile flags."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    planted = cor.plant_defects(orders, "o_totalprice", "o_orderkey")
+    long = ds.profile(planted, "o_totalprice", "regression")
+    return ds.planted_defects(long, cor.COLUMNS)
+
+
+@query(
+    "profile_audit",
+    """with v as (select l_linenumber as k, case l_linenumber when 1 then avg(l_quantity) over () when 2 then
+  avg(l_quantity) over () * 1.005 when 3 then avg(l_quantity) over () * 1.02 else 1e0 end as claimed from lineitem)
+select case k when 4 then 'col:l_quantity:nothing' else 'col:l_quantity:mean' end as metric_key, case when k in (1, 2) then
+  'EVIDENCE_ACCURATE' when k = 4 then 'FABRICATED_EVIDENCE' else 'EVIDENCE_MISSTATED' end as layer1_code, count(*) as citations
+from v group by 1, 2""",
+)
+def profile_audit(spark, sf):
+    """Claims about a computed profile: right, nearly right, wrong and invented."""
+    lines_ = table(spark, sf, "lineitem").select("l_quantity", "l_tax", "l_linenumber")
+    long = ds.profile(lines_.select("l_quantity", "l_tax"), "l_tax", "regression")
+    renamed = {f"real_{k}": F.col(f"{k}_value") for k in ("num", "bool", "str", "map")}
+    real = long.select("metric_key", *[v.alias(k) for k, v in renamed.items()])
+    mean = lines_.agg(F.avg("l_quantity").alias("m"))
+    k = F.col("l_linenumber")
+    claimed = F.when(k == 1, F.col("m")).when(k == 2, F.col("m") * 1.005).when(k == 3, F.col("m") * 1.02).otherwise(1.0)
+    key = F.when(k == 4, "col:l_quantity:nothing").otherwise("col:l_quantity:mean")
+    evidence = lines_.join(F.broadcast(mean)).select(key.alias("metric_key"), *audit.value_columns("claimed", num=claimed))
+    judged = audit.verdicts(audit.resolve(evidence, real))
+    return judged.groupBy("metric_key", "layer1_code").agg(F.count("*").alias("citations"))

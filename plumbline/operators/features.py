@@ -210,8 +210,23 @@ def fold_means(df: DataFrame, names: Sequence[str], fold: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class FittedColumns:
+    """Feature expressions whose statistics come from the fit rows."""
+
+    outputs: tuple[Column, ...]
+
+    def apply(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return df.select(*keep, *self.outputs)
+
+
 def transform(fit: DataFrame, df: DataFrame, specs: Sequence[ColumnSpec], keep: Sequence[str]) -> DataFrame:
-    """The planned features of ``df`` with all statistics taken from ``fit``; unplanned columns go.
+    """The planned features of ``df`` with all statistics taken from ``fit``; unplanned columns go."""
+    return fit_columns(fit, specs).apply(df, keep)
+
+
+def fit_columns(fit: DataFrame, specs: Sequence[ColumnSpec]) -> FittedColumns:
+    """Fits imputers, encoders and scalers.
 
     Target encoding is a separate step (``out_of_fold_encoding`` on fit rows,
     ``apply_target_encoding`` on others), since it needs the target.
@@ -224,35 +239,34 @@ def transform(fit: DataFrame, df: DataFrame, specs: Sequence[ColumnSpec], keep:
     by_mode = [s.name for s in coded if s.imputation == "mode"]
     modes = fit_modes(fit, by_mode) if by_mode else {}
     gaps = fit.agg(*[F.count_if(F.col(s.name).isNull()).alias(s.name) for s in specs]).first().asDict()
+    stats = stats | _filled_statistics(fit, specs, stats, gaps)
     outputs: list[Column] = []
     for spec in specs:
-        column = F.col(spec.name)
-        is_number = spec.name in numeric
+        column, is_number = F.col(spec.name), spec.name in numeric
         if spec.add_indicator and spec.imputation != "none" and gaps[spec.name]:
             outputs.append(column.isNull().cast("int").alias(f"{spec.name}_missing"))
         if spec.encoding == "none":
-            s = stats.get(spec.name, {})
-            filled = impute(column, spec.imputation, is_number, s)
-            if spec.scaling != "none":
-                s = _filled_statistics(fit, spec, s, gaps[spec.name])
-            outputs.append(scale(filled, spec.scaling, s).alias(spec.name))
+            own = stats.get(spec.name, {})
+            filled = impute(column, spec.imputation, is_number, own.get("unfilled", own))
+            outputs.append(scale(filled, spec.scaling, own).alias(spec.name))
             continue
         text = impute(category_text(column, is_number), spec.imputation, False, mode=modes.get(spec.name))
-        source = fit.select(
-            impute(category_text(F.col(spec.name), is_number), spec.imputation, False, mode=modes.get(spec.name)).alias(spec.name)
-        )
+        known = vocabulary(fit.select(text.alias(spec.name)), spec.name) if spec.encoding != "target" else []
         if spec.encoding == "onehot":
-            outputs += one_hot(text, vocabulary(source, spec.name), spec.name)
+            outputs += one_hot(text, known, spec.name)
         elif spec.encoding == "ordinal":
-            outputs.append(ordinal(text, vocabulary(source, spec.name)).alias(spec.name))
+            outputs.append(ordinal(text, known).alias(spec.name))
         else:
             outputs.append(text.alias(spec.name))
-    return df.select(*keep, *outputs)
-
-
-def _filled_statistics(fit: DataFrame, spec: ColumnSpec, stats: dict, gaps: int) -> dict:
-    """Scaler statistics of the column after imputation (the scaler sees the filled values)."""
-    if spec.imputation == "none" or not gaps:
-        return stats
-    filled = fit.select(impute(F.col(spec.name), spec.imputation, True, stats).alias(spec.name))
-    return fit_numeric(filled, [spec.name])[spec.name]
+    return FittedColumns(tuple(outputs))
+
+
+def _filled_statistics(fit: DataFrame, specs: Sequence[ColumnSpec], stats: dict, gaps: dict) -> dict:
+    """Scaler statistics after imputation (the scaler sees the filled values), for columns with gaps."""
+    wanted = [
+        s for s in specs if s.scaling != "none" and s.imputation != "none" and s.encoding == "none" and gaps[s.name]
+    ]
+    if not wanted:
+        return {}
+    filled = fit.select(*[impute(F.col(s.name), s.imputation, True, stats[s.name]).alias(s.name) for s in wanted])
+    return {c: v | {"unfilled": stats[c]} for c, v in fit_numeric(filled, [s.name for s in wanted]).items()}

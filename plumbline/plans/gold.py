@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import count_where, ratio
@@ -178,12 +178,17 @@ def model_metrics(
 
 
 def detection_totals(gold_detection: DataFrame) -> DataFrame:
-    """Detection rows with the grand totals beside them, ordered for the report."""
-    totals = gold_detection.agg(
-        F.sum("detected_count").alias("all_detected"), F.sum("planted_count").alias("all_planted")
-    )
-    # One row: an aggregate without grouping keys.
-    return gold_detection.join(F.broadcast(totals)).orderBy("dataset", "defect")
+    """Detection rows with the grand totals beside them, ordered for the report.
+
+    The gold table has one row per dataset and kind of defect, so the whole-table window is small.
+    """
+    everything = Window.partitionBy()
+    return gold_detection.withColumns(
+        {
+            "all_detected": F.sum("detected_count").over(everything),
+            "all_planted": F.sum("planted_count").over(everything),
+        }
+    ).orderBy("dataset", "defect")
 
 
 def coverage_totals(gold_scores: DataFrame) -> DataFrame:

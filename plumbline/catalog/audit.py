@@ -282,7 +282,7 @@ def audit_eligible(spark, sf):
 
 @query(
     "audit_code_chunks",
-    f"""select l_suppkey as claim_id, l_linenumber // 4 as chunk,
+    f"""select l_suppkey as claim_id, (l_linenumber // 4)::bigint as chunk,
   string_agg(distinct l_linenumber || {CODE_SQL}, ',' order by l_linenumber || {CODE_SQL}) as codes
 from lineitem group by 1, 2""",
 )

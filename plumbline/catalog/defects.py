@@ -54,7 +54,7 @@ def inject_missing(spark, sf):
 @query(
     "inject_report",
     f"""{LEAK_SQL}, g as (select cast(round_even(count(*) * 0.6, 0) as bigint) as gone, count(*) as n from orders)
-select 1 as constant_nunique, round(corr(leaked, y), 9) as leaked_corr_with_target,
+select 1::bigint as constant_nunique, round(corr(leaked, y), 9) as leaked_corr_with_target,
   round(any_value(gone) * 100e0 / any_value(n), 6) as high_missing_pct from l, g""",
 )
 def inject_report(spark, sf):

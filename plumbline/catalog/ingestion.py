@@ -111,7 +111,7 @@ def ingest_unkeyable(spark, sf):
 @query(
     "ingest_evidence",
     f"""with e as (select * from orders where {GOOD} and o_orderkey % 4 = 0)
-select o_custkey as run_id, 'k' || o_orderkey as claim_id, 0 as evidence_index, 'col:c' || (o_orderkey % 10) || ':' ||
+select o_custkey as run_id, 'k' || o_orderkey as claim_id, 0::bigint as evidence_index, 'col:c' || (o_orderkey % 10) || ':' ||
   case o_orderkey % 3 when 0 then 'is_skewed' when 1 then 'leakage_suspect' else 'mean' end as metric_key,
   case when o_orderkey % 5 = 1 then 'float' else 'bool' end as claimed_value_type,
   case o_orderkey % 5 when 0 then 'false' when 1 then '2.5' else 'true' end as claimed_value_json from e

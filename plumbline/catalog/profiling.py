@@ -369,6 +369,24 @@ def prof_missing_target(spark, sf):
     )
 
 
+MISSING_CRAMERS = ("quantity", "price", "copied")
+
+
+@query(
+    "prof_missing_cramers",
+    f"with {LINES} "
+    + " union all ".join(
+        f"select '{c}' as column_name, round({cramers_sql('lines', f'({c} is null)', 'flag')}, 6) as missingness_target_corr"
+        for c in MISSING_CRAMERS
+    ),
+)
+def prof_missing_cramers(spark, sf):
+    """Missing indicators against a string target."""
+    frame = normalize(lines(spark, sf))
+    cells = assoc.missing_contingency(frame, MISSING_CRAMERS, "flag", classify(frame))
+    return assoc.cramers_v(cells).select("column_name", F.round("association", 6).alias("missingness_target_corr"))
+
+
 @query(
     "prof_duplicate_columns",
     f"with {LINES}, p as ("
@@ -567,7 +585,7 @@ def allowed_evidence(spark, sf):
 
 @query(
     "planted_identified",
-    """select * from (values ('constant', 'SYNTH_CONSTANT', 1, true), ('high_missing', 'SYNTH_HIGH_MISSING', 1, true),
+    """select * from (values ('constant', 'SYNTH_CONSTANT', 1::bigint, true), ('high_missing', 'SYNTH_HIGH_MISSING', 1, true),
   ('leakage', 'SYNTH_LEAKED', 1, true)) t(defect, column_name, matches, unambiguous) where (select count(*) from orders) > 0""",
 )
 def planted_identified(spark, sf):

@@ -149,13 +149,18 @@ def _cited(item: Column) -> Column:
     )
 
 
-def flag_choice(items: Column) -> Column:
-    """The one (subject, decision) a finding's TRUE flags agree on, else its one subject, else NULL."""
-    cited = F.filter(F.transform(items, _cited), lambda c: c["subject"].isNotNull())
-    flagged = F.array_distinct(F.filter(cited, lambda c: c["decision"].isNotNull()))
+def with_flag_choice(claims: DataFrame) -> DataFrame:
+    """Adds ``_choice`` to EDA findings: the one (subject, decision) their TRUE flags agree on, else
+    their one subject, else NULL.
+
+    Each step is a column of its own, since an expression used twice in one column is computed twice.
+    """
+    eda = F.col("stage") == "eda"
+    found = F.filter(F.transform("_items", _cited), lambda c: c["subject"].isNotNull())
+    flagged = F.array_distinct(F.filter("_cited", lambda c: c["decision"].isNotNull()))
     subjects = F.array_distinct(
         F.transform(
-            cited,
+            "_cited",
             lambda c: F.struct(
                 c["subject_type"].alias("subject_type"),
                 c["subject"].alias("subject"),
@@ -163,8 +168,14 @@ def flag_choice(items: Column) -> Column:
             ),
         )
     )
-    return F.when(F.size(flagged) == 1, F.get(flagged, F.lit(0))).when(
-        F.size(subjects) == 1, F.get(subjects, F.lit(0))
+    choice = F.when(F.size("_flagged") == 1, F.get("_flagged", F.lit(0))).when(
+        F.size("_subjects") == 1, F.get("_subjects", F.lit(0))
+    )
+    return (
+        claims.withColumn("_cited", F.when(eda, found))
+        .withColumns({"_flagged": flagged, "_subjects": subjects})
+        .withColumn("_choice", choice)
+        .drop("_cited", "_flagged", "_subjects")
     )
 
 
@@ -177,10 +188,8 @@ def claims_with_keys(parsed: DataFrame) -> DataFrame:
     plan = (stage == "preprocess") & F.col("column").isNotNull()
     model = (stage == "model_selection") & F.col("model_id").isNotNull()
     metric = (stage == "evaluation") & F.col("primary_metric").isNotNull()
-    eda = stage == "eda"
-    choice = flag_choice(F.col("_items"))
     rejects = F.when(F.col("is_rejection"), "reject").when(~F.col("is_rejection"), "accept")
-    keyed = raw.withColumnRenamed("decision", "decision_text").withColumn("_choice", F.when(eda, choice))
+    keyed = with_flag_choice(raw.withColumnRenamed("decision", "decision_text"))
     keyed = keyed.withColumns(
         {
             "subject_type": F.when(plan, "column").when(model, "model").when(metric, "metric").otherwise(

@@ -6,6 +6,8 @@ value) for JSON documents; ``plans.normalize`` turns them into the twelve tables
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,15 @@ def run_identity(name: Column) -> list[Column]:
     ]
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a file's path below ``root`` (an absolute path, with or without a scheme)."""
+    folder = re.sub(r"^[A-Za-z0-9+.-]+:/*", "", root).strip("/")
+    return F.regexp_extract(path, f"^.*?/{re.escape(folder)}/(.*)$", 1)
+
+
 def locate(path: Column, root: str) -> list[Column]:
     """Run directory and relative file name below ``root``; NULL for anything else."""
-    tail = F.substring_index(path, f"{root.rstrip('/').split('/')[-1]}/", -1)
+    tail = below(path, root)
     name = F.substring_index(tail, "/", 1)
     run = F.when(name.rlike(RUN_NAME) & tail.contains("/"), name)
     return [run.alias("run_id"), F.when(run.isNotNull(), F.substring(tail, F.length(name) + 2, 100_000)).alias("artifact")]
@@ -52,8 +60,7 @@ def run_files(spark: SparkSession, root: str) -> DataFrame:
 def rejected_directories(spark: SparkSession, root: str) -> DataFrame:
     """Names below ``root`` that are not run directories."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    tail = F.substring_index(F.col("path"), f"{root.rstrip('/').split('/')[-1]}/", -1)
-    name = F.substring_index(tail, "/", 1)
+    name = F.substring_index(below(F.col("path"), root), "/", 1)
     return files.select(name.alias("name")).where(~name.rlike(RUN_NAME)).distinct()
 
 

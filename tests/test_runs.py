@@ -52,6 +52,7 @@ def good_run(root):
     write(run / "synthetic_corruption.json", {"seed": 5, "leaked_corr_with_target": 0.99,
                                               "profile": {"leaked_corr_with_target": 0.98, "leaked_leakage_suspect": True}})
     write(run / "input_dataset.csv", "age,y", "1,2")
+    write(run / "extra" / "runs" / "claims.jsonl", {"claim_id": "not one of ours"})
 
 
 def broken_run(root):
@@ -94,6 +95,9 @@ def tables(spark, runs_dir):
 def test_discovery_follows_the_name_grammar(spark, runs_dir, rows):
     found = run_source.run_files(spark, runs_dir).select("run_id").distinct()
     assert rows(found) == [("m9_bad_ab_t00_r1",), ("m9_mini_c_t07_r2",)]
+    assert run_source.run_files(spark, runs_dir).where("artifact = 'extra/runs/claims.jsonl'").count() == 1
+    by_scheme = run_source.run_files(spark, f"file://{runs_dir}").select("run_id").distinct()
+    assert rows(by_scheme) == rows(found)
     refused = {r["name"] for r in run_source.rejected_directories(spark, runs_dir).collect()}
     assert {"m9_mini_c_t10_r1", "m9_mini_ab_t00_r1_old", "notes"} <= refused
 

@@ -10,11 +10,13 @@ turn, each on what the ones before have left:
    prefixes are candidates.
 3. By frequency in powers of two, then by another hash: a candidate pair must share here, too.
 
-Exact set comparison follows. Not all pairs of a group of near copies are looked at: first every
-document is compared with one central document for each of its prefix tokens, and the links found
-are joined to components. Then pairs in *different* components that share a prefix token are
-counted, filtered by how many they share, and compared. A pair left out has either been ruled out
-by a filter or lies in one component already, so the components are exact.
+Once both sizes are known, the prefixes of orders 2 and 3 shrink: a pair must share o = ceil(t (n_a +
+n_b) / (1 + t)) tokens, so the first n - o + 1 of each are enough. Exact set comparison follows.
+
+Not all pairs of a group of near copies are looked at: first every document is compared with one
+central document for each of its prefix tokens, and the links found are joined to components. Then
+all pairs in *different* components that share a prefix token are compared. A pair left out has
+either been ruled out by a filter or lies in one component already, so the components are exact.
 """
 
 from __future__ import annotations
@@ -169,9 +171,7 @@ def prefix_rows(percent: int):
                 bits = token.view(np.uint64)
                 second = token[np.lexsort((bits, often))[:count]]
                 third = token[np.lexsort((mixed(bits ^ MIX_2), np.frexp(often)[1]))[:count]]
-                out.add(
-                    doc_id, n, n - len(token), second.tolist(), np.sort(third.view(np.uint64)).tobytes(), size=20 * count
-                )
+                out.add(doc_id, n, n - len(token), second.tolist(), third.tobytes(), size=20 * count)
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -182,14 +182,22 @@ def prefix_rows(percent: int):
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def needed(n_a: int, n_b: int, percent: int) -> int:
+    """Least number of tokens that two sets as similar as asked share."""
+    return -(-percent * (n_a + n_b) // (100 + percent))
+
+
 def verified_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = Rows(VERIFIED)
-            names = ("a", "b", "third_a", "third_b", "tokens_a", "tokens_b")
-            for a, b, *parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            names = ("a", "b", "unique_a", "unique_b", "third_a", "third_b", "tokens_a", "tokens_b")
+            for a, b, unique_a, unique_b, *parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 third_a, third_b, one, other = (np.frombuffer(x, dtype=np.uint64) for x in parts)
-                if not common(third_a, third_b):
+                least = needed(len(one), len(other), percent)
+                third_a = third_a[: max(0, len(one) - least + 1 - unique_a)]
+                third_b = third_b[: max(0, len(other) - least + 1 - unique_b)]
+                if not common(third_a, np.sort(third_b)):
                     continue
                 shared = common(one, other)
                 if 100 * shared >= percent * (len(one) + len(other) - shared):
@@ -200,23 +208,27 @@ def verified_rows(percent: int):
 
 
 def common(one: np.ndarray, other: np.ndarray) -> int:
-    """How many values two sorted sets share."""
-    if len(one) > len(other):
-        one, other = other, one
+    """How many values of a set another, sorted one holds."""
     at = np.searchsorted(other, one)
     at[at == len(other)] = 0
     return int(np.count_nonzero(other[at] == one)) if len(other) else 0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share a token under order 3 and are as similar as asked."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("third").alias("third_a"), F.col("tokens").alias("tokens_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("third").alias("third_b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(verified_rows(percent), "a bigint, b bigint")
-
-
-def candidates(docs: DataFrame, header: DataFrame, n: int, percent: int, counted: float) -> DataFrame:
-    """Sets and prefixes (doc_id, n, unique, second, third, tokens) of what orders 1 and 2 leave."""
+    for side in "ab":
+        own = prefixes.select(
+            F.col("doc_id").alias(side), F.col("unique").alias(f"unique_{side}"), F.col("third").alias(f"third_{side}")
+        )
+        whole = sets.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"tokens_{side}"))
+        pairs = pairs.join(own, side).join(whole, side)
+    return pairs.mapInArrow(verified_rows(percent), "a bigint, b bigint")
+
+
+def candidates(
+    docs: DataFrame, header: DataFrame, n: int, percent: int, counted: float
+) -> tuple[DataFrame, DataFrame]:
+    """Of what orders 1 and 2 leave: prefixes (doc_id, n, unique, second, third) and sets (doc_id, tokens)."""
     tokens = docs.filter("doc_id is not null").mapInArrow(
         first_order_rows(n, percent, counted), "token bigint, doc_id bigint, slack int"
     )
@@ -252,8 +264,20 @@ def candidates(docs: DataFrame, header: DataFrame, n: int, percent: int, counted
         .agg(F.collect_list(F.struct("token", "df")).alias("shared"))
         .mapInArrow(prefix_rows(percent), PREFIXES_SQL)
     )
-    whole = prefixes.join(sets.select("doc_id", "tokens"), "doc_id").dropDuplicates(["doc_id"])
-    return staged(whole, "prefixes")
+    return staged(prefixes, "prefixes"), sets
+
+
+def in_buckets(labelled: DataFrame) -> DataFrame:
+    """A row for each prefix token under order 2, with its place among all tokens of the document."""
+    placed = labelled.select("doc_id", "n", "unique", "label", F.posexplode("second").alias("place", "token"))
+    return placed.withColumn("place", F.col("place") + F.col("unique"))
+
+
+def may_be_similar(percent: int):
+    """Whether two documents (n, place; n_x, place_x) can be, if this is their first shared token."""
+    least = F.ceil(percent * (F.col("n") + F.col("n_x")) / (100.0 + percent))
+    sized = 100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")
+    return sized & (F.col("place") <= F.col("n") - least) & (F.col("place_x") <= F.col("n_x") - least)
 
 
 def similar_documents(
@@ -274,51 +298,51 @@ def similar_documents(
     """
     texts = documents(docs, id_col, text_col)
     header = staged(texts.mapInArrow(header_rows(n), "doc_id bigint, n_shingles bigint, digest binary"), "header")
-    sets = candidates(texts, header, n, percent, counted)
+    prefixes, sets = candidates(texts, header, n, percent, counted)
 
-    buckets = sets.select("doc_id", "n", "unique", F.explode("second").alias("token"))
+    labelled = prefixes.withColumn("label", F.col("doc_id"))
     # The central document has the least share of tokens of its own.
-    centre = F.min(F.struct(F.col("unique") / F.col("n"), "doc_id")).getField("doc_id")
+    centre = F.min(F.struct((F.col("unique") / F.col("n")).alias("own"), "doc_id", "n", "place"))
     centres = staged(
-        buckets.groupBy("token").agg(centre.alias("centre"), F.count(F.lit(1)).alias("df")).filter("df > 1"), "centres"
+        in_buckets(labelled).groupBy("token").agg(centre.alias("x"), F.count(F.lit(1)).alias("df")).filter("df > 1"), "centres"
     )
     around = (
-        buckets.join(centres, "token")
-        .filter("doc_id <> centre")
-        .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+        in_buckets(labelled)
+        .join(centres.select("token", F.col("x.doc_id").alias("x"), F.col("x.n").alias("n_x"), F.col("x.place").alias("place_x")), "token")
+        .filter(F.col("doc_id") != F.col("x"))
+        .filter(may_be_similar(percent))
+        .select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
     )
     pairs = staged(around.distinct(), "centre-pairs")
-    links = staged(verified(pairs, sets, percent), "centre-links")
+    links = staged(verified(pairs, prefixes, sets, percent), "centre-links")
 
     labels = components(links)
     labelled = staged(
-        sets.select("doc_id", "n", "second")
+        prefixes.drop("third")
         .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n", "second", F.coalesce("label", "doc_id").alias("label")),
+        .withColumn("label", F.coalesce("label", "doc_id")),
         "labelled",
     )
     main = centres.join(
-        labelled.select(F.col("doc_id").alias("centre"), F.col("label").alias("main")), "centre"
+        labelled.select(F.col("doc_id").alias("centre"), F.col("label").alias("main")), F.col("x.doc_id") == F.col("centre")
     ).select("token", "main")
-    members = labelled.select("doc_id", "n", "label", F.explode("second").alias("token"))
+    members = in_buckets(labelled).join(main, "token")
     # Pairs of different components have a member outside the centre's: the smaller side of the join.
-    outside = members.join(main, "token").filter("label <> main").select(
-        "token", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x")
+    outside = members.filter("label <> main").select(
+        "token",
+        F.col("doc_id").alias("x"),
+        F.col("n").alias("n_x"),
+        F.col("place").alias("place_x"),
+        F.col("label").alias("label_x"),
     )
-    shared = (
-        members.join(main, "token")
-        .join(outside, "token")
-        .filter("label <> label_x and (label = main or doc_id < x)")
-        .groupBy(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n_x")).alias("n_1"), F.max(F.greatest("n", "n_x")).alias("n_2"))
+    different = (F.col("label") != F.col("label_x")) & ((F.col("label") == F.col("main")) | (F.col("doc_id") < F.col("x")))
+    others = (
+        members.join(outside, "token")
+        .filter(different & may_be_similar(percent))
+        .select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
+        .distinct()
     )
-    # Beyond the prefixes they can share no more than the longer rest of the two.
-    rest = [F.floor((F.col(x) * percent + 99) / 100) - 1 for x in ("n_1", "n_2")]
-    needed = F.col("c") + F.greatest(*rest)
-    enough = (100 + percent) * needed >= percent * (F.col("n_1") + F.col("n_2"))
-    sized = 100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2")
-    more = staged(shared.filter(enough & sized).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "other-pairs")
-    further = verified(more, sets, percent)
+    further = verified(staged(others.join(pairs, ["a", "b"], "left_anti"), "other-pairs"), prefixes, sets, percent)
 
     vertex = (
         header.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.max("digest").alias("digest"))

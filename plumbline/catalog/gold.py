@@ -221,15 +221,12 @@ where temperature = 0 and decision_key is not null and layer2_score is not null
     f"""select dataset, decision_key, count(*) as run_count, count(*) filter (layer2_score = 0) as score_0_count,
   count(*) filter (layer2_score = 1) as score_1_count, count(*) filter (layer2_score = 2) as score_2_count,
   count(*) filter (layer2_score = 3) as score_3_count, min(layer2_score) as min_layer2_score,
-  max(layer2_score) as max_layer2_score, max(layer2_score) - min(layer2_score) as score_spread,
-  string_agg(layer2_score, ',' order by layer2_score) as layer2_scores
+  max(layer2_score) as max_layer2_score, max(layer2_score) - min(layer2_score) as score_spread
 from ({PER_RUN_SQL}) group by 1, 2 having count(*) >= 2""",
 )
 def gold_consistency(spark, sf):
     table_ = gold.decision_consistency(gold.per_run_decision(enriched(spark, sf), runs(spark, sf)))
-    return table_.withColumn("layer2_scores", F.array_join("layer2_scores", ",")).orderBy(
-        F.desc("score_spread"), "dataset", "decision_key"
-    )
+    return table_.orderBy(F.desc("score_spread"), "dataset", "decision_key")
 
 
 @query("gold_consistency_by_run", PER_RUN_SQL)
@@ -308,16 +305,14 @@ def base_rate_lift(spark, sf):
     f"""select dataset, decision_key, count(*) as run_count, count(*) filter (layer2_score = 0) as score_0_count,
   count(*) filter (layer2_score = 1) as score_1_count, count(*) filter (layer2_score = 2) as score_2_count,
   count(*) filter (layer2_score = 3) as score_3_count,
-  coalesce(string_agg(layer2_score, ',' order by layer2_score), '') as layer2_scores,
   coalesce(string_agg(layer2_score, ',' order by layer2_score), '') = '1,1,3,3' as matches_expected
 from {ENRICHED} e join {RUNS} r on e.run_id = r.run_id
 where dataset = 'BUILDING' and arm = 'ab' and decision_key = '1-URGENT|1|accept' group by 1, 2""",
 )
 def expected_scores(spark, sf):
-    report = gold.expected_scores(
+    return gold.expected_scores(
         enriched(spark, sf), runs(spark, sf), "BUILDING", "ab", "1-URGENT|1|accept", [1, 1, 3, 3]
     )
-    return report.withColumn("layer2_scores", F.array_join("layer2_scores", ","))
 
 
 @query("claims_enriched", f"select * from {ENRICHED}")

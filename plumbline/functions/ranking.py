@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import keyed_md5
+from plumbline.session import shared_dir
 
 HASH_BUCKET_DIGITS = 3
-CUTS = 63
-BROADCAST_GROUPS = 10_000
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], key: str, output: str, salt: str = "") -> DataFrame:
@@ -39,29 +38,29 @@ def hash_rank(df: DataFrame, group: Sequence[str], key: str, output: str, salt:
 def running_totals(df: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
     """Adds ``cum_{c}`` (inclusive running total by ascending ``order``) and ``all_{c}`` per group.
 
-    ``df`` has one row per group and order value. The cut points are broadcast for at most
-    ``BROADCAST_GROUPS`` groups (counted first); for more, Spark joins them like any table.
+    ``df`` has one row per group and order value. Rows are range-partitioned by group and order, so a
+    group takes as many partitions as its rows need; totals of a group in a partition give the others
+    their offsets. The ranges are stored, for their partition numbers must not change in between.
     """
-    few = df.select(*group).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    small = F.broadcast if few else (lambda frame: frame)
-    grid = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    cuts = df.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(order, F.array(*[F.lit(g) for g in grid]), F.lit(1000))).alias("_cuts"),
-        *[F.sum(c).alias(f"all_{c}") for c in sums],
-    )
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    tagged = df.join(small(cuts), list(group)).withColumn("_bucket", bucket).drop("_cuts")
-    # At most CUTS + 1 rows per group.
-    totals = tagged.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
-    by_bucket = Window.partitionBy(*group).orderBy("_bucket")
+    spark = df.sparkSession
+    path = shared_dir(spark, "ranges")
+    ranged = df.repartitionByRange(*group, order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    totals = ranged.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
+    # One row for each partition that a group has rows in.
+    by_part = Window.partitionBy(*group).orderBy("_part")
     offsets = totals.select(
-        *group, "_bucket", *[(F.sum(f"_b_{c}").over(by_bucket) - F.col(f"_b_{c}")).alias(f"_o_{c}") for c in sums]
+        *[F.col(g).alias(f"_g_{g}") for g in group],
+        F.col("_part").alias("_p"),
+        *[(F.sum(f"_b_{c}").over(by_part) - F.col(f"_b_{c}")).alias(f"_o_{c}") for c in sums],
+        *[F.sum(f"_b_{c}").over(Window.partitionBy(*group)).alias(f"all_{c}") for c in sums],
     )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(order)
-    result = tagged
-    for c in sums:
-        result = result.withColumn(f"_w_{c}", F.sum(c).over(inside))
-    result = result.join(small(offsets), [*group, "_bucket"])
-    for c in sums:
-        result = result.withColumn(f"cum_{c}", F.col(f"_w_{c}") + F.col(f"_o_{c}"))
-    return result.drop("_bucket", *[f"_w_{c}" for c in sums], *[f"_o_{c}" for c in sums])
+    inside = Window.partitionBy(*group, "_part").orderBy(order)
+    result = ranged.withColumns({f"_w_{c}": F.sum(c).over(inside) for c in sums})
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    result = result.join(offsets, same)
+    result = result.withColumns({f"cum_{c}": F.col(f"_w_{c}") + F.col(f"_o_{c}") for c in sums})
+    return result.drop("_part", "_p", *[f"_g_{g}" for g in group], *[f"_w_{c}" for c in sums], *[f"_o_{c}" for c in sums])

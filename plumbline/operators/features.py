@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import lookup
+from plumbline.functions.ranking import running_totals
 from plumbline.profile.univariate import exact_quantiles, union_all
 
 NUMERIC_FILL = -999.0
@@ -124,16 +125,12 @@ def ordinal(column: Column, categories: Sequence[str]) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in categories]), column.cast("string")) - 1, F.lit(-1))
 
 
-def label_codes(df: DataFrame, label: str, limit: int = 10_000) -> DataFrame:
-    """Sorted distinct labels numbered from zero; a classification task has at most ``limit`` of them."""
-    found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{label} has more than {limit} classes")
-    labels = sorted(r[0] for r in found)
-    kind = df.schema[label].dataType.simpleString()
-    return df.sparkSession.createDataFrame(
-        [(v, i) for i, v in enumerate(labels)], f"{label} {kind}, code bigint"
-    )
+def label_codes(df: DataFrame, label: str) -> DataFrame:
+    """Sorted distinct labels numbered from zero: a table, of any length."""
+    found = df.select(label).where(F.col(label).isNotNull()).distinct()
+    one = F.lit(1).cast("bigint")
+    ranked = running_totals(found.withColumn("_all", one).withColumn("_one", one), ["_all"], label, ["_one"])
+    return ranked.select(label, (F.col("cum__one") - 1).alias("code"))
 
 
 def target_encoding(fit: DataFrame, category: str, target: str) -> tuple[DataFrame, Column]:

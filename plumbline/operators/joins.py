@@ -36,7 +36,7 @@ def guarded_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(right, list(keys), how)
 
 
-def _hot_keys(left: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[list[int], bool]:
+def _hot_keys(left: DataFrame, keys: Sequence[str]) -> tuple[list[int], bool]:
     """Hashes of the keys that hold more than HOT_SHARE of the rows, and whether NULL keys do.
 
     One frequent-items sketch over the key columns; at most 1/HOT_SHARE hashes reach the driver.
@@ -49,23 +49,21 @@ def _hot_keys(left: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[list
                f"THEN xxhash64({', '.join(f'`{k}`' for k in keys)}) END, {TRACKED // 40}, {TRACKED})").alias("top"),
     ).first()
     limit = found["rows"] * HOT_SHARE
-    if found["rows"] < min_rows:
-        return [], False
     return [t["item"] for t in found["top"] if t["item"] is not None and t["count"] > limit], found["nulls"] > limit
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join to a side that is unique by ``keys``, safe when a few keys hold most left rows.
 
     Keys that hold more than HOT_SHARE of the rows are found first. Their rows, and rows with a NULL
     key (which match nothing), are spread over ``SALTS`` partitions, and their few right rows are
-    copied to each of them. Without hot keys, or below ``min_rows``, this is a plain join.
+    copied to each of them. Without hot keys this is a plain join.
     """
     keys = list(keys)
     check_join_columns(left, right, keys)
     kinds = dict(left.dtypes)
     right = right.withColumns({k: F.col(k).cast(kinds[k]) for k in keys if dict(right.dtypes)[k] != kinds[k]})
-    hot, hot_nulls = _hot_keys(left, keys, min_rows)
+    hot, hot_nulls = _hot_keys(left, keys)
     if not hot and not hot_nulls:
         return left.join(right, keys, "left")
     is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)

@@ -31,11 +31,12 @@ from plumbline.profile.univariate import union_all
 TREES = 300
 BOOST_DEPTH = 6
 BOOST_RATE = 0.1
-MAX_DEPTH = 20
+#: Depth of a forest's trees: a parameter, by default the deepest that Spark ML grows.
+MAX_DEPTH = 30
 PENALTY = 1.0
 
 
-def estimator(model_id: str, classification: bool, classes: int, rows: int, trees: int = TREES):
+def estimator(model_id: str, classification: bool, classes: int, rows: int, trees: int = TREES, depth: int = MAX_DEPTH):
     """Spark ML estimator of a model id; the penalty is per data set, Spark's is per row."""
     common = {"featuresCol": "features", "labelCol": "y", "seed": 42}
     if model_id == "logreg" and classification:
@@ -48,7 +49,7 @@ def estimator(model_id: str, classification: bool, classes: int, rows: int, tree
         )
     if model_id == "rf":
         kind = mlc.RandomForestClassifier if classification else mlr.RandomForestRegressor
-        return kind(numTrees=trees, maxDepth=MAX_DEPTH, **common)
+        return kind(numTrees=trees, maxDepth=depth, **common)
     if model_id == "gbt":
         settings = {"maxIter": trees, "maxDepth": BOOST_DEPTH, "stepSize": BOOST_RATE, **common}
         if not classification:

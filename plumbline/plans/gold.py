@@ -15,7 +15,6 @@ from plumbline.functions.stats import count_where, ratio
 from plumbline.plans.audit import ACCURATE, MISSTATED, citation_counts
 
 SCORES = (0, 1, 2, 3)
-ARRAY_LIMIT = 10_000
 
 
 def verdict_rates(evidence_verdicts: DataFrame, claims: DataFrame, runs: DataFrame) -> DataFrame:
@@ -106,18 +105,6 @@ def per_run_decision(enriched: DataFrame, runs: DataFrame) -> DataFrame:
     return best.join(cold, "run_id").select("dataset", "decision_key", "run_id", "layer2_score")
 
 
-def sorted_scores(counts: Sequence[Column], limit: int = ARRAY_LIMIT) -> Column:
-    """The sorted score list rebuilt from its histogram, where it has at most ``limit`` entries.
-
-    Longer lists stay in histogram form: the count columns hold the same information.
-    """
-    pieces = [F.array_repeat(F.lit(s), n.cast("int")) for s, n in zip(SCORES, counts)]
-    total = counts[0]
-    for n in counts[1:]:
-        total = total + n
-    return F.when(total <= limit, F.concat(*pieces))
-
-
 def decision_consistency(per_run: DataFrame) -> DataFrame:
     """Spread of a decision's score over the runs that took it, for decisions of two or more runs.
 
@@ -130,12 +117,7 @@ def decision_consistency(per_run: DataFrame) -> DataFrame:
         F.min(s).alias("min_layer2_score"),
         F.max(s).alias("max_layer2_score"),
     )
-    counts = [F.col(f"score_{v}_count") for v in SCORES]
-    return (
-        grouped.where("run_count >= 2")
-        .withColumn("score_spread", F.col("max_layer2_score") - F.col("min_layer2_score"))
-        .withColumn("layer2_scores", sorted_scores(counts))
-    )
+    return grouped.where("run_count >= 2").withColumn("score_spread", F.col("max_layer2_score") - F.col("min_layer2_score"))
 
 
 def base_rates(evidence_refs: DataFrame, runs: DataFrame, dataset: str) -> DataFrame:
@@ -220,9 +202,7 @@ def expected_scores(
     same = F.col("_scored") == len(expected)
     for v in SCORES:
         same = same & (F.col(f"score_{v}_count") == list(expected).count(v))
-    return grouped.withColumn("matches_expected", same).withColumn(
-        "layer2_scores", sorted_scores([F.col(f"score_{v}_count") for v in SCORES])
-    ).drop("_scored")
+    return grouped.withColumn("matches_expected", same).drop("_scored")
 
 
 def base_rate_lift(gold_model_metrics: DataFrame, dataset: str) -> DataFrame:

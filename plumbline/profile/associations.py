@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import count_where, finite, pearson
 from plumbline.profile.columns import Columns
-from plumbline.profile.univariate import EXPRESSION_CHUNK, chunks, union_all
+from plumbline.profile.univariate import EXPRESSION_CHUNK, chunks, means, union_all
 
 PAIR_EXPRESSIONS = 60
-EXPRESSION_COLUMNS = 3
 DUPLICATE_CORRELATION = 0.999
 
 
@@ -106,23 +104,6 @@ def target_pearson(df: DataFrame, names: Sequence[str], target: str, missing: bo
     return union_all(parts)
 
 
-def _pairs_by_expression(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    parts = []
-    for group in chunks(list(combinations(names, 2)), PAIR_EXPRESSIONS):
-        row = df.agg(
-            *[
-                F.struct(
-                    F.lit(a).alias("left_name"),
-                    F.lit(b).alias("right_name"),
-                    finite(pearson(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias("correlation"),
-                ).alias(f"p{i}")
-                for i, (a, b) in enumerate(group)
-            ]
-        )
-        parts.append(row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(group))]))))
-    return union_all(parts)
-
-
 def _pairs_by_blocks(df: DataFrame, names: Sequence[str], centers: dict[str, float]) -> DataFrame:
     """Pairwise-complete sums as matrix products per Arrow batch; k*k sums leave each task."""
     k = len(names)
@@ -170,19 +151,15 @@ def _pairs_by_blocks(df: DataFrame, names: Sequence[str], centers: dict[str, flo
     )
 
 
-def pair_correlations(
-    df: DataFrame, names: Sequence[str], centers: dict[str, float] | None = None, by_expression: int = EXPRESSION_COLUMNS
-) -> DataFrame:
+def pair_correlations(df: DataFrame, names: Sequence[str], centers: dict[str, float] | None = None) -> DataFrame:
     """Pairwise-complete Pearson for every pair of columns: (left_name, right_name, correlation).
 
-    Up to ``by_expression`` columns: built-in aggregates. More: one pass of matrix products, since the
-    aggregates of many pairs make one generated method too large for the JIT compiler.
+    One pass of matrix products for any number of columns. Values are taken from ``centers`` (a value
+    of each column near its mean, found first where not given), so large means lose no digits.
     """
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "left_name string, right_name string, correlation double")
-    if len(names) <= by_expression:
-        return _pairs_by_expression(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names]), names)
-    return _pairs_by_blocks(df, names, centers or {})
+    return _pairs_by_blocks(df, names, means(df, names) if centers is None else centers)
 
 
 def strongest(pairs: DataFrame) -> DataFrame:
@@ -253,12 +230,14 @@ def _duplicate_test(a: str, b: str, exact: bool) -> Column:
 
 
 def variance_inflation(correlations: np.ndarray) -> list[float | None]:
-    """VIF per column from a correlation matrix; NULL where the others determine the column."""
-    k = len(correlations)
-    values: list[float | None] = []
-    for i in range(k):
-        rest = [j for j in range(k) if j != i]
-        r = correlations[i, rest]
-        explained = float(r @ np.linalg.pinv(correlations[np.ix_(rest, rest)], hermitian=True) @ r)
-        values.append(1.0 / (1.0 - explained) if explained < 1.0 - 1e-10 else None)
-    return values
+    """VIF per column from a correlation matrix; NULL where the others determine the column.
+
+    One eigendecomposition: the diagonal of the inverse, and columns with a part in a direction
+    without variance are the collinear ones.
+    """
+    values, vectors = np.linalg.eigh(correlations)
+    squares = vectors**2
+    flat = values <= 1e-10
+    lost = squares[:, flat].sum(axis=1)
+    factors = (squares[:, ~flat] / values[~flat]).sum(axis=1)
+    return [None if gone > 1e-8 or f >= 1e10 else float(f) for gone, f in zip(lost, factors)]

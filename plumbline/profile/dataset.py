@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import adjusted_skew, finite
+from plumbline.plans.preprocessing import duplicate_groups
 from plumbline.profile import associations as assoc
 from plumbline.profile import univariate as uni
 from plumbline.profile.columns import Columns, classify, normalize
@@ -100,19 +101,11 @@ def duplicate_columns(df: DataFrame, columns: Columns, pairs: Sequence) -> dict[
 
 
 def vif_candidates(columns: Columns, target: str, duplicate_of: dict[str, str], nunique: dict[str, int]) -> list[str]:
-    """Numeric columns that vary, without the target, one per duplicate pair."""
-    rank = {c: i for i, c in enumerate(columns.order)}
-
-    def representative(column):
-        group = {column}
-        if column in duplicate_of:
-            group.add(duplicate_of[column])
-        group.update(c for c, other in duplicate_of.items() if other == column and columns.is_numeric(c))
-        return min(group, key=rank.get)
-
-    return [
-        c for c in columns.numeric if c != target and representative(c) == c and nunique.get(c, 0) > 1
-    ]
+    """Numeric columns that vary, without the target; of each class of duplicates only the first."""
+    later: set[str] = set()
+    for members in duplicate_groups(duplicate_of.items()):
+        later.update([c for c in columns.numeric if c in members][1:])
+    return [c for c in columns.numeric if c != target and c not in later and nunique.get(c, 0) > 1]
 
 
 def inflation_factors(df: DataFrame, names: Sequence[str], stats: dict[str, dict]) -> dict[str, float | None]:
@@ -161,8 +154,7 @@ def column_statistics(df: DataFrame, target: str, entity: str = "dataset") -> Da
         add(uni.frequency_summary(frequencies).drop("n"))
         numeric = uni.numeric_frequencies(frequencies)
         if numeric is not None:
-            sizes = {c: stats[c].get("nunique", 0) for c in columns.numeric}
-            add(uni.outlier_profile(uni.spread(uni.numeric_values(df, columns), numeric, sizes)))
+            add(uni.outlier_profile(uni.spread(uni.numeric_values(df, columns), numeric)))
             add(uni.sequential(frequencies))
         for frame in frequencies.values():
             frame.unpersist()

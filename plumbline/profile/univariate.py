@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import adjusted_kurtosis, adjusted_skew, count_where, finite, ratio
 from plumbline.profile.columns import Columns
 
 EXPRESSION_CHUNK = 40
-IN_MEMORY_DISTINCT = 1_000_000
 SKETCH_ACCURACY = 10_000
+#: Ranges that a quantile's bracket is cut into in each round.
+RANGES = 64
 
 
 def chunks(names: Sequence, size: int) -> list[Sequence]:
@@ -123,102 +125,91 @@ def numeric_frequencies(frequencies: dict[str, DataFrame]) -> DataFrame | None:
     return union_all(parts) if parts else None
 
 
-def _quantiles_in_memory(freq: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Built-in exact percentile; it holds the distinct values of a column in one task."""
-    values = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
+def _narrowed(freq: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """Counts of the values of each bracket (name, i, lo, hi) in RANGES ranges, of those below it as range -1.
+
+    Infinities and NaN have ranges of their own. Rows: column, bracket, range, values' ends and count.
+    """
+    spark = freq.sparkSession
+    table = spark.createDataFrame(brackets, "column_name string, i int, lo double, hi double")
+    v, top = F.col("value"), 1.7e308
+    lo, hi = F.greatest("lo", F.lit(-top)), F.least("hi", F.lit(top))
+    share = (v / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))
+    place = F.floor(F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) * (RANGES - 1)) + 1
+    infinite = F.lit(float("inf"))
+    range_ = (
+        F.when(v < F.col("lo"), -1)
+        .when(F.isnan(v), RANGES + 2)
+        .when(v == -infinite, 0)
+        .when(v == infinite, RANGES + 1)
+        .otherwise(place)
+        .cast("int")
+    )
     return (
-        freq.groupBy("column_name")
-        .agg(values.alias("_q"))
-        .select("column_name", F.posexplode("_q").alias("_i", "quantile"))
-        .select(
-            "column_name",
-            F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1).alias("prob"),
-            "quantile",
-        )
+        freq.join(F.broadcast(table), "column_name")
+        .where(v <= F.col("hi"))
+        .groupBy("column_name", "i", range_.alias("place"))
+        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n"))
     )
 
 
-def _quantiles_by_bracket(values: DataFrame, freq: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles of any number of distinct values.
+def exact_quantiles(values: DataFrame, freq: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles per column: (column_name, prob, quantile), exact for any number of values.
 
-    An approximate quantile is off by at most 1/SKETCH_ACCURACY of the rows, so the values between
-    the estimates a little below and above a rank hold it for certain. Counting what lies below the
-    bracket gives the rank inside it, and only the bracket is ordered.
+    An approximate quantile is off by at most 1/SKETCH_ACCURACY of the rows, so the estimates a little
+    below and above a rank bracket it. Brackets of all columns are then cut into ranges together,
+    round by round, and the range that holds the rank is the next bracket, until it is one value. No
+    rows are ordered or gathered: what reaches the driver is counts of columns, quantiles and ranges.
     """
     margin = 5.0 / SKETCH_ACCURACY
     ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
     cuts = values.where("value is not null").groupBy("column_name").agg(
-        F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), F.lit(SKETCH_ACCURACY)).alias("_cuts"),
-        F.count("*").alias("_total"),
-    )
-    tagged = freq.join(F.broadcast(cuts), "column_name")
-    low = [F.col("_cuts")[2 * i] for i in range(len(probs))]
-    high = [F.col("_cuts")[2 * i + 1] for i in range(len(probs))]
-    below = tagged.groupBy("column_name").agg(
-        F.array(
-            *[F.coalesce(F.sum(F.when(F.col("value") < lo, F.col("n"))), F.lit(0)) for lo in low]
-        ).alias("_below")
-    )
-    brackets = F.array(
-        *[
-            F.when(
-                (F.col("value") >= lo) & (F.col("value") <= hi),
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("position")
-                ),
-            )
-            for i, (p, lo, hi) in enumerate(zip(probs, low, high))
-        ]
-    )
-    inside = Window.partitionBy("column_name", "_w.prob").orderBy("value")
-    end = F.element_at("_below", F.col("_w.i") + 1) + F.sum("n").over(inside)
-    floor, ceil = F.floor("_w.position"), F.ceil("_w.position")
-    located = (
-        tagged.select("column_name", "value", "n", F.explode(F.array_compact(brackets)).alias("_w"))
-        .join(F.broadcast(below), "column_name")
-        .withColumn("_end", end)
-        .withColumn("_start", F.col("_end") - F.col("n"))
-        .where(((floor >= F.col("_start")) & (floor < F.col("_end"))) | ((ceil >= F.col("_start")) & (ceil < F.col("_end"))))
-    )
-    lower, upper = F.min("value"), F.max("value")
-    part = F.first("_w.position") - F.floor(F.first("_w.position"))
-    return located.groupBy("column_name", F.col("_w.prob").alias("prob")).agg(
-        (lower * (1.0 - part) + upper * part).alias("quantile")
+        F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), F.lit(SKETCH_ACCURACY)).alias("cuts"),
+        F.count("*").alias("total"),
+        F.max("value").alias("top"),
     )
-
-
-def distinct_estimates(values: DataFrame) -> dict[str, int]:
-    """Estimated distinct values per column (about 5 % off): one row per column."""
-    counts = values.groupBy("column_name").agg(F.approx_count_distinct("value").alias("k"))
-    return {r["column_name"]: r["k"] for r in counts.collect()}
-
-
-def exact_quantiles(
-    values: DataFrame,
-    freq: DataFrame,
-    probs: Sequence[float],
-    in_memory: int = IN_MEMORY_DISTINCT,
-    sizes: dict[str, int] | None = None,
-) -> DataFrame:
-    """Interpolated quantiles per column: (column_name, prob, quantile).
-
-    Columns of at most ``in_memory`` distinct values (``sizes``, else estimated first) use the
-    built-in percentile; larger ones the bracket method. Both are exact; the bracket method needs
-    columns of well over ``SKETCH_ACCURACY`` rows, which ``in_memory`` guarantees.
-    """
-    sizes = distinct_estimates(values) if sizes is None else sizes
-    large = [c for c, k in sizes.items() if k > in_memory]
-    if not large:
-        return _quantiles_in_memory(freq, probs)
-    wanted = F.col("column_name").isin(large)
-    bracketed = _quantiles_by_bracket(values.where(wanted), freq.where(wanted), probs)
-    if len(large) == len(sizes):
-        return bracketed
-    return _quantiles_in_memory(freq.where(~wanted), probs).unionByName(bracketed)
-
-
-def quartiles(values: DataFrame, freq: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
-    q = exact_quantiles(values, freq, (0.25, 0.5, 0.75), sizes=sizes)
+    ranks: dict[tuple[str, int], int] = {}
+    open_: dict[tuple[str, int], tuple[float, float]] = {}
+    totals, tops = {}, {}
+    for row in cuts.collect():
+        name = row["column_name"]
+        tops[name] = row["top"]
+        totals[name] = row["total"]
+        for i, p in enumerate(probs):
+            position = p * (row["total"] - 1)
+            for side, rank in enumerate((math.floor(position), math.ceil(position))):
+                ranks[name, 2 * i + side] = rank
+                open_[name, 2 * i + side] = (row["cuts"][2 * i], row["cuts"][2 * i + 1])
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        counted: dict[tuple[str, int], list] = {}
+        brackets = [(name, i, lo, hi) for (name, i), (lo, hi) in open_.items()]
+        for row in _narrowed(freq, brackets).collect():
+            counted.setdefault((row["column_name"], row["i"]), []).append(row)
+        for key in list(open_):
+            before = 0
+            for row in sorted(counted[key], key=lambda r: r["place"]):
+                before += row["n"]
+                if before > ranks[key]:
+                    if row["lo"] == row["hi"] or row["lo"] != row["lo"]:
+                        found[key] = row["lo"]
+                        del open_[key]
+                    else:
+                        open_[key] = (row["lo"], row["hi"])
+                    break
+            else:  # of few rows the upper estimate can lie below the rank
+                open_[key] = (open_[key][1], tops[key[0]])
+    rows = []
+    for name, total in totals.items():
+        for i, p in enumerate(probs):
+            low, high = found[name, 2 * i], found[name, 2 * i + 1]
+            part = p * (total - 1) - math.floor(p * (total - 1))
+            rows.append((name, float(p), low if low == high else low * (1.0 - part) + high * part))
+    return freq.sparkSession.createDataFrame(rows, "column_name string, prob double, quantile double")
+
+
+def quartiles(values: DataFrame, freq: DataFrame) -> DataFrame:
+    q = exact_quantiles(values, freq, (0.25, 0.5, 0.75))
     return q.groupBy("column_name").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(label)
@@ -227,13 +218,13 @@ def quartiles(values: DataFrame, freq: DataFrame, sizes: dict[str, int] | None =
     )
 
 
-def spread(values: DataFrame, freq: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+def spread(values: DataFrame, freq: DataFrame) -> DataFrame:
     """Quartiles, share of zeros and counts outside the whiskers, from the frequency table."""
     low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     outside = (F.col("value") < low) | (F.col("value") > high)
     return (
-        freq.join(F.broadcast(quartiles(values, freq, sizes)), "column_name")
+        freq.join(F.broadcast(quartiles(values, freq)), "column_name")
         .groupBy("column_name", "q1", "median", "q3")
         .agg(
             F.sum("n").alias("n"),

@@ -31,13 +31,15 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint folder the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a local folder made and
-    set for the session.
+    Only where ``spark.checkpoint.dir`` is unset in local mode (tests on one machine) is a local folder
+    made and set for the session; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -7,14 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-SUMMARY_METRICS = (
-    "primary_model_metric",
-    "layer1_accuracy_rate",
-    "mean_layer2_score",
-    "override_rate",
-    "arm_c_recall",
-)
-
 
 def call_models(prompt_calls: DataFrame) -> DataFrame:
     """Distinct models of agent and critic calls per run, sorted and joined by commas.

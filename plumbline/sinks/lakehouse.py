@@ -19,12 +19,14 @@ LINEAGE = ("_ingested_at", "_export_manifest_sha256")
 
 
 def manifest_digest(spark: SparkSession, export: str) -> str:
-    """SHA-256 over the manifest files (one, unless rewritten) in path order."""
+    """SHA-256 of the SHA-256 digests of all manifest files, in path order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{export}/manifest")
-    hashes = files.select("path", F.sha2("content", 256).alias("h")).orderBy("path").limit(2).collect()
-    if not hashes:
+    listed = F.sort_array(F.collect_list(F.struct("path", F.sha2("content", 256).alias("h"))))
+    digest = F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), ","), 256)
+    row = files.agg(F.count(F.lit(1)).alias("n"), digest.alias("digest")).first()
+    if not row["n"]:
         raise FileNotFoundError(f"Export manifest not found: {export}/manifest")
-    return hashes[0]["h"] if len(hashes) == 1 else ",".join(r["h"] for r in hashes)
+    return row["digest"]
 
 
 def load_bronze(spark: SparkSession, export: str, warehouse: str, fmt: str = "parquet") -> DataFrame:
@@ -90,7 +92,7 @@ def load_silver(spark: SparkSession, warehouse: str, fmt: str = "parquet") -> Da
     enriched.write.mode("overwrite").format(fmt).save(f"{warehouse}/silver_claims_enriched")
     checks.append(coverage_checks(join_coverage(spark.read.format(fmt).load(f"{warehouse}/silver_claims_enriched"))))
     result = union_all(checks).withColumn("checked_at", F.current_timestamp())
-    result.write.mode("append").format(fmt).save(f"{warehouse}/silver_data_quality_checks")
+    result.write.mode("overwrite").format(fmt).save(f"{warehouse}/silver_data_quality_checks")
     return spark.read.format(fmt).load(f"{warehouse}/silver_data_quality_checks")
 
 

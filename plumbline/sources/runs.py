@@ -44,7 +44,7 @@ def locate(path: Column, root: str) -> list[Column]:
     tail = below(path, root)
     name = F.substring_index(tail, "/", 1)
     run = F.when(name.rlike(RUN_NAME) & tail.contains("/"), name)
-    return [run.alias("run_id"), F.when(run.isNotNull(), F.substring(tail, F.length(name) + 2, 100_000)).alias("artifact")]
+    return [run.alias("run_id"), F.when(run.isNotNull(), F.substring(tail, F.length(name) + 2, F.length(tail))).alias("artifact")]
 
 
 def run_files(spark: SparkSession, root: str) -> DataFrame:

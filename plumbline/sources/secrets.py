@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import shared_dir
 from plumbline.sources.runs import locate, number_lines
 
 # Secret patterns; (?i) where letter case does not matter.
@@ -82,13 +83,19 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def refuse_secrets(spark: SparkSession, root: str, show: int = 20) -> None:
-    """Raises with the first locations when any file holds something like a secret."""
+    """Raises when any file holds something like a secret.
+
+    Every place is written to a table; the error names it with the count and the first ``show``.
+    """
     text = spark.read.option("recursiveFileLookup", "true").text(root)
     suspicious = text.select("value", F.col("_metadata.file_path").alias("_path")).select(
         "value", *locate(F.col("_path"), root)
     ).where(F.col("run_id").isNotNull() & (F.size(found_patterns(F.col("value"), F.lower("value"))) > 0))
     if suspicious.isEmpty():
         return
-    hits = scan_runs(spark, root).orderBy("run_id", "artifact", "line_no", "pattern").limit(show).collect()
+    table = shared_dir(spark, "possible-secrets")
+    scan_runs(spark, root).write.parquet(table)
+    found = spark.read.parquet(table)
+    hits = found.orderBy("run_id", "artifact", "line_no", "pattern").limit(show).collect()
     places = ", ".join(f"{r['run_id']}/{r['artifact']}:{r['line_no']} ({r['pattern']})" for r in hits)
-    raise RuntimeError(f"Possible secrets found; export stopped: {places}")
+    raise RuntimeError(f"Possible secrets found; export stopped: {found.count()} places, all in {table}; first: {places}")

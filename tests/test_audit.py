@@ -116,15 +116,19 @@ def test_layer2_metrics_keep_stages_without_scores(spark):
     assert got["preprocess"]["mean_layer2_score"] is None and got["preprocess"]["layer2_claims_scored"] == 0
 
 
-def test_consistency_needs_two_runs_and_bounds_its_array(spark):
+def test_consistency_needs_two_runs_and_holds_any_number(spark):
     per_run = spark.createDataFrame(
         [("d", "k", f"r{i}", s) for i, s in enumerate((3, 1, 3, 1))] + [("d", "single", "r0", 2)],
         "dataset string, decision_key string, run_id string, layer2_score bigint",
     )
     got = gold.decision_consistency(per_run).collect()
-    assert len(got) == 1 and got[0]["layer2_scores"] == [1, 1, 3, 3] and got[0]["score_spread"] == 2
-    counts = [F.lit(n).cast("bigint") for n in (6000, 0, 0, 6000)]
-    assert spark.range(1).select(gold.sorted_scores(counts).alias("a")).first()["a"] is None
+    assert len(got) == 1 and (got[0]["score_1_count"], got[0]["score_3_count"]) == (2, 2) and got[0]["score_spread"] == 2
+    many = spark.range(10_001).select(
+        F.lit("d").alias("dataset"), F.lit("k").alias("decision_key"), F.col("id").cast("string").alias("run_id"),
+        (F.col("id") % 4).alias("layer2_score"),
+    )
+    row = gold.decision_consistency(many).first()
+    assert row["run_count"] == 10_001 and row["score_0_count"] == 2501 and not [c for c in row.asDict().values() if c is None]
 
 
 def test_expected_scores(spark):

@@ -18,26 +18,26 @@ def test_lookup_equals_left_join_on_hot_and_null_keys(spark):
     left = skewed(spark)
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = left.join(right, "k", "left")
-    assert quality.frame_differences(joins.lookup(left, right, ["k"], min_rows=0), plain.select("k", "x", "v")).count() == 0
+    assert quality.frame_differences(joins.lookup(left, right, ["k"]), plain.select("k", "x", "v")).count() == 0
 
 
 def test_lookup_keeps_copies_of_one_row(spark):
     left = spark.range(5000).select(F.lit(1).cast("bigint").alias("k"), F.lit("same").alias("t"))
     right = spark.createDataFrame([(1, "a")], "k bigint, v string")
-    assert joins.lookup(left, right, ["k"], min_rows=0).where("v = 'a'").count() == 5000
+    assert joins.lookup(left, right, ["k"]).where("v = 'a'").count() == 5000
 
 
 def test_hot_keys_are_found_and_others_are_not(spark):
-    hot, nulls = joins._hot_keys(skewed(spark), ["k"], 0)
+    hot, nulls = joins._hot_keys(skewed(spark), ["k"])
     seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint"))).first()[0]
     assert hot == [seven] and nulls
-    assert joins._hot_keys(spark.range(5000).withColumnRenamed("id", "k"), ["k"], 0) == ([], False)
+    assert joins._hot_keys(spark.range(5000).withColumnRenamed("id", "k"), ["k"]) == ([], False)
 
 
 def test_lookup_with_two_keys_of_other_types(spark):
     left = spark.range(3000).select((F.col("id") % 2).alias("a"), F.lit("x").alias("b"), "id")
     right = spark.createDataFrame([(1, "x", 5)], "a int, b string, v int")
-    got = joins.lookup(left, right, ["a", "b"], min_rows=0)
+    got = joins.lookup(left, right, ["a", "b"])
     assert got.count() == 3000 and got.where("v = 5").count() == 1500
 
 

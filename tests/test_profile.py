@@ -158,6 +158,17 @@ def test_sequences(spark):
     assert got == {"step": True, "whole": True, "half": False, "square": False, "same": False, "far": False}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 101])
+def test_quantiles_of_few_rows(spark, n):
+    frame = spark.range(n).select((F.col("id") * F.col("id") % 17).cast("double").alias("v"), F.lit(float("inf")).alias("w"))
+    freq = uni.numeric_frequencies(uni.value_frequencies(frame, classify(frame)))
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    got = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(uni.numeric_values(frame, classify(frame)), freq, probs).collect()}
+    want = frame.toPandas()["v"]
+    assert [got["v", p] for p in probs] == pytest.approx([want.quantile(p) for p in probs])
+    assert [got["w", p] for p in probs] == [float("inf")] * 5
+
+
 def test_bracket_quantiles_are_exact(spark):
     frame = spark.range(60_000).select(
         F.exp(F.sin(F.col("id") * 1.7) * 5).alias("wild"), (F.col("id") % 3 * (F.col("id") % 1000 == 0).cast("int")).cast("double").alias("tied")
@@ -165,8 +176,9 @@ def test_bracket_quantiles_are_exact(spark):
     values = uni.numeric_values(frame, classify(frame))
     freq = uni.numeric_frequencies(uni.value_frequencies(frame, classify(frame)))
     probs = (0.01, 0.25, 0.5, 0.75, 0.999)
-    exact = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(values, freq, probs).collect()}
-    bracket = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(values, freq, probs, in_memory=0).collect()}
+    whole = frame.toPandas()
+    exact = {(c, p): whole[c].quantile(p) for c in whole for p in probs}
+    bracket = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(values, freq, probs).collect()}
     assert bracket.keys() == exact.keys() and len(exact) == 10
     for key, value in exact.items():
         assert bracket[key] == pytest.approx(value, rel=1e-12)
@@ -180,8 +192,8 @@ def test_block_correlations_equal_expressions(spark):
     pdf[rng.random(pdf.shape) < 0.2] = np.nan
     frame = normalize(spark.createDataFrame(pdf))
     names = list(pdf.columns)
-    plain = {(r[0], r[1]): r[2] for r in assoc.pair_correlations(frame, names, by_expression=99).collect()}
-    block = {(r[0], r[1]): r[2] for r in assoc.pair_correlations(frame.repartition(5), names, uni.means(frame, names), by_expression=0).collect()}
+    plain = {(r[0], r[1]): r[2] for r in assoc.pair_correlations(frame, names).collect()}
+    block = {(r[0], r[1]): r[2] for r in assoc.pair_correlations(frame.repartition(5), names, uni.means(frame, names)).collect()}
     want = pdf.corr()
     for pair, r in plain.items():
         truth = want.loc[pair[0], pair[1]]

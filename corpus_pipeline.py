@@ -38,14 +38,16 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
+    """Documents as often as their rates say; those without identifier once."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixture, _ = mixing.fit(docs, labels, queries.TARGETS, anchor="clean")
-    # Features stand beside a struct of the row, so that no column of it can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col("doc_id"))
-    taken = mixture.rates(rows).withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id")))
-    repeated = taken.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select("row.*")
+    mixture, members = mixing.fit(docs, labels, queries.TARGETS, anchor="clean")
+    copies = mixing.copies(F.col("rate"), F.col("doc_id"))
+    taken = staged(
+        mixture.rated(members).filter("doc_id is not null").groupBy("doc_id").agg(F.max(copies).alias("copies")), "copies"
+    )
+    more = staged(taken.filter("copies > 1").select(F.col("doc_id").alias("__again"), F.col("copies").alias("__n")), "more")
+    again = docs.join(more, docs["doc_id"] == more["__again"]).withColumn("__i", F.explode(F.sequence(F.lit(2), "__n")))
+    return without(docs, taken.filter("copies = 0"), "left-out").unionByName(again.select(*(docs[c] for c in docs.columns)))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ class Model:
 
     def scores(self, items: list[list[str]]) -> np.ndarray:
         """Label scores of each item, from its list of features."""
-        sizes = np.array([len(x) for x in items])
+        sizes = np.array([len(x) for x in items], dtype=np.int64)
         unknown = len(self.features)
         known = np.array([self.features.get(f, unknown) for x in items for f in x], dtype=np.int64)
         out = np.zeros((len(items), len(self.labels)))

@@ -39,7 +39,6 @@ CLOSED_BY = {
     "option": frozenset({"option", "optgroup"}),
     "head": frozenset({"body"}),
 }
-#: An element of the key is not ended by a start tag if one of these was opened inside it.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(script|style|template|svg|math|iframe|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -189,6 +188,9 @@ LABELLED = (
     f"<div class=disqus><div class=reply><p>{LONG}</p></div></div><div class=copyright>© {SHORT}</div></body>",
     f"<body><nav>{MENU}</nav><article data-main><h1>{SHORT}</h1><p><b>{LONG}<br><p>{LONG}</p><p>{LINE}</p></article>"
     f"<div class=comment-list><article class=comment><p>{LONG}</p></article></div><footer><div>{LINE}</div></footer></body>",
+    f"<body><nav>{MENU}</nav><main><h1 data-main>{SHORT}</h1><p data-main>{LONG}</p><ul data-main><li>{SHORT}</li><li>Alo</li></ul>"
+    f"<p data-main>{LINE}</p><ol data-main><li>{SHORT}</li><li>{LINE}</li><li>Mira</li></ol></main><aside><p>{LONG}</p></aside>"
+    f"<footer><p>{LINE}</p></footer></body>",
     f"<body><div class=cookies><p>{LINE}</p></div><div class=popup><p>{LINE}</p></div><main><div class=article-body data-main>"
     f"<p>{LONG}</p><p>{LONG}</p></div><div class=newsletter><form><p>{LINE}</p><select><option>{SHORT}</option></select>"
     f"</form></div><div class=social>{MENU}</div></main><div class=bottom>{LINE}</div></body>",

@@ -27,8 +27,8 @@ VOCABULARY = 200
 LEAST_COUNT = 8
 #: Words whose presence is less surely tied to a domain (chi-square) are no features.
 LEAST_CHI = 20.0
-#: Nor are words that are in no domain so many times as frequent as overall: those of a language, say.
-LEAST_LIFT = 4.0
+#: Nor are words that are in no domain so many times as frequent as in the others: those of a language, say.
+LEAST_RATIO = 8.0
 BINS = (0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 SYMBOLS = "*#$%&!|"
 PUNCTUATION = ".,;:?\"'()\n\t\r" + SYMBOLS
@@ -73,22 +73,21 @@ class Classifier:
         df = df.withColumn("mix_hits", F.transform(
             F.array_intersect("mix_distinct", vocabulary), lambda w: F.array_position(vocabulary, w).cast("int")
         ))
-        for k, domain in enumerate(self.domains):
+        scores = []
+        for k in range(len(self.domains)):
             score = F.lit(self.start[k])
             if self.words:
                 weights = F.array(*map(F.lit, self.present[k]))
                 score = score + total_of("mix_hits", weights)
             for share, table in zip(SHARES, self.shares, strict=True):
                 score = score + F.element_at(F.array(*map(F.lit, table[k])), F.col(f"mix_{share}") + 1)
-            df = df.withColumn(f"mix_s_{domain}", score)
-        top = F.greatest(*(f"mix_s_{d}" for d in self.domains)) if len(self.domains) > 1 else F.col(f"mix_s_{self.domains[0]}")
-        df = df.withColumn("mix_top", top)
-        for domain in self.domains:
-            df = df.withColumn(f"mix_s_{domain}", F.exp(F.col(f"mix_s_{domain}") - F.col("mix_top")))
-        total = sum((F.col(f"mix_s_{d}") for d in self.domains), F.lit(0.0))
-        return df.withColumns({f"p_{d}": F.col(f"mix_s_{d}") / total for d in self.domains}).drop(
-            "mix_hits", "mix_top", *(f"mix_s_{d}" for d in self.domains)
-        )
+            scores.append(score)
+        # As arrays, each step refers to the one before once: the plan stays small.
+        df = df.withColumn("mix_scores", F.array(*scores))
+        df = df.withColumn("mix_scores", F.transform("mix_scores", lambda s: F.exp(s - F.array_max("mix_scores"))))
+        df = df.withColumn("mix_total", F.aggregate("mix_scores", F.lit(0.0), lambda total, s: total + s))
+        found = {f"p_{d}": F.col("mix_scores")[k] / F.col("mix_total") for k, d in enumerate(self.domains)}
+        return df.withColumns(found).drop("mix_hits", "mix_scores", "mix_total")
 
 
 def learn(
@@ -119,18 +118,18 @@ def learn(
     for k in range(len(domains)):
         expected = F.col("n") * (n[k] / total)
         chi = chi + F.when(expected > 0, (F.col(f"n_{k}") - expected) ** 2 / expected).otherwise(0.0)
-    lifts = [F.lit(0.0), F.lit(0.0), *(F.col(f"n_{k}") * total / (F.col("n") * n[k]) for k in range(len(domains)) if n[k])]
+    share = lambda count, of: (count + 0.5) / (of + 1.0)
+    ratios = [share(F.col(f"n_{k}"), n[k]) / share(F.col("n") - F.col(f"n_{k}"), total - n[k]) for k in range(len(domains))]
     telling = (
-        counted.filter((F.col("n") >= LEAST_COUNT) & (F.greatest(*lifts) >= LEAST_LIFT))
+        counted.filter((F.col("n") >= LEAST_COUNT) & (F.greatest(F.lit(0.0), *ratios) >= LEAST_RATIO))
         .withColumn("chi", chi)
         .filter(F.col("chi") >= LEAST_CHI)
     )
     best = telling.orderBy(F.desc("chi"), "word").limit(vocabulary).collect()
     best.sort(key=lambda r: r["word"])
-    share = lambda c, k: (c + 0.5) / (n[k] + 1.0)
     start, present = [], []
     for k in range(len(domains)):
-        parts = [share(r[f"n_{k}"], k) for r in best]
+        parts = [share(r[f"n_{k}"], n[k]) for r in best]
         start.append(math.log((n[k] + 1) / (total + len(domains))) + sum(math.log(1 - p) for p in parts))
         present.append(tuple(math.log(p / (1 - p)) for p in parts))
     places = range(len(BINS) + 1)
@@ -211,10 +210,9 @@ class Mixture:
     classifier: Classifier
     steps: tuple[float, ...]
 
-    def rates(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """``df`` with mix_* features, p_<domain> and rate."""
-        found = self.classifier.posteriors(with_features(df, text_col))
-        return found.withColumn("rate", rate(self.classifier.domains, self.steps))
+    def rated(self, members: DataFrame) -> DataFrame:
+        """``members`` (with p_<domain>) and the rate of each."""
+        return members.withColumn("rate", rate(self.classifier.domains, self.steps))
 
 
 def fit(

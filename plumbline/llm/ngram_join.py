@@ -34,6 +34,8 @@ from plumbline.llm.components import components
 
 #: Part of the hash range whose tokens order 1 counts; prefixes take a quarter of the tokens.
 COUNTED = 0.36
+#: Size of the bitmap (4 MB) that sifts texts before sets are made of them.
+FILTER_BITS = 1 << 25
 STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -99,24 +101,33 @@ def first_order_rows(n: int, percent: int, counted: float):
     return run
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set at the hash places of ``ids``: its size doesn't depend on the data."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("place")).groupBy(F.expr("place div 64").alias("word"))
+    rows = words.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
 
 
-def set_rows(n: int):
+SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("tokens", pa.binary())])
+
+
+def set_rows(n: int, wanted):
+    """Sets of the documents whose ``place`` is in the broadcast bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(SETS)
+        bits = wanted.value
         for batch in batches:
-            for doc_id, digest, text in zip(
-                batch.column("doc_id").to_pylist(),
-                batch.column("digest").to_pylist(),
-                binaries(batch.column("text")),
-                strict=True,
-            ):
+            place = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63) & 1).astype(bool)))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binaries(batch.column("text")), strict=True):
                 words = text.lower().split()
-                # Of rows that repeat an identifier only those of the chosen text take part.
-                if words and digest_of(words) == digest:
+                if words:
                     tokens = shingle_set(words, n)
-                    out.add(doc_id, len(tokens), tokens.tobytes(), size=8 * len(tokens))
+                    out.add(doc_id, digest_of(words), len(tokens), tokens.tobytes(), size=8 * len(tokens))
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -250,12 +261,12 @@ def candidates(
         .agg(F.min("doc_id").alias("doc_id"))
     )
     live = staged(first.join(left, "doc_id", "left_semi").select("doc_id", "digest"), "live")
-    sets = staged(
-        docs.join(live, "doc_id")
-        .select("doc_id", "digest", "text")
-        .mapInArrow(set_rows(n), "doc_id bigint, n int, tokens binary"),
-        "sets",
-    )
+    # The bitmap spares most texts the way to the join that decides, as long as it isn't full.
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(live))
+    placed = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    made = placed.mapInArrow(set_rows(n, wanted), "doc_id bigint, digest binary, n int, tokens binary")
+    # Of rows that repeat an identifier only those of the chosen text take part.
+    sets = staged(made.join(live, ["doc_id", "digest"], "left_semi").drop("digest"), "sets")
     rows = sets.mapInArrow(token_rows, "token bigint, doc_id bigint, n int")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     prefixes = (

@@ -70,7 +70,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-CONTEXT = 3
+CONTEXT = 4
 HINT = re.compile(r"[0-9@]|\b(?:at|AT)\b(?=[\])}>]? \S)|[\[(]at[\])]")
 WORD = re.compile(r"\S+")
 EDGES = ".,;:!?\"'()[]{}<>"

@@ -158,8 +158,7 @@ def op10(spark, sf_dir):
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     mixture, members = mixing.fit(docs, table(spark, sf_dir, "labels"), TARGETS, anchor="clean")
-    found = members.withColumn("rate", mixing.rate(mixture.classifier.domains, mixture.steps))
-    return found.select(
+    return mixture.rated(members).select(
         "doc_id",
         F.col("mix_n").alias("n_tokens"),
         *(f"p_{d}" for d in TARGETS),

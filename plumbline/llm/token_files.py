@@ -10,6 +10,7 @@ alone. Start positions are prefix sums: totals of files first, then inside each
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from plumbline.llm.common import documents, scratch
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 #: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 JOINT = 256
 SCHEMA_SQL = "doc_id bigint, n_tokens int, ids array<int>"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -32,12 +33,15 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa
 class WordTokens(dict):
     """Word to its ids as bytes, filled by the tokenizers library.
 
-    Texts are cut at spaces and line feeds, which this kind of tokenizer drops and never joins over;
-    each distinct word is encoded once. Words are sent to the library many at a time, with a word
-    between them whose ids mark the cuts.
+    Texts are cut at spaces and line feeds, which this kind of tokenizer drops and never joins over,
+    and before a comma or full stop that ends a word; A-Z are lowered, as it does. Each distinct word
+    is encoded once. Words are sent to the library many at a time, with a word between them whose ids
+    mark the cuts.
     """
 
     MARK = "0"
+    #: A comma or full stop after other punctuation belongs to its run and can't be cut off.
+    IN_RUN = re.compile(r"[^\w\s][.,](?:\s|\Z)")
 
     def __init__(self, path: str):
         super().__init__()
@@ -46,6 +50,7 @@ class WordTokens(dict):
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
+        self[""] = b""
 
     def one(self, word: str) -> bytes:
         return np.array(self.tool.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -53,11 +58,13 @@ class WordTokens(dict):
     def learn(self, words: list[str]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
+            self[""] = b""
         # The mark must be one token that no other word can hold.
         plain = [w for w in words if len(self.mark) == 1 and self.MARK not in w and w.isascii()]
         for start in range(0, len(plain), JOINT):
             part = plain[start : start + JOINT]
-            ids = np.array(self.tool.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            joint = self.tool.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(joint.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(part) - 1:
                 continue
@@ -67,14 +74,20 @@ class WordTokens(dict):
             if word not in self:
                 self[word] = self.one(word)
 
+    def cut(self, text: str) -> list[str]:
+        text = text.encode().lower().decode().replace("\n", " ")
+        if not self.IN_RUN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[w for w in text.replace("\n", " ").split(" ") if w] for text in texts]
-        missing: set[str] = set()
-        for words in split:
-            missing.update(w for w in words if w not in self)
+        cut = [self.cut(text) for text in texts]
+        missing = [word for word in set().union(*cut) if word not in self]
         if missing:
-            self.learn(list(missing))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+            self.learn(missing)
+            if len(self) < len(missing):
+                raise AssertionError("words were lost")
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
 
 
 @functools.lru_cache(maxsize=2)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Rows
+from plumbline.llm.common import Rows, small_batches
 from plumbline.llm.crf import Model, train
 
 #: Elements by kind (fixed values of the HTML standard).
@@ -217,6 +217,7 @@ def extract_text(
     text; a page of plain text is one block. Rows are taken on their own, so repeats come back.
     """
     model = model or fitted()
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Rows
+from plumbline.llm.common import Rows, small_batches
 
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
@@ -129,12 +129,14 @@ def predict_language(
                 out.add(doc_id, *tools.predict(text.as_py()))
             yield from out.take()
 
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return picked.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """The rows, whole and with all their columns, whose language is told by at least ``margin``."""
+    small_batches(docs.sparkSession)
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

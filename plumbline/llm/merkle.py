@@ -18,6 +18,8 @@ BLOCK = 24
 SECTION = 8
 #: Hexadecimal digits of a leaf in the fingerprint.
 DIGITS = 6
+#: Join key of rows without identifier.
+NO_ID = -(2**63)
 
 
 def leaf_hashes(text: Column) -> Column:
@@ -103,31 +105,33 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of rows that repeat an identifier the least text is the next document of others. A row without
     identifier is nobody's next document, and its own is empty.
     """
-    texts = with_fingerprint(documents(docs, id_col, text_col), "text", "fingerprint")
-    lengths = (
-        documents(docs, id_col, text_col).groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).filter("doc_id is not null")
-    )
+    plain = documents(docs, id_col, text_col)
+    # Both joins take the same columns by the same key, so texts are shuffled once.
+    texts = plain.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
+    lengths = plain.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).filter("doc_id is not null")
     wanted = staged(
-        next_ids(documents(docs, id_col, text_col))
+        next_ids(plain)
         .join(lengths, "doc_id")
         .select(F.col("doc_id").alias("target"), F.col("next_id").alias("source"), F.expr("n div 3").alias("k")),
         "next",
     )
     sent = (
-        texts.join(wanted, texts.doc_id == wanted.source)
-        .select("target", F.expr("left(text, k)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+        with_fingerprint(texts.join(wanted, texts.key == wanted.source), "text", "next_fingerprint")
+        .select("target", F.expr("left(text, k)").alias("head"), "next_fingerprint")
         .groupBy("target")
         .agg(F.min(F.struct("head", "next_fingerprint")).alias("next"))
     )
     empty = with_fingerprint(docs.sparkSession.range(1).select(F.lit("").alias("text")), "text", "f").first()["f"]
-    joined = texts.join(sent, texts.doc_id == sent.target, "left").select(
+    nothing = F.struct(F.lit("").alias("head"), F.lit(empty).alias("next_fingerprint"))
+    every = texts.join(sent, texts.key == sent.target, "left").select(
+        F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce("next", nothing).alias("next")
+    )
+    joined = with_fingerprint(every, "text", "fingerprint").select(
         "doc_id",
         "fingerprint",
         F.length("text").cast("bigint").alias("n_chars"),
-        F.coalesce("next.next_fingerprint", F.lit(empty)).alias("next_fingerprint"),
-        F.expr("concat(left(text, length(text) - length(text) div 3), left(coalesce(next.head, ''), length(text) div 3))").alias(
-            "edited"
-        ),
+        F.col("next.next_fingerprint").alias("next_fingerprint"),
+        F.expr("concat(left(text, length(text) - length(text) div 3), left(next.head, length(text) div 3))").alias("edited"),
     )
     made = with_fingerprint(joined, "edited", "edited_fingerprint")
     return made.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn(

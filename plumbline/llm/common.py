@@ -20,9 +20,11 @@ MIX_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset, one of its own."""
+    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset in local mode, one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

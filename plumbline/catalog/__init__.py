@@ -13,6 +13,7 @@ MODULES = (
     "defects",
     "experiments",
     "ingestion",
+    "loads",
     "models",
 )
 

@@ -66,6 +66,11 @@ select k as part, drop_reason, case when drop_reason is not null then 'drop'
   imputation, encoding, scaling from p""",
 )
 def plan_rules(spark, sf):
+    planned = ruled(spark, sf)
+    return planned.select("part", "drop_reason", "action", "imputation", "encoding", "scaling")
+
+
+def ruled(spark, sf):
     """The rule chain over one flag row per part, the flags read off its size and key."""
     s = F.col("p_size")
     flagged = table(spark, sf, "part").select(
@@ -91,8 +96,23 @@ def plan_rules(spark, sf):
     dropped = F.col("drop_reason").isNotNull()
     for name, rule in (("imputation", prep.imputation()), ("encoding", prep.encoding()), ("scaling", prep.scaling())):
         planned = planned.withColumn(name, F.when(dropped, "none").otherwise(rule))
-    action = F.when(dropped, "drop").otherwise(prep.action())
-    return planned.select("part", "drop_reason", action.alias("action"), "imputation", "encoding", "scaling")
+    return planned.withColumn("action", F.when(dropped, "drop").otherwise(prep.action()))
+
+
+@query(
+    "plan_evidence",
+    """select p_partkey as part, i::int as place, 'col:c' || p_partkey || ':' || keys[i + 1] as metric_key from (
+  select p_partkey, unnest(range(len(keys))) as i, keys from (select p_partkey, ['dtype', 'nunique'] || case p_size
+    when 1 then ['leakage_suspect'] when 2 then ['missingness_leakage_suspect', 'missingness_target_corr']
+    when 3 then ['is_constant'] when 4 then ['is_low_variance'] when 5 then ['is_id_like']
+    when 8 then ['has_high_missing', 'missingness_informative'] when 9 then ['has_high_missing', 'missingness_informative']
+    else ['missing_pct', 'has_missing', 'missingness_informative', 'is_skewed', 'top_category_pct', 'iqr_outlier_pct',
+      'is_zero_inflated', 'nonzero_pct', 'is_numeric_but_categorical'] end as keys from part))""",
+)
+def plan_evidence(spark, sf):
+    """The metrics that each plan row cites, in order."""
+    planned = ruled(spark, sf).withColumn("column_name", F.concat(F.lit("c"), F.col("part").cast("string")))
+    return planned.select("part", F.posexplode(prep.evidence_keys()).alias("place", "metric_key"))
 
 
 OVERRIDE_SQL = """with p as (select o_custkey as run_id, o_orderkey as c, case when o_orderstatus = 'P' then 'drop' else 'scale' end

@@ -30,49 +30,46 @@ SCHEMA_SQL = "doc_id bigint, n_tokens int, ids array<int>"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
-class WordTokens(dict):
+class WordTokens:
     """Word to its ids as bytes, filled by the tokenizers library.
 
     Texts are cut at spaces and line feeds, which this kind of tokenizer drops and never joins over,
     and before a comma or full stop that ends a word; A-Z are lowered, as it does. Each distinct word
-    is encoded once. Words are sent to the library many at a time, with a word between them whose ids
-    mark the cuts.
+    is encoded once. Words are sent to the library many at a time, with a mark between them whose id
+    tells the cuts.
     """
 
-    MARK = "0"
+    MARK = "^"
     #: A comma or full stop after other punctuation belongs to its run and can't be cut off.
-    IN_RUN = re.compile(r"[^\w\s][.,](?:\s|\Z)")
+    IN_RUN = re.compile(r"[.,](?<=[^\w\s].)(?:\s|\Z)")
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
-        self[""] = b""
+        self.known: dict[str, bytes] = {"": b""}
 
     def one(self, word: str) -> bytes:
         return np.array(self.tool.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self[""] = b""
         # The mark must be one token that no other word can hold.
-        plain = [w for w in words if len(self.mark) == 1 and self.MARK not in w and w.isascii()]
+        plain = [w for w in words if len(self.mark) == 1 and self.MARK not in w]
         for start in range(0, len(plain), JOINT):
             part = plain[start : start + JOINT]
             joint = self.tool.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0]
             ids = np.array(joint.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
+            cuts = 4 * np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(part) - 1:
                 continue
-            for word, own in zip(part, np.split(ids, cuts), strict=True):
-                self[word] = (own if own is ids or not len(own) or own[0] != self.mark[0] else own[1:]).tobytes()
+            body = ids.tobytes()
+            ends = [*cuts.tolist(), len(body)]
+            self.known.update(zip(part, map(body.__getitem__, map(slice, [0, *(cuts + 4).tolist()], ends)), strict=True))
         for word in words:
-            if word not in self:
-                self[word] = self.one(word)
+            if word not in self.known:
+                self.known[word] = self.one(word)
 
     def cut(self, text: str) -> list[str]:
         text = text.encode().lower().decode().replace("\n", " ")
@@ -82,12 +79,13 @@ class WordTokens(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(text) for text in texts]
-        missing = [word for word in set().union(*cut) if word not in self]
-        if missing:
-            self.learn(missing)
-            if len(self) < len(missing):
-                raise AssertionError("words were lost")
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+        words = set().union(*cut)
+        missing = words.difference(self.known)
+        if missing and len(self.known) > REMEMBERED:
+            # All words of these texts are looked up below, so none of them may be missing then.
+            self.known, missing = {"": b""}, words - {""}
+        self.learn(list(missing))
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
 @functools.lru_cache(maxsize=2)

@@ -27,7 +27,7 @@ def claim_lines(spark, sf):
         key % 10,
         F.when(key % 3 == 0, "is_skewed").when(key % 3 == 1, "leakage_suspect").otherwise("mean"),
         F.when(key % 5 == 0, "false").when(key % 5 == 1, "2.5").otherwise("true"),
-        F.when(key % 6 == 0, "null").when(key % 6 == 1, F.concat(F.lit('{"b":1,"a":'), number, F.lit("}"))).otherwise(
+        F.when(key % 6 == 0, "null").when(key % 6 == 1, F.concat(F.lit('{"b":[1.0,2,"z"],"a":'), number, F.lit("}"))).otherwise(
             F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"'))
         ),
     )
@@ -117,7 +117,7 @@ select o_custkey as run_id, 'k' || o_orderkey as claim_id, 0::bigint as evidence
   case o_orderkey % 5 when 0 then 'false' when 1 then '2.5' else 'true' end as claimed_value_json from e
 union all select o_custkey, 'k' || o_orderkey, 1, 'target:x', case o_orderkey % 6 when 0 then 'null' when 1 then 'object'
   else 'str' end, case o_orderkey % 6 when 0 then 'null' when 1 then '{{"a":' || cast(round(o_totalprice / 1000) as bigint)
-  || ',"b":1}}' else '"' || o_orderstatus || '"' end from e""",
+  || ',"b":[1.0,2,"z"]}}' else '"' || o_orderstatus || '"' end from e""",
 )
 def ingest_evidence(spark, sf):
     parsed, _ = nz.parse_lines(claim_lines(spark, sf))

@@ -6,10 +6,13 @@ evidence array) is computed inside its row, so no step gathers a run.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.joins import layer2_gate, orphans
 from plumbline.operators.quality import missing_artifacts, quality_rows
@@ -66,11 +69,33 @@ def value_type(value: Column) -> Column:
     )
 
 
-def canonical_json(value: Column) -> Column:
-    """Compact JSON with sorted keys; a whole float keeps its ``.0``."""
+#: A float in the text of a list or object; without one a variant prints all that there is.
+NESTED_FLOAT = r"[:\[,]\s*-?[0-9]+\.[0-9]"
+
+
+@F.pandas_udf(T.StringType())
+def sorted_json(texts: pd.Series) -> pd.Series:
+    """JSON text with sorted keys, compact, numbers as they are; NULL stays NULL."""
+
+    def printed(text):
+        return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+    return texts.map(printed, na_action="ignore")
+
+
+def canonical_json(value: Column, raw: Column | None = None) -> Column:
+    """Compact JSON with sorted keys; a whole float keeps its ``.0``.
+
+    A variant forgets the ``.0`` of floats inside lists and objects; ``raw``, the JSON text of the
+    value, is asked for those.
+    """
     text = F.coalesce(F.to_json(value), F.lit("null"))
     bare = (value_type(value) == "float") & ~text.rlike("[.eE]")
-    return F.when(bare, F.concat(text, F.lit(".0"))).otherwise(text)
+    text = F.when(bare, F.concat(text, F.lit(".0"))).otherwise(text)
+    if raw is None:
+        return text
+    nested = value_type(value).isin("list", "object") & raw.rlike(NESTED_FLOAT)
+    return F.coalesce(sorted_json(F.when(nested, raw)), text)
 
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,8 +206,9 @@ def with_flag_choice(claims: DataFrame) -> DataFrame:
 
 def claims_with_keys(parsed: DataFrame) -> DataFrame:
     """Claims with a decision key read from structured fields only; ``parsed`` carries ``dataset``."""
-    raw = fields(parsed, CLAIM_JSON, "run_id", "line_no", "dataset").withColumn(
-        "_items", evidence_items(F.col("evidence"))
+    cited = F.from_json(F.get_json_object("value", "$.evidence"), "array<string>")
+    raw = fields(parsed, CLAIM_JSON, "run_id", "line_no", "dataset", "value").withColumns(
+        {"_items": evidence_items(F.col("evidence")), "_texts": cited}
     )
     stage = F.col("stage")
     plan = (stage == "preprocess") & F.col("column").isNotNull()
@@ -208,12 +234,15 @@ def claims_with_keys(parsed: DataFrame) -> DataFrame:
     # concat is NULL when any part is.
     return keyed.withColumn(
         "decision_key", F.concat("stage", F.lit("|"), "subject", F.lit("|"), "decision")
-    ).drop("_choice", "evidence")
+    ).drop("_choice", "evidence", "value")
 
 
 def evidence_refs(keyed: DataFrame) -> DataFrame:
     """One row per evidence object, with its position, value type and canonical value."""
-    item = F.explode("_items").alias("_item")
+    def with_text(item):
+        return F.struct(item["i"].alias("i"), item["e"].alias("e"), F.get("_texts", item["i"].cast("int")).alias("text"))
+
+    item = F.explode(F.transform("_items", with_text)).alias("_item")
     value = F.try_variant_get(F.col("_item.e"), "$.claimed_value", "variant")
     return keyed.select("run_id", "claim_id", item).select(
         "run_id",
@@ -221,7 +250,7 @@ def evidence_refs(keyed: DataFrame) -> DataFrame:
         F.col("_item.i").alias("evidence_index"),
         F.try_variant_get(F.col("_item.e"), "$.metric_key", "string").alias("metric_key"),
         value_type(value).alias("claimed_value_type"),
-        canonical_json(value).alias("claimed_value_json"),
+        canonical_json(value, F.get_json_object("_item.text", "$.claimed_value")).alias("claimed_value_json"),
     )
 
 
@@ -286,9 +315,9 @@ def prompt_calls(parsed: DataFrame) -> DataFrame:
         get("$.raw_response.id", "string").alias("response_id"),
         get("$.raw_response.model", "string").alias("response_model"),
         get("$.raw_response.stop_reason", "string").alias("stop_reason"),
-        canonical_json(get("$.error", "variant")).alias("error_json"),
-        canonical_json(get("$.prompt", "variant")).alias("prompt_json"),
-        canonical_json(get("$.raw_response", "variant")).alias("raw_response_json"),
+        canonical_json(get("$.error", "variant"), F.get_json_object("value", "$.error")).alias("error_json"),
+        canonical_json(get("$.prompt", "variant"), F.get_json_object("value", "$.prompt")).alias("prompt_json"),
+        canonical_json(get("$.raw_response", "variant"), F.get_json_object("value", "$.raw_response")).alias("raw_response_json"),
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -40,8 +41,12 @@ class WordTokens:
     """
 
     MARK = "^"
-    #: A comma or full stop after other punctuation belongs to its run and can't be cut off.
-    IN_RUN = re.compile(r"[.,](?<=[^\w\s].)(?:\s|\Z)")
+    #: A comma or full stop after anything but a letter, number or space belongs to its run and can't be
+    #: cut off (tested on composed text, as some letters fall into two). The run holds ``_``, too, and
+    #: the dot that a lowered capital I with dot leaves.
+    IN_RUN = re.compile(r"[.,](?<=(?:[^\w ]|[_\u0130]).)(?:\s|\Z)")
+    #: Capitals that compose with a mark only once they are lowered; the tokenizer lowers them after.
+    MARKED = re.compile(r"[HJTWY][^\x00-\xbf\w\u2000-\u206f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,8 +77,10 @@ class WordTokens:
                 self.known[word] = self.one(word)
 
     def cut(self, text: str) -> list[str]:
-        text = text.encode().lower().decode().replace("\n", " ")
-        if not self.IN_RUN.search(text):
+        text = text.replace("\n", " ")
+        if text.isascii() or not self.MARKED.search(text):
+            text = text.encode().lower().decode()
+        if not self.IN_RUN.search(unicodedata.normalize("NFC", text)):
             text = text.replace(", ", " , ").replace(". ", " . ")
         return text.split(" ")
 

@@ -459,6 +459,24 @@ def test_words_one_by_one_equal_whole_texts():
         assert np.frombuffer(ids, dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_commas_and_stops_stay_in_their_run():
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    tool.encode_special_tokens = True
+    rng = random.Random(11)
+    pieces = ["Word", "next", "3", "_", ".", ",", ". ", ", ", "_. ", "_, ", "._", ",_", " ", "\n", "*", "^", "\x1c", "İ", "J", "\u030c", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(16))) for _ in range(3000)]
+    texts += ["_word_. next", "name_, next", "\u0958, x", "J\u030c x", "H\u0323\u0331. x"]
+    # Of CJK and Hangul letters a few stand for all.
+    chars = [chr(i) for i in (*range(0x3500), *range(0xD700, 0xD800), *range(0xF900, 0x10000), *range(0x1D000, 0x1FC00))]
+    texts += [f"a{c}{end}b" for c in chars for end in (", ", ". ")] + [f"J{c} x" for c in chars]
+    got = token_files.WordTokens(queries.WORD_TOKENIZER).encode(texts)
+    want = tool.encode_batch_fast(texts, add_special_tokens=False)
+    for text, ids, whole in zip(texts, got, want, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.ids, repr(text)
+
+
 # Repeated passages
 
 

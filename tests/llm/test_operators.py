@@ -329,6 +329,19 @@ def test_language_of_odd_rows(spark, docs, nothing):
     assert language.Compressors(tools).told("q" * 4000, 0.5) is False
 
 
+def test_language_is_rejected_by_narrow_margin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tools = language.Compressors(queries.language_dictionaries(docs))
+    told = lambda text: tools.told(text, language.MARGIN)
+    assert not told("xqzt vbnk wrtp lkjh zzxq qqwv") and not tools.told("xqzt vbnk wrtp lkjh zzxq qqwv", 0.0)
+    held = docs.filter(queries.held_out(docs.doc_id)).collect()
+    assert sum(told(r.text) for r in held) >= 0.98 * len(held)
+    rng = random.Random(3)
+    for n in (5, 20, 100, 500):
+        noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(n)) for _ in range(100)]
+        assert sum(map(told, noise)) <= 5
+
+
 # Pages
 
 

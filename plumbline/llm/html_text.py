@@ -39,9 +39,14 @@ CLOSED_BY = {
     "option": frozenset({"option", "optgroup"}),
     "head": frozenset({"body"}),
 }
+#: Elements whose content is no text of the page, with their end tags. Without an end tag, script and
+#: style go on to the end of the page; of the others only the start tag is skipped.
+RAW = {
+    name: re.compile(rf"</{name}(?![^\s/>])[^>]*>", re.I)
+    for name in ("script", "style", "template", "svg", "iframe", "noembed", "noframes")
+}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|template|svg|math|iframe|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -65,17 +70,28 @@ def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
     current: Block | None = None
+    unclosed: set[str] = set()
     anchors = 0
     at = 0
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, at):
         if token.start() > at:
             current = add_text(page[at : token.start()], current, stack, blocks, anchors)
         at = token.end()
-        name = token.group(3)
+        name = token.group(2)
         if name is None:
             continue
         name = name.lower()
-        if not token.group(2):
+        if not token.group(1):
+            if name in RAW:
+                if name in unclosed or name == "svg" and token.group(3).endswith("/"):
+                    continue
+                if end := RAW[name].search(page, at):
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+                continue
             if name == "br":
                 if current is not None:
                     current.parts.append(" ")
@@ -86,11 +102,11 @@ def leaf_blocks(page: str) -> list[Block]:
                     stack[-1][0] not in BLOCKS and stack[-1][0] and any(s[0] == "p" for s in stack) and name in CLOSED_BY["p"]
                 ):
                     stack.pop()
-            if name in VOID or token.group(4).endswith("/"):
+            if name in VOID or token.group(3).endswith("/"):
                 continue
             marks, main = (), False
-            if token.group(4):
-                marks, main = marks_of(token.group(4))
+            if token.group(3):
+                marks, main = marks_of(token.group(3))
             if name in BLOCKS or marks:
                 stack.append((name, (*stack[-1][1], name, *marks), stack[-1][2] or main))
             else:

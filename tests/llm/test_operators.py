@@ -372,6 +372,37 @@ def test_unseen_page_layout(spark):
     assert html_text.extract_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<svg class="i"/>', ""),
+        ("<math/>", ""),
+        ("<svg><title>Icon</title><path d='M0'/></svg>", ""),
+        ("<svg/><svg><text>No</text></svg>", ""),
+        ("<p>Area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "Area x=2 holds. "),
+        ("<template><p>No</p></template><iframe src='/a'>No</iframe><noframes>No</noframes>", ""),
+        ("<svg>", ""),
+        ("<template>", ""),
+        ("<iframe src='/a'>", ""),
+        ("<noembed>" * 3, ""),
+        ("<svg-icon>", ""),
+        ("<script>var a = '<p>no</p>';</script><style>p {}</style >", ""),
+    ],
+)
+def test_elements_without_text_end_where_they_end(spark, inside, kept):
+    page = f"<body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article>{inside}<p>Main text here, of a whole line or so.</p><p>More text, that ends here.</p></article></body>"
+    got = html_text.leaf_blocks(page)
+    assert " ".join(b.text for b in got) == f"Home {kept}Main text here, of a whole line or so. More text, that ends here."
+    bare = html_text.leaf_blocks(page.replace(inside, ""))
+    assert {b.above for b in got} <= {b.above for b in bare}
+    frame = spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")
+    assert html_text.extract_text(frame).first().text == f"{kept}Main text here, of a whole line or so. More text, that ends here."
+
+
+def test_script_without_end_tag_goes_on_to_the_end():
+    assert [b.text for b in html_text.leaf_blocks("<p>One</p><script>var a = '<p>no</p>'")] == ["One"]
+
+
 def test_viterbi_equals_every_path():
     rng = np.random.default_rng(0)
     lengths = np.array([3, 1, 5, 2])

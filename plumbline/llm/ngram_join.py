@@ -366,3 +366,69 @@ def similar_documents(
     return header.join(found, header.doc_id == found.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")
     )
+
+
+#: Documents of one token that are compared in one task; larger buckets are dealt out in pairs of parts.
+TOGETHER = 512
+
+
+def pairs_in_buckets(prefixes: DataFrame, percent: int, together: int = TOGETHER) -> DataFrame:
+    """Distinct pairs (a < b) that share a prefix token and may be similar.
+
+    A bucket of k documents falls into ceil(k / ``together``) parts, and each pair of parts is a key
+    of its own, so that no task holds more than two parts of a token.
+    """
+    buckets = in_buckets(prefixes.withColumn("label", F.col("doc_id"))).select("token", "doc_id", "n", "place")
+    often = buckets.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(together)).alias("parts"), F.count(F.lit(1)).alias("df"))
+    dealt = buckets.join(often.filter("df > 1").select("token", "parts"), "token").withColumn(
+        "part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    )
+    keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    keyed = keyed.select(
+        "token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "n", "place"
+    )
+    left = keyed.filter("part = low")
+    right = keyed.filter("part = high").select(
+        "token", "low", "high", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("place_x")
+    )
+    # Inside one part each pair comes in both orders, across two parts in one.
+    return (
+        left.join(right, ["token", "low", "high"])
+        .filter(((F.col("low") < F.col("high")) | (F.col("doc_id") < F.col("x"))) & may_be_similar(percent))
+        .select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
+        .distinct()
+    )
+
+
+def link_counts(
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 75,
+    counted: float = COUNTED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Per identifier: doc_id, n_links, the number of other identifiers linked to it.
+
+    The links are those of ``similar_documents``, all of them: every pair of different texts that may
+    be similar is verified, and a text counts as often as identifiers have it. The pairs of a group of
+    near copies with different texts are as many as its square.
+    """
+    texts = documents(docs, id_col, text_col)
+    header = staged(texts.mapInArrow(header_rows(n), "doc_id bigint, n_shingles bigint, digest binary"), "header")
+    prefixes, sets = candidates(texts, header, n, percent, counted)
+    pairs = staged(pairs_in_buckets(prefixes, percent), "all-pairs")
+    links = staged(verified(pairs, prefixes, sets, percent), "all-links")
+
+    vertex = header.filter("doc_id is not null").groupBy("doc_id").agg(F.max("digest").alias("digest"))
+    # A text is named by the least identifier that has it, as in ``candidates``.
+    named = staged(
+        vertex.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")),
+        "texts",
+    )
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = (
+        ways.join(named.select(F.col("a").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    )
+    counts = named.join(others, "a", "left").select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return vertex.join(counts, "digest", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

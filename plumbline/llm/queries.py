@@ -91,6 +91,21 @@ def op2(spark, sf_dir):
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+OP2_LINKS_SQL = (
+    OP2_SQL.partition("), both_ways as")[0]
+    + """), ways as (
+  select a as doc_id, b from links union all select b, a from links
+)
+select doc_id, count(b) as n_links from sizes left join ways using (doc_id) group by 1
+"""
+)
+
+
+@query("op2_link_counts", OP2_LINKS_SQL)
+def op2_links(spark, sf_dir):
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = f"""
 with norm as (select doc_id, {LOWER_SQL} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,

@@ -177,6 +177,49 @@ def test_similar_documents_near_the_threshold(spark, seed):
     assert {tuple(r) for r in got} == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    links = dict.fromkeys((i for i, _ in sets), 0)
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        shared = len(x & y)
+        if shared and 100 * shared >= 75 * (len(x) + len(y) - shared):
+            links[a] += 1
+            links[b] += 1
+    return links
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_link_is_counted(spark, seed):
+    rng = random.Random(seed)
+    base = words(rng, 60)
+    rows = []
+    for i in range(60):
+        own = list(base) if i % 3 else words(rng, 20) + base[:40]
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"y{rng.randrange(40)}"
+        rows.append((i, " ".join(own[: rng.randrange(45, 61)])))
+    rows += [(100 + i, rows[i % 5][1].upper()) for i in range(12)] + [(200, ""), (201, None), (202, "a b"), (203, "A  b")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(frame).collect()} == brute_links(rows)
+
+
+def test_buckets_dealt_in_parts_give_the_same_pairs(spark):
+    rows = [(i, 10, 0, [7, 8] if i % 2 else [7], b"") for i in range(40)] + [(99, 10, 0, [9], b"")]
+    prefixes = spark.createDataFrame(rows, ngram_join.PREFIXES_SQL)
+    want = {(a, b) for a, b in itertools.combinations(range(40), 2)}
+    for together in (3, 512):
+        got = [tuple(r) for r in ngram_join.pairs_in_buckets(prefixes, 75, together).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_link_counts_of_odd_rows(docs, corpus, nothing, spark):
+    clean = [r for r in dict.fromkeys(corpus) if r[0] is not None and "another text" not in (r[1] or "")]
+    got = ngram_join.link_counts(spark.createDataFrame(clean, SCHEMA)).collect()
+    assert {r.doc_id: r.n_links for r in got} == brute_links(clean)
+    assert ngram_join.link_counts(nothing).count() == 0
+    assert {r.doc_id for r in ngram_join.link_counts(docs).collect()} == {i for i, _ in corpus if i is not None}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7), (200, 200)]
     frame = spark.createDataFrame(edges, "a bigint, b bigint")

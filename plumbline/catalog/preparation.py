@@ -268,9 +268,9 @@ select o_orderkey, coalesce(code, -1) as priority_code from orders left join v o
 )
 def feat_ordinal(spark, sf):
     orders = table(spark, sf, "orders")
-    known = ft.vocabulary(orders.where("o_orderpriority <> '3-MEDIUM'"), "o_orderpriority")
-    code = ft.ordinal(F.col("o_orderpriority"), known).cast("bigint")
-    return orders.select("o_orderkey", code.alias("priority_code"))
+    codes = ft.label_codes(orders.where("o_orderpriority <> '3-MEDIUM'"), "o_orderpriority")
+    coded = ft.ordinal(orders.select("o_orderkey", "o_orderpriority"), F.col("o_orderpriority"), codes, "priority_code")
+    return coded.select("o_orderkey", F.col("priority_code").cast("bigint").alias("priority_code"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import normal
 from plumbline.functions.stats import pearson
-from plumbline.operators.features import vocabulary
+from plumbline.operators.features import label_codes, with_codes
 from plumbline.operators.sampling import smallest_by_hash
 
 # Names and sizes of the planted defects.
@@ -61,12 +61,17 @@ def leak_numeric(df: DataFrame, target: str, key: str) -> DataFrame:
 def leak_label(df: DataFrame, target: str, key: str) -> DataFrame:
     """Adds the label with 0.5 % of the rows (at least one) moved to the next class."""
     rows = df.count()
-    classes = vocabulary(df, target)
-    if len(classes) < 2:
+    label = F.col(target).cast("string")
+    codes = label_codes(df.select(label.alias("label")), "label")
+    classes = codes.count()
+    if classes < 2:
         raise ValueError("a label leak needs two classes")
-    following = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, classes[(i + 1) % len(classes)])])
+    # A table (label, code), where the code is the next class.
+    before = codes.select("label", F.pmod(F.col("code") + 1, F.lit(classes)).alias("place"))
+    following = before.join(codes.select(F.col("label").alias("next"), F.col("code").alias("place")), "place")
     flipped = smallest_by_hash(df, key, max(1, round(rows * FLIP_SHARE)), "flip")
-    return df.withColumn(LEAKED, F.when(flipped, following[F.col(target).cast("string")]).otherwise(F.col(target).cast("string")))
+    moved = with_codes(df, label, following.select("label", F.col("next").alias("code")), "_next")
+    return moved.withColumn(LEAKED, F.when(flipped, F.col("_next")).otherwise(label)).drop("_next")
 
 
 def plant_missing(df: DataFrame, key: str) -> DataFrame:
@@ -86,9 +91,10 @@ def plant_defects(df: DataFrame, target: str, key: str) -> DataFrame:
 def corruption_report(df: DataFrame, target: str) -> DataFrame:
     """The planted defects as measured: distinct values, correlation and missing share."""
     if df.schema[target].dataType.typeName() in ("string", "boolean"):
-        classes = vocabulary(df, target)
-        code = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        y, leaked = code[F.col(target).cast("string")], code[F.col(LEAKED).cast("string")]
+        codes = label_codes(df.select(F.col(target).cast("string").alias("label")), "label")
+        df = with_codes(df, F.col(target), codes, "_y")
+        df = with_codes(df, F.col(LEAKED), codes, "_leaked")
+        y, leaked = F.col("_y").cast("double"), F.col("_leaked").cast("double")
     else:
         y, leaked = F.col(target).cast("double"), F.col(LEAKED)
     return df.agg(

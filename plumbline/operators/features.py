@@ -6,9 +6,11 @@ lookup; additive statistics of "all other folds" are the total minus the own fol
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,11 +108,9 @@ def category_text(column: Column, numeric: bool) -> Column:
     return column.cast("double").cast("string") if numeric else column.cast("string")
 
 
-def vocabulary(df: DataFrame, name: str, limit: int = 1000) -> list[str]:
-    """Sorted categories of a one-hot or ordinal column; plans choose these for few categories only."""
-    found = df.select(F.col(name).cast("string").alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{name} has more than {limit} categories; use target encoding")
+def vocabulary(df: DataFrame, name: str) -> list[str]:
+    """Sorted categories, all of them, for one column each: as many names as the result has columns."""
+    found = df.select(F.col(name).cast("string").alias("v")).where("v is not null").distinct().collect()
     return sorted(r["v"] for r in found)
 
 
@@ -120,9 +120,29 @@ def one_hot(column: Column, categories: Sequence[str], prefix: str) -> list[Colu
     return [F.coalesce((text == c).cast("int"), F.lit(0)).alias(f"{prefix}_{c}") for c in categories]
 
 
-def ordinal(column: Column, categories: Sequence[str]) -> Column:
-    """Position among the sorted categories; unknown is -1."""
-    return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in categories]), column.cast("string")) - 1, F.lit(-1))
+def with_codes(df: DataFrame, text: Column, codes: DataFrame, output: str) -> DataFrame:
+    """``df`` with the code of ``text`` in a table (label, code); unknown and missing are NULL."""
+    label = codes.columns[0]
+    keyed = codes.select(F.col(label).cast("string").alias(f"_text_{output}"), F.col("code").alias(output))
+    found = lookup(df.withColumn(f"_text_{output}", text.cast("string")), keyed, [f"_text_{output}"])
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], output)
+
+
+def ordinal(df: DataFrame, text: Column, codes: DataFrame, output: str) -> DataFrame:
+    """Adds the position among the sorted categories of ``codes``, a table of any length; unknown is -1."""
+    return with_codes(df, text, codes, output).withColumn(output, F.coalesce(output, F.lit(-1)))
+
+
+def one_hot_vector(df: DataFrame, text: Column, codes: DataFrame, output: str) -> DataFrame:
+    """Adds a sparse 0/1 vector by category index, for any number of categories; unknown is all zeros."""
+    size = codes.count()
+    if not size:
+        return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
+    index = f"_index_{output}"
+    found = with_codes(df, text, codes, index).withColumn(index, F.coalesce(index, F.lit(size)).cast("double"))
+    # An index beyond the known ones is kept as the last place, which is dropped.
+    encoder = OneHotEncoder(inputCol=index, outputCol=output, handleInvalid="keep", dropLast=True)
+    return encoder.fit(codes.select(F.col("code").cast("double").alias(index))).transform(found).drop(index)
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
@@ -212,8 +232,12 @@ class FittedColumns:
     """Feature expressions whose statistics come from the fit rows."""
 
     outputs: tuple[Column, ...]
+    #: (encoder, text, codes, column that ``outputs`` take the code from)
+    coded: tuple[tuple[Callable, Column, DataFrame, str], ...] = ()
 
     def apply(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        for encoder, text, codes, output in self.coded:
+            df = encoder(df, text, codes, output)
         return df.select(*keep, *self.outputs)
 
 
@@ -232,12 +256,14 @@ def fit_columns(fit: DataFrame, specs: Sequence[ColumnSpec]) -> FittedColumns:
     numeric = {s.name for s in specs if kinds[s.name] not in ("string", "boolean")}
     measured = [s.name for s in specs if s.name in numeric and s.encoding == "none"]
     stats = fit_numeric(fit, measured) if measured else {}
-    coded = [s for s in specs if s.encoding in ("onehot", "ordinal")]
+    coded = [s for s in specs if s.encoding in ("onehot", "onehot_vector", "ordinal")]
     by_mode = [s.name for s in coded if s.imputation == "mode"]
     modes = fit_modes(fit, by_mode) if by_mode else {}
     gaps = fit.agg(*[F.count_if(F.col(s.name).isNull()).alias(s.name) for s in specs]).first().asDict()
     stats = stats | _filled_statistics(fit, specs, stats, gaps)
     outputs: list[Column] = []
+    tables: list[tuple[Callable, Column, DataFrame, str]] = []
+    encoders = {"ordinal": ordinal, "onehot_vector": one_hot_vector}
     for spec in specs:
         column, is_number = F.col(spec.name), spec.name in numeric
         if spec.add_indicator and spec.imputation != "none" and gaps[spec.name]:
@@ -248,14 +274,16 @@ def fit_columns(fit: DataFrame, specs: Sequence[ColumnSpec]) -> FittedColumns:
             outputs.append(scale(filled, spec.scaling, own).alias(spec.name))
             continue
         text = impute(category_text(column, is_number), spec.imputation, False, mode=modes.get(spec.name))
-        known = vocabulary(fit.select(text.alias(spec.name)), spec.name) if spec.encoding != "target" else []
+        known = fit.select(text.alias(spec.name))
         if spec.encoding == "onehot":
-            outputs += one_hot(text, known, spec.name)
-        elif spec.encoding == "ordinal":
-            outputs.append(ordinal(text, known).alias(spec.name))
+            outputs += one_hot(text, vocabulary(known, spec.name), spec.name)
+        elif spec.encoding in encoders:
+            made = f"_coded_{spec.name}"
+            tables.append((encoders[spec.encoding], text, label_codes(known, spec.name), made))
+            outputs.append(F.col(f"`{made}`").alias(spec.name))
         else:
             outputs.append(text.alias(spec.name))
-    return FittedColumns(tuple(outputs))
+    return FittedColumns(tuple(outputs), tuple(tables))
 
 
 def _filled_statistics(fit: DataFrame, specs: Sequence[ColumnSpec], stats: dict, gaps: dict) -> dict:

@@ -216,3 +216,32 @@ def test_sentinel(spark):
 def test_hash_fold_is_plain_md5(spark):
     got = {r["id"]: r["f"] for r in spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()}
     assert got == {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 5 for i in range(50)}
+
+
+def many_labels(spark, n=1300):
+    return spark.range(2 * n).select(
+        "id", F.format_string("c%04d", F.col("id") % n).alias("cat"), F.format_string("c%04d", F.col("id") % n).alias("y")
+    )
+
+
+def test_encoders_take_any_number_of_categories(spark):
+    fit = many_labels(spark)
+    new = spark.createDataFrame([(0, "c0000"), (1, "c1299"), (2, "new"), (3, None)], "id long, cat string")
+    made = {c: ft.transform(fit, new, [ft.ColumnSpec("cat", "none", c)], ["id"]) for c in ("ordinal", "onehot_vector", "onehot")}
+    assert {tuple(r) for r in made["ordinal"].collect()} == {(0, 0), (1, 1299), (2, -1), (3, -1)}
+    got = {r.id: r.cat for r in made["onehot_vector"].collect()}
+    assert all(v.size == 1300 for v in got.values())
+    assert {i: v.indices.tolist() for i, v in got.items()} == {0: [0], 1: [1299], 2: [], 3: []}
+    rows = {r["id"]: r[1:] for r in made["onehot"].collect()}
+    assert {i: [p for p, v in enumerate(r) if v] for i, r in rows.items()} == {0: [0], 1: [1299], 2: [], 3: []}
+
+
+def test_label_leak_of_many_classes(spark):
+    frame = many_labels(spark)
+    planted = cor.plant_defects(frame, "y", "id")
+    assert planted.columns[:3] == frame.columns
+    moved = planted.where(F.col("y") != F.col(cor.LEAKED)).select("y", cor.LEAKED).collect()
+    assert len(moved) == round(2600 * cor.FLIP_SHARE) and planted.count() == 2600
+    assert all(int(b[1:]) == (int(a[1:]) + 1) % 1300 for a, b in moved)
+    both = [(int(r.y[1:]), int(r[cor.LEAKED][1:])) for r in planted.collect()]
+    assert cor.corruption_report(planted, "y").first().leaked_corr_with_target == pytest.approx(np.corrcoef(np.array(both).T)[0, 1])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, exact_dedup, language, mixing, ngram_join, queries
-from plumbline.llm.common import staged
+from plumbline.llm.common import lowered, staged
 
 
 def without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
@@ -26,9 +26,25 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest identifier."""
+    """Of equal texts exactly one row: of the smallest identifier, and without one only if no row has any.
+
+    Decided by identifier and text, so of an identifier with several texts only the copies go. Of rows
+    that repeat identifier and text the smallest stays.
+    """
     found = exact_dedup.exact_duplicates(docs, keep="smallest")
-    return without(docs, found.filter("not kept and doc_id <> keep_id"), "copies")
+    marks = (
+        found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__same"))
+        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+        .filter("not __kept or __rows > 1")
+    )
+    marks = staged(marks, "copies")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn("__sha", F.sha2(lowered(text).cast("binary"), 256))
+    same = keyed["doc_id"].cast("bigint").eqNullSafe(marks["__id"]) & (keyed["__sha"] == marks["__same"])
+    others = keyed.join(marks, same, "left_anti").select(*docs.columns)
+    again = keyed.join(marks.filter("__kept"), same, "left_semi").groupBy("doc_id", "__sha")
+    one = again.agg(F.min(F.struct(*docs.columns)).alias("__one")).select("__one.*")
+    return others.unionByName(one)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,22 @@ def test_copies_go(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(best.values())
 
 
+def test_copies_go_by_row(spark):
+    rows = [
+        (1, "One text."), (1, "One text."), (1, "one TEXT."), (2, "one text."), (None, "One text."),  # one row of 1
+        (3, "Own text of three."), (3, "ONE TEXT."), (4, "Own text of three."),  # 3 keeps the text of its own
+        (None, "Nobody's."), (None, "nobody's."), (None, "Other."),  # one of each
+        (5, None), (None, ""), (6, ""),  # null is empty
+        (7, "Alone."),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.first_copies(spark, docs.repartition(4), SF)
+    assert got.columns == COLUMNS
+    assert sorted(((r.doc_id or 0), (r.text or "").lower()) for r in got.collect()) == [
+        (0, "nobody's."), (0, "other."), (1, "one text."), (3, "own text of three."), (5, ""), (7, "alone."),
+    ]
+
+
 def test_near_copies_go(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
 

@@ -17,6 +17,7 @@ from plumbline.llm import (
     personal_data,
     substring,
     token_files,
+    url_filter,
 )
 
 QUERIES: dict = {}
@@ -205,3 +206,36 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+#: Rules of the registered query: host, path, verdict.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+OP13_SQL = f"""
+with rules(rule_host, rule_path, says) as (values {", ".join(map(str, URL_RULES))}),
+split as (
+  select row_number() over () as r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path
+  from pages
+), fits as (
+  select r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(says, length(rule_host || rule_path)) as says
+  from split join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by r
+)
+select page_id, host, path, rule, coalesce(says, case when list_has_any(
+    regexp_split_to_array(host, '[\\x00-/:-@\\[-`{{-\\x7f]+'), {list(url_filter.WORDS)}) then 'block' else 'allow' end) as verdict
+from split left join fits using (r)
+"""
+
+
+@query("op13_url_filter", OP13_SQL)
+def op13(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)

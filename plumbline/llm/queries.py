@@ -18,6 +18,7 @@ from plumbline.llm import (
     substring,
     token_files,
     url_filter,
+    whitening,
 )
 
 QUERIES: dict = {}
@@ -208,6 +209,12 @@ def op8(spark, sf_dir):
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+
 #: Rules of the registered query: host, path, verdict.
 URL_RULES = [
     ("net", "/", "block"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     bpe,
+    conversation_repair,
     exact_dedup,
     html_text,
     language,
@@ -246,3 +247,76 @@ from split left join fits using (r)
 def op13(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP12_SQL = """
+with recursive crc_table as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), coded as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+        string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda ch: unicode(ch)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as code
+  from conversations, crc_table
+), damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+    case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case code when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from coded
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+  from damaged
+), marked as (
+  select *, body = '' as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+    right(body, 1) not in ('.', '!', '?') as cut_off, left(role, 1) as z,
+    lag(left(role, 1)) over (partition by conv_id order by i) as y
+  from placed
+), faults as (
+  select conv_id, i, turn, role, text, z, blank or again as m,
+    blank, again and not blank as duplicate, cut_off and not again and not blank as truncated,
+    (y is not null and y || z not in ('su', 'ua', 'au'))::int as bad
+  from marked
+), ends as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int)::bigint as blank,
+    sum(duplicate::int)::bigint as duplicate, sum(truncated::int)::bigint as truncated, sum(bad)::bigint as illegal, max(i) as n
+  from faults group by conv_id
+), ways as (
+  select conv_id, 0::bigint as i, {'c': 0::bigint, 'a': '', 't': ''} as s0, {'c': 1000000000::bigint, 'a': '', 't': ''} as s1,
+    {'c': 3::bigint, 'a': 'I', 't': chr(10) || 'user:'} as s2,
+    {'c': 6::bigint, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} as s3
+  from ends
+  union all
+  select conv_id, i, s0, s1, u, list_min([v, {'c': u.c + 3, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}]) from (
+    select conv_id, i, s0, s1, v, list_min([r2, {'c': s0.c + 3, 'a': s0.a || 'I', 't': s0.t || chr(10) || 'user:'},
+      {'c': s1.c + 3, 'a': s1.a || 'I', 't': s1.t || chr(10) || 'user:'},
+      {'c': v.c + 3, 'a': v.a || 'I', 't': v.t || chr(10) || 'user:'}]) as u
+    from (
+      select f.conv_id, f.i, {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} as s0,
+        list_min([{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t},
+          {'c': s0.c + k.cost + case when f.z = 's' then 0 else 1000000000 end, 'a': s0.a || 'K', 't': s0.t || k.line}]) as s1,
+        list_min(list_concat([{'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t}],
+          list_transform([s0, s1, s3], lambda x: {'c': x.c + k.cost + case when f.z = 'u' then 0 else 1000000000 end, 'a': x.a || 'K', 't': x.t || k.line}),
+          list_transform([s0, s1, s3], lambda x: {'c': x.c + k.cost + 3, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || f.text}))) as r2,
+        list_min([{'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t},
+          {'c': s2.c + k.cost + case when f.z = 'a' then 0 else 1000000000 end, 'a': s2.a || 'K', 't': s2.t || k.line},
+          {'c': s2.c + k.cost + 3, 'a': s2.a || 'R', 't': s2.t || chr(10) || 'assistant:' || f.text}]) as v
+      from ways w join faults f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1,
+        lateral (select case when f.m then 1000000000 when f.truncated then 3 else 0 end as cost, chr(10) || f.role || ':' || f.text as line) k
+    )
+  )
+), best as (
+  select e.*, list_min([s0, s3]) as b from ends e join ways w on e.conv_id is not distinct from w.conv_id and e.n = w.i
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(b.c, 0) as cost, coalesce(b.a, '') as audit,
+  sha256(coalesce(substr(b.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join best on o.conv_id is not distinct from best.conv_id
+"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12(spark, sf_dir):
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, F.col("present"))

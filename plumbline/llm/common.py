@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,27 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for folders in _open:
+        folders.append(path)
+    return path
+
+
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the folders that ``scratch`` gave out inside; what is read from them must be written by then."""
+    folders: list[str] = []
+    _open.append(folders)
+    try:
+        yield folders
+    finally:
+        _open.remove(folders)
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -37,6 +59,35 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "__row"
+#: Rows of one file that a row key can tell apart.
+ROW_BITS = 36
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with a number for each row that is the same in every scan: its file and its place there.
+
+    A table that isn't read from files is written first. The list of files is broadcast, as long as the
+    one that the driver has of every table.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index")]
+    try:
+        placed = df.select("*", *place)
+    except AnalysisException:
+        df = staged(df, "keyed")
+        placed = df.select("*", *place)
+    files = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    numbered = df.sparkSession.createDataFrame(list(enumerate(files)), "__number bigint, __file string")
+    key = F.shiftleft("__number", ROW_BITS) + F.col("__index")
+    return placed.join(F.broadcast(numbered), "__file").select(*(F.col(f"`{c}`") for c in df.columns), key.alias(ROW))
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is not in ``gone``, without the key. Each row moves once, by a key that no two share;
+    the join is the same however few go."""
+    return keyed.join(gone.hint("shuffle_hash"), ROW, "left_anti").drop(ROW)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows come to Python ``BATCH_ROWS`` at a time at most, so that a worker holds few texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,12 +95,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) alone, so that no other column can clash; a null text is empty."""
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id, text) and ``more`` alone, so that no other column can clash; a null text is empty."""
     small_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        *(F.col(f"`{c}`") for c in more),
     )
 
 

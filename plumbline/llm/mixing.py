@@ -5,9 +5,9 @@ domain: from words that tell domains apart and from binned shares of symbols, ca
 Each document has a rate of at least 0, how often it is taken on average. The rates r minimise
 sum_k (S_k(r) - t_k)^2, where S_k is the sum of rate times tokens times posterior of domain k, by
 projected gradient descent from r = 1: steps are scaled by the tokens of a document and the inverse of
-the domains' Gram matrix, and the projection is put off to the end (dual averaging), so that the sum of
-all steps is one number for each domain, rate = max(0, 1 + sum_k p_k lambda_k), and an iteration is one
-aggregate.
+the domains' Gram matrix over the rows that still have a rate, and the projection is put off to the end
+(dual averaging), so that the sum of all steps is one number for each domain,
+rate = max(0, 1 + sum_k p_k lambda_k), and an iteration is one aggregate.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import staged
+from plumbline.llm.common import ROW, staged, with_row_key
 
 #: Bounds of what is learned: labelled rows, and words that serve as features.
 LABELLED_ROWS = 20_000
+#: Shortest step of the descent, as a share of a whole one.
+LEAST_STEP = 1 / 64
 VOCABULARY = 200
 LEAST_COUNT = 8
 #: Words whose presence is less surely tied to a domain (chi-square) are no features.
@@ -153,36 +155,47 @@ def fit_rates(
     anchor: str | None = None,
     rounds: int = 60,
     tolerance: float = 1e-4,
-) -> tuple[float, ...]:
-    """Sum of gradient steps of each domain, from a stored table of mix_n and p_<domain>.
+) -> tuple[tuple[float, ...], dict[str, float]]:
+    """Sum of gradient steps of each domain, from a stored table of mix_n and p_<domain>, and what each total still
+    lacks of its target, as a share of all wanted tokens.
 
     ``targets`` are relative weights. The total is that of all tokens; with ``anchor`` it is chosen so
-    that this domain keeps its own. Stops when all totals are within ``tolerance`` of all tokens. An
+    that this domain keeps its own. Stops when all totals are within ``tolerance`` of all tokens, or after
+    ``rounds``, then with a greater residual: targets may be out of reach for nonnegative rates. An
     empty table or one without tokens gives 0 for each. A domain without mass can't be moved.
     """
     domains = tuple(targets)
     weight = sum(targets.values())
     k = len(domains)
-    grams = [F.sum(F.col("mix_n") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in domains for b in domains]
-    gram = np.array([x or 0.0 for x in members.agg(*grams).first()]).reshape(k, k)
-    mass = gram.sum(axis=1).tolist()
-    total = sum(mass)
+    def told(steps: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals by domain, and the Gram matrix of the rows whose rate is above 0."""
+        own = rate(domains, steps)
+        sums = [F.sum(own * F.col("mix_n") * F.col(f"p_{d}")) for d in domains]
+        grams = [F.sum(F.when(own > 0, F.col("mix_n") * F.col(f"p_{a}") * F.col(f"p_{b}"))) for a in domains for b in domains]
+        found = np.array([x or 0.0 for x in members.agg(*sums, *grams).first()])
+        return found[:k], found[k:].reshape(k, k)
+
+    steps = (0.0,) * k
+    mass, gram = told(steps)
+    total = float(mass.sum())
     if not total:
-        return (0.0,) * len(domains)
+        return steps, dict.fromkeys(domains, 0.0)
     if anchor is not None:
-        total = mass[domains.index(anchor)] * weight / targets[anchor] or total
-    wanted = [total * targets[d] / weight for d in domains]
-    # With fewer active rows than at first the true matrix is smaller, so whole steps never overshoot.
-    inverse = np.linalg.pinv(gram, rcond=1e-9)
-    steps = (0.0,) * len(domains)
+        total = float(mass[domains.index(anchor)]) * weight / targets[anchor] or total
+    wanted = np.array([total * targets[d] / weight for d in domains])
+    away, whole, share = wanted - mass, gram, 1.0
     for _ in range(rounds):
-        own = rate(domains, steps)
-        sums = members.agg(*(F.sum(own * F.col("mix_n") * F.col(f"p_{d}")) for d in domains)).first()
-        away = [(w - (s or 0.0)) for s, w in zip(sums, wanted, strict=True)]
-        if max(map(abs, away)) <= tolerance * total:
+        if np.abs(away).max() <= tolerance * total or share < LEAST_STEP:
             break
-        steps = tuple(float(s) for s in np.array(steps) + inverse @ np.array(away))
-    return steps
+        # A step that doesn't bring the totals nearer is made shorter, first by the matrix of all rows.
+        step = np.linalg.pinv(gram, rcond=1e-9) @ away if share == 1.0 else 2 * share * (np.linalg.pinv(whole, rcond=1e-9) @ away)
+        tried = tuple(float(s) for s in np.array(steps) + step)
+        mass, active = told(tried)
+        if np.linalg.norm(wanted - mass) < np.linalg.norm(away):
+            steps, away, gram, share = tried, wanted - mass, active, 1.0
+        else:
+            share /= 2
+    return steps, {d: float(a) / total for d, a in zip(domains, away, strict=True)}
 
 
 def copies(rates: Column, key: Column) -> Column:
@@ -209,6 +222,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 class Mixture:
     classifier: Classifier
     steps: tuple[float, ...]
+    #: What each domain's total lacks of its target, as a share of all wanted tokens.
+    residual: dict[str, float]
 
     def rated(self, members: DataFrame) -> DataFrame:
         """``members`` (with p_<domain>) and the rate of each."""
@@ -216,15 +231,31 @@ class Mixture:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str | None = None
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str | None = None, carry: tuple[str, ...] = ()
 ) -> tuple[Mixture, DataFrame]:
-    """The mixture and (doc_id, mix_n, p_<domain>) of every row, stored.
+    """The mixture and (doc_id, mix_n, p_<domain>, and the columns of ``carry``) of every row, stored.
 
     A row with a null or empty text has no tokens; its posteriors are those of an empty text.
     """
     classifier = learn(labelled_rows(docs, labels), tuple(targets))
-    own = docs.select(F.col("doc_id"), F.col("text"))
+    own = docs.select(F.col("doc_id"), F.col("text"), *carry)
     members = staged(
-        classifier.posteriors(with_features(own, "text")).select("doc_id", "mix_n", *(f"p_{d}" for d in targets)), "members"
+        classifier.posteriors(with_features(own, "text")).select("doc_id", "mix_n", *(f"p_{d}" for d in targets), *carry), "members"
     )
-    return Mixture(classifier, fit_rates(members, targets, anchor)), members
+    return Mixture(classifier, *fit_rates(members, targets, anchor)), members
+
+
+def taken(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str | None = None) -> DataFrame:
+    """The rows, with all their columns, as often as their rates say (``copies`` by doc_id).
+
+    Each row has a rate of its own, so rows that repeat an identifier with other texts are told apart; rows
+    without identifier are taken once, and so are null and empty texts as often as the rate of an empty one says.
+    """
+    keyed = with_row_key(docs)
+    mixture, members = fit(keyed, labels, targets, anchor, carry=(ROW,))
+    often = mixture.rated(members).filter("doc_id is not null").select(ROW, copies(F.col("rate"), F.col("doc_id")).alias("__copies"))
+    changed = staged(often.filter("__copies <> 1"), "copies")
+    # Each row moves once, by a key that no two share; the join is the same however few change.
+    dealt = keyed.join(changed.hint("shuffle_hash"), ROW, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    again = dealt.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return again.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -29,7 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import MIX_2, Chunks, Rows, binaries, documents, mixed, signed, staged, word_hashes
+from plumbline.llm.common import (
+    MIX_2,
+    ROW,
+    Chunks,
+    Rows,
+    binaries,
+    documents,
+    mixed,
+    signed,
+    staged,
+    with_row_key,
+    without_rows,
+    word_hashes,
+)
 from plumbline.llm.components import components
 
 #: Part of the hash range whose tokens order 1 counts; prefixes take a quarter of the tokens.
@@ -368,6 +381,23 @@ def similar_documents(
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group of linked rows the one of least doc_id (nulls last), with all its columns, and all other rows.
+
+    Every row is a vertex of its own, so rows that repeat an identifier, or have none, are told apart;
+    null and empty texts are linked with nothing and stay.
+    """
+    keyed = with_row_key(docs)
+    found = staged(similar_documents(keyed, id_col=ROW).filter("n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id"), "groups")
+    several = found.filter(f"{ROW} <> component_id").select("component_id").distinct()
+    linked = found.join(several, "component_id", "left_semi").join(keyed.select(ROW, "doc_id"), ROW)
+    # Combined before it is shuffled, so a group of any size is one row a task.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("kept"))
+    first = linked.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.kept").alias(ROW))
+    gone = staged(linked.select(ROW).join(first, ROW, "left_anti"), "near-copies")
+    return without_rows(keyed, gone)
+
+
 #: Documents of one token that are compared in one task; larger buckets are dealt out in pairs of parts.
 TOGETHER = 512
 

@@ -238,13 +238,14 @@ def test_rates_meet_targets(spark):
         rows.append((i, rng.randrange(1, 500), *p))
     members = spark.createDataFrame(rows, "doc_id bigint, mix_n bigint, p_a double, p_b double").cache()
     for targets in ({"a": 0.6, "b": 0.4}, {"a": 0.8, "b": 0.2}, {"a": 0.35, "b": 0.65}):
-        steps = mixing.fit_rates(members, targets)
+        steps, residual = mixing.fit_rates(members, targets)
+        assert max(map(abs, residual.values())) <= 1e-4
         rate = mixing.rate(("a", "b"), steps)
         got = members.agg(F.sum(rate * F.col("mix_n") * F.col("p_a")), F.sum(rate * F.col("mix_n") * F.col("p_b")), F.min(rate)).first()
         total = sum(r[1] for r in rows)
         assert got[0] == pytest.approx(targets["a"] * total, abs=2e-4 * total)
         assert got[1] == pytest.approx(targets["b"] * total, abs=2e-4 * total) and got[2] >= 0
-    assert mixing.fit_rates(members.limit(0), {"a": 1.0, "b": 1.0}) == (0.0, 0.0)
+    assert mixing.fit_rates(members.limit(0), {"a": 1.0, "b": 1.0}) == ((0.0, 0.0), {"a": 0.0, "b": 0.0})
 
 
 def test_mixing_learns_domains(spark):

@@ -1,7 +1,8 @@
 """Corpus preparation: language, copies, near copies, mixture and tokens, one stage after another.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read
-again as the next one's ``docs``. All but the last return the columns they got.
+again as the next one's ``docs``. All but the last return the columns they got, whatever others there
+are beside those of documents; an empty table goes through all of them.
 """
 
 from __future__ import annotations
@@ -11,63 +12,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, exact_dedup, language, mixing, ngram_join, queries
-from plumbline.llm.common import lowered, staged
-
-
-def without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    """``docs`` but for the identifiers of ``dropped``; those are stored, so that Spark knows their size."""
-    gone = staged(dropped.select(F.col("doc_id").alias("__dropped")), label)
-    return docs.join(gone, docs["doc_id"] == gone["__dropped"], "left_anti")
+from plumbline.llm.common import released, scratch
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, by dictionaries of the labelled ones among them."""
+    """Documents whose language can be told, by dictionaries of the labelled ones among them.
+
+    Null and empty texts, and texts without letters, have no language and go; repeated rows are judged alike.
+    Rows without identifier are judged, but nothing is learned from them. Where no document is labelled, all go.
+    """
     return language.accepted(docs, queries.language_dictionaries(docs))
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts exactly one row: of the smallest identifier, and without one only if no row has any.
 
-    Decided by identifier and text, so of an identifier with several texts only the copies go. Of rows
-    that repeat identifier and text the smallest stays.
+    Decided row by row, so of an identifier with several texts only the copies go, and of rows that repeat
+    identifier and text one stays. Null and empty texts are equal.
     """
-    found = exact_dedup.exact_duplicates(docs, keep="smallest")
-    marks = (
-        found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__same"))
-        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
-        .filter("not __kept or __rows > 1")
-    )
-    marks = staged(marks, "copies")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__sha", F.sha2(lowered(text).cast("binary"), 256))
-    same = keyed["doc_id"].cast("bigint").eqNullSafe(marks["__id"]) & (keyed["__sha"] == marks["__same"])
-    others = keyed.join(marks, same, "left_anti").select(*docs.columns)
-    again = keyed.join(marks.filter("__kept"), same, "left_semi").groupBy("doc_id", "__sha")
-    one = again.agg(F.min(F.struct(*docs.columns)).alias("__one")).select("__one.*")
-    return others.unionByName(one)
+    return exact_dedup.without_copies(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest identifier."""
-    found = ngram_join.similar_documents(docs)
-    return without(docs, found.filter("doc_id <> component_id"), "near-copies")
+    """Of each group of linked rows the one with the smallest identifier (one without only if no row has any).
+
+    Decided row by row: of an identifier with several texts only the near copy goes. Rows that repeat a text
+    are linked, null and empty ones with nothing.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; those without identifier once."""
+    """Rows as often as their rates say: never, once or several times; those without identifier once.
+
+    Null and empty texts are taken as often as the rate of an empty text says. Repeated rows are taken alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixture, members = mixing.fit(docs, labels, queries.TARGETS, anchor="clean")
-    copies = mixing.copies(F.col("rate"), F.col("doc_id"))
-    taken = staged(
-        mixture.rated(members).filter("doc_id is not null").groupBy("doc_id").agg(F.max(copies).alias("copies")), "copies"
-    )
-    more = staged(taken.filter("copies > 1").select(F.col("doc_id").alias("__again"), F.col("copies").alias("__n")), "more")
-    again = docs.join(more, docs["doc_id"] == more["__again"]).withColumn("__i", F.explode(F.sequence(F.lit(2), "__n")))
-    return without(docs, taken.filter("copies = 0"), "left-out").unionByName(again.select(*(docs[c] for c in docs.columns)))
+    return mixing.taken(docs, labels, queries.TARGETS, anchor="clean")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of them and of the bytes they decode to."""
+    """Token ids of each text, with digests of them and of the bytes they decode to.
+
+    One row for each row of ``docs``, repeated and without identifier as they come; null and empty texts have no ids.
+    """
     found = bpe.encode_decode(docs, queries.RANKS, public_tokenizers.PATTERN)
     return found.select(
         "doc_id",
@@ -91,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage stores for itself is deleted when its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
+        with released(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs

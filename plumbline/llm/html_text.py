@@ -42,104 +42,217 @@ CLOSED_BY = {
 #: Elements whose content is no text of the page, with their end tags. Without an end tag, script and
 #: style go on to the end of the page; of the others only the start tag is skipped.
 RAW = {
-    name: re.compile(rf"</{name}(?![^\s/>])[^>]*>", re.I)
+    name: re.compile(rf"</{name}(?![^\s/>])", re.I)
     for name in ("script", "style", "template", "svg", "iframe", "noembed", "noframes")
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"[^\s/>]*")
+#: What ends a tag or begins a quoted value in it.
+SPECIAL = re.compile(r"[>\"']")
 MARKS = re.compile(r"\b(class|id|role|itemprop|data-main|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    __slots__ = ("above", "main", "link", "parts")
+    __slots__ = ("above", "own", "main", "link", "parts", "text")
+
+    def __init__(self, element: Element):
+        self.above, self.own, self.main = element.above, element.own, element.main
+        self.link, self.parts, self.text = 0, [], ""
+
+
+class Element:
+    """An open element. ``above`` are the names and marks of those around it and its own, shared where nothing is new."""
+
+    __slots__ = ("name", "above", "own", "main", "head")
+
+    def __init__(self, name: str, above: frozenset[str], own: str, main: bool, head: bool):
+        self.name, self.above, self.own, self.main, self.head = name, above, own, main, head
+
+
+class Ends:
+    """Where tags end. Positions are asked in rising order; every part of the page is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[int, int] = {}
+        self.asked = (0, -1)
+
+    def after(self, at: int) -> int:
+        """Place of the ``>`` of a tag that begins before ``at``, or -1: quoted values are skipped."""
+        page, start = self.page, at
+        path = []
+        end = -1
+        first = True
+        while True:
+            if first and self.asked[0] <= at <= self.asked[1]:
+                place = self.asked[1]
+            else:
+                found = SPECIAL.search(page, at)
+                place = found.start() if found else len(page)
+                if first:
+                    self.asked = (start, place)
+            first = False
+            if place == len(page):
+                break
+            if place in self.known:
+                end = self.known[place]
+                break
+            if page[place] == ">":
+                end = place
+                break
+            path.append(place)
+            at = page.find(page[place], place + 1) + 1
+            if not at:
+                break
+        self.known.update(dict.fromkeys(path, end))
+        return end
+
+
+class Tree:
+    """The open elements of a page and the blocks found so far."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.stack = [Element("", frozenset(), "", False, False)]
+        #: Number of open elements by name: all, and those inside each open block element.
+        self.open: dict[str, int] = {}
+        self.inside: list[dict[str, int] | None] = [None]
+        self.blocks: list[Block] = []
+        self.current: Block | None = None
+
+    def text(self, raw: str) -> None:
+        if self.stack[-1].head:
+            return
+        if self.current is None:
+            if not raw.strip():
+                return
+            self.current = Block(self.stack[-1])
+            self.blocks.append(self.current)
+        text = html.unescape(raw)
+        self.current.parts.append(text)
+        if self.open.get("a"):
+            self.current.link += len(text)
+
+    def push(self, name: str, attributes: str) -> None:
+        top = self.stack[-1]
+        marks, main = marks_of(attributes) if attributes else ((), False)
+        above, own = top.above, top.own
+        if name in BLOCKS or marks:
+            own = name
+            if marks or name not in above:
+                new = {name, *marks}
+                if self.known is not None:
+                    new &= self.known
+                above = above if new <= above else above | new
+        self.stack.append(Element(name, above, own, top.main or main, top.head or name in ("head", "title")))
+        self.open[name] = self.open.get(name, 0) + 1
+        if name in BLOCKS:
+            self.inside.append(None)
+        else:
+            inside = self.inside[-1]
+            if inside is None:
+                inside = self.inside[-1] = {}
+            inside[name] = inside.get(name, 0) + 1
 
-    def __init__(self, above: tuple[str, ...], main: bool):
-        self.above, self.main, self.link, self.parts = above, main, 0, []
+    def pop(self) -> str:
+        name = self.stack.pop().name
+        self.open[name] -= 1
+        if name in BLOCKS:
+            self.inside.pop()
+        else:
+            self.inside[-1][name] -= 1
+        return name
+
+    def start(self, name: str, attributes: str) -> None:
+        if name == "br":
+            if self.current is not None:
+                self.current.parts.append(" ")
+            return
+        if name in BLOCKS:
+            self.current = None
+            while True:
+                top = self.stack[-1].name
+                ends = name in CLOSED_BY.get(top, ())
+                in_line = top and top not in BLOCKS and self.open.get("p") and name in CLOSED_BY["p"]
+                if not ends and not in_line:
+                    break
+                self.pop()
+        if name not in VOID and not closes_itself(attributes):
+            self.push(name, attributes)
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def end(self, name: str) -> None:
+        if name in BLOCKS:
+            self.current = None
+        if (self.open if name in BLOCKS else self.inside[-1] or {}).get(name):
+            while self.pop() != name:
+                pass
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Unclosed and misnested elements end with what holds them."""
-    blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
-    current: Block | None = None
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Blocks with text, in page order. Unclosed and misnested elements end with what holds them.
+
+    Of names and marks of elements only those in ``known`` are kept, if given. The page is read once from left to
+    right, so the time is in proportion to its length whatever is unclosed.
+    """
+    tree = Tree(known)
+    ends = Ends(page)
     unclosed: set[str] = set()
-    anchors = 0
-    at = 0
-    while token := TOKEN.search(page, at):
-        if token.start() > at:
-            current = add_text(page[at : token.start()], current, stack, blocks, anchors)
-        at = token.end()
-        name = token.group(2)
-        if name is None:
-            continue
-        name = name.lower()
-        if not token.group(1):
-            if name in RAW:
-                if name in unclosed or name == "svg" and token.group(3).endswith("/"):
-                    continue
-                if end := RAW[name].search(page, at):
-                    at = end.end()
-                elif name in ("script", "style"):
-                    at = len(page)
-                else:
-                    unclosed.add(name)
-                continue
-            if name == "br":
-                if current is not None:
-                    current.parts.append(" ")
+    text_from = at = 0
+    while (at := page.find("<", at)) >= 0:
+        begin = at
+        mark = page[at + 1 : at + 2]
+        name = ""
+        if mark.isalpha() and mark.isascii() or mark == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha():
+            end = ends.after(at + 1)
+            if end < 0:
+                at += 1
                 continue
-            if name in BLOCKS:
-                current = None
-                while stack[-1][0] in CLOSED_BY and name in CLOSED_BY[stack[-1][0]] or (
-                    stack[-1][0] not in BLOCKS and stack[-1][0] and any(s[0] == "p" for s in stack) and name in CLOSED_BY["p"]
-                ):
-                    stack.pop()
-            if name in VOID or token.group(3).endswith("/"):
+            at = end + 1
+            body = page[begin + (2 if mark == "/" else 1) : end]
+            name = NAME.match(body).group()
+            attributes, name = body[len(name) :], name.lower()
+        elif mark in ("!", "?", "/"):
+            close = "-->" if page.startswith("<!--", at) else "]]>" if page[at : at + 9].upper() == "<![CDATA[" else ">"
+            end = page.find(close, at + (4 if close == "-->" else 2))
+            if end < 0 and close == ">":
+                break  # Without a ">" there is no other tag.
+            at = len(page) if end < 0 else end + len(close)
+        else:
+            at += 1
+            continue
+        if begin > text_from:
+            tree.text(page[text_from:begin])
+        text_from = at
+        if not name:
+            continue
+        if mark == "/":
+            tree.end(name)
+        elif name in RAW:
+            if name in unclosed or name == "svg" and closes_itself(attributes):
                 continue
-            marks, main = (), False
-            if token.group(3):
-                marks, main = marks_of(token.group(3))
-            if name in BLOCKS or marks:
-                stack.append((name, (*stack[-1][1], name, *marks), stack[-1][2] or main))
+            last = RAW[name].search(page, at)
+            end = page.find(">", last.end()) if last else -1
+            if end >= 0:
+                text_from = at = end + 1
+            elif name in ("script", "style"):
+                text_from = at = len(page)
             else:
-                stack.append((name, stack[-1][1], stack[-1][2]))
-            anchors += name == "a"
+                unclosed.add(name)
         else:
-            if name in BLOCKS:
-                current = None
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    anchors -= sum(s[0] == "a" for s in stack[depth:])
-                    del stack[depth:]
-                    break
-                if name not in BLOCKS and stack[depth][0] in BLOCKS:
-                    break
-    if at < len(page):
-        add_text(page[at:], current, stack, blocks, anchors)
-    return [b for b in blocks if b.text]
-
-
-def add_text(raw, current, stack, blocks, anchors):
-    if "head" in stack[-1][1] or "title" in stack[-1][1]:
-        return current
-    if current is None:
-        if not raw.strip():
-            return None
-        current = Block(stack[-1][1], stack[-1][2])
-        blocks.append(current)
-    text = html.unescape(raw)
-    current.parts.append(text)
-    if anchors > 0:
-        current.link += len(text)
-    return current
+            tree.start(name, attributes)
+    if text_from < len(page):
+        tree.text(page[text_from:])
+    for block in tree.blocks:
+        block.text = " ".join("".join(block.parts).split())
+    return [b for b in tree.blocks if b.text]
+
+
+def closes_itself(attributes: str) -> bool:
+    """Whether a slash at the end of a tag belongs to it and not to a value without quotes."""
+    if not attributes.endswith("/"):
+        return False
+    value = attributes[-2000:].split()[-1].partition("=")[2]
+    return not value or value[0] in "\"'"
 
 
 def marks_of(attributes: str) -> tuple[tuple[str, ...], bool]:
@@ -160,7 +273,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         text = block.text
         share = block.link / max(len(text), 1)
         own = {f"in {name}" for name in block.above}
-        own.add(f"own {next((n for n in reversed(block.above) if n[0] != '.'), '')}")
+        own.add(f"own {block.own}")
         own.add(f"length {min(len(text).bit_length(), 8)}")
         own.add(f"links {min(int(share * 4), 3)}")
         own.add("ends" if text[-1] in ".!?\"'”»" else "open")
@@ -210,6 +323,28 @@ LABELLED = (
     f"<body><div class=cookies><p>{LINE}</p></div><div class=popup><p>{LINE}</p></div><main><div class=article-body data-main>"
     f"<p>{LONG}</p><p>{LONG}</p></div><div class=newsletter><form><p>{LINE}</p><select><option>{SHORT}</option></select>"
     f"</form></div><div class=social>{MENU}</div></main><div class=bottom>{LINE}</div></body>",
+    f"<body><div class=zor><div class=mip><ul>{MENU}</ul></div><div class=lat data-main><h1>{SHORT}</h1><p>{LONG}</p><p>{LINE}</p>"
+    f"<p>{LONG}</p></div><div class=related><ul>{MENU}</ul></div></div><div class=footer><p>{LINE}</p></div></body>",
+    f"<body><p data-main>{LINE}</p><p data-main>{LONG}</p><h2 data-main>{SHORT}</h2><p data-main>{LINE}</p><p data-main>{LONG}</p></body>",
+    f"<body><center data-main><p>{LONG}</p><p>{LINE}</p></center><center>{MENU}</center></body>",
+    f"<body><div role=navigation>{MENU}</div><div role=main data-main><h1>{SHORT}</h1><ol><li>{LINE}</li><li>{LINE}</li></ol><p>{LINE}</p>"
+    f"</div><div role=complementary><p>{LONG}</p></div><div role=contentinfo>© {SHORT}</div></body>",
+    f"<body><div id=kel><div id=vun data-main><p>{LINE}</p><pre>{SHORT}</pre><p>{LONG}</p><div><p>{LINE}</p></div></div>"
+    f"<div id=sidebar><h3>{SHORT}</h3><p>{LINE}</p></div></div></body>",
+    f"<body><div class=masthead>{SHORT}</div><div class=pum><div data-main><div><div><p>{LINE}</p><p>{LINE}</p></div></div></div></div>"
+    f"<div class=comments><div><p>{LINE}</p></div></div></body>",
+    # Main text in elements whose names say nothing.
+    *(
+        f"<body><div class=header>{SHORT}</div><div class=nav>{MENU}</div><div class={word} data-main><h1>{SHORT}</h1>{body}</div>"
+        f"<div class=footer>{LINE}</div></body>"
+        for word, body in (
+            ("kol", f"<p>{LINE}</p><p>{LONG}</p><p>{LINE}</p>"),
+            ("vet", f"<p>{LONG}</p><pre>{SHORT}</pre><p>{LINE}</p>"),
+            ("sam", f"<div><p>{LINE}</p></div><div><p>{LINE}</p></div>"),
+            ("dun", f"<h2>{SHORT}</h2><p>{LINE}</p><h2>{SHORT}</h2><p>{LINE}</p><ul><li>{LINE}</li><li>{SHORT}</li></ul>"),
+            ("rif", f"{LINE}<br>{LONG}<div>{LINE}</div>"),
+        )
+    ),
 )
 
 
@@ -220,6 +355,11 @@ def fitted(pages: tuple[str, ...] = LABELLED) -> Model:
     return train([features(b) for b in trees], answers, ("other", "text"))
 
 
+def known_names(model: Model) -> frozenset[str]:
+    """Names and marks that the model has weights for; the others don't count."""
+    return frozenset(f[3:] for f in model.features if f.startswith("in "))
+
+
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 PAGES_AT_ONCE = 256
 
@@ -233,13 +373,14 @@ def extract_text(
     text; a page of plain text is one block. Rows are taken on their own, so repeats come back.
     """
     model = model or fitted()
+    known = known_names(model)
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, PAGES_AT_ONCE):
                 part = batch.slice(start, PAGES_AT_ONCE)
-                trees = [leaf_blocks(page.as_py() or "") for page in part.column("html")]
+                trees = [leaf_blocks(page.as_py() or "", known) for page in part.column("html")]
                 labels = model.decode([features(blocks) for blocks in trees])
                 out = Rows(EXTRACTED)
                 for page_id, url, blocks, own in zip(

@@ -52,7 +52,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        #: Tokens that the library finds in the text before anything else; texts with one are encoded whole,
+        #: and so are those that would only have one once their capitals are lowered.
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.heads = {c for t in self.added for c in (t[:1], t[:1].upper())}
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
 
@@ -76,6 +79,12 @@ class WordTokens:
             if word not in self.known:
                 self.known[word] = self.one(word)
 
+    def special(self, text: str) -> bool:
+        if not any(head in text for head in self.heads):
+            return False
+        low = text.lower()
+        return any(token in text or token.lower() in low for token in self.added)
+
     def cut(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
         if text.isascii() or not self.MARKED.search(text):
@@ -85,14 +94,15 @@ class WordTokens:
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(text) for text in texts]
+        whole = {i: self.one(text) for i, text in enumerate(texts) if self.special(text)}
+        cut = [() if i in whole else self.cut(text) for i, text in enumerate(texts)]
         words = set().union(*cut)
         missing = words.difference(self.known)
         if missing and len(self.known) > REMEMBERED:
             # All words of these texts are looked up below, so none of them may be missing then.
             self.known, missing = {"": b""}, words - {""}
         self.learn(list(missing))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        return [whole[i] if i in whole else b"".join(map(self.known.__getitem__, words)) for i, words in enumerate(cut)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -136,12 +146,14 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Write token files in ascending ``doc_id`` order (nulls first).
+    """Write token files in ascending ``doc_id`` order (nulls first), rows of the same identifier in any number of files.
 
     A null text is empty and has the end id alone; repeated rows are written as often as they come;
     an empty table gives a folder with no rows.
     """
-    ordered = documents(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one identifier, or of none, needn't be in one file.
+    numbered = documents(docs, id_col, text_col).withColumn("__place", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange("doc_id", "__place").sortWithinPartitions("doc_id", "__place").drop("__place")
     writer = (
         tokenised(ordered, path, end_id)
         .write.option("parquet.block.size", row_group_bytes)

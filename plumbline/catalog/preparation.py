@@ -346,6 +346,30 @@ def feat_target_encode_oof(spark, sf):
     return encoded.select("o_orderkey", F.round("value", 9).alias("encoded"))
 
 
+@query(
+    "feat_target_encode_nested",
+    f"""with o as (select o_orderkey, o_custkey, (o_orderstatus = 'F')::int as y, {sql_hash32("o_orderkey")} % 5 as f,
+  {sql_hash32("o_orderkey", "inner")} % 5 as g from orders),
+h as (select distinct f as held from o),
+p as (select held, k.g, avg(o.y) as prior from h cross join (select distinct g from o) k join o on o.f <> held and o.g <> k.g group by 1, 2),
+s as (select r.o_orderkey, held, count(x.y) as n, coalesce(sum(x.y), 0) as t from o r join h on r.f <> held
+  left join o x on x.o_custkey = r.o_custkey and x.f <> held and x.g <> r.g group by 1, 2)
+select o.o_orderkey, s.held::int as held_out, round(prior * (1 - n / (n + 10e0)) + t / (n + 10e0), 9) as encoded
+from o join s on o.o_orderkey = s.o_orderkey join p on p.held = s.held and p.g = o.g""",
+)
+def feat_target_encode_nested(spark, sf):
+    """Inner folds of their own inside every outer training side."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey",
+        "o_custkey",
+        (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+        fold(F.col("o_orderkey"), 5).alias("f"),
+        fold(F.col("o_orderkey"), 5, "inner").alias("g"),
+    )
+    encoded = ft.nested_encoding(orders, "o_custkey", "y", "f", "g", 5, "value")
+    return encoded.select("o_orderkey", "held_out", F.round("value", 9).alias("encoded"))
+
+
 @query(
     "feat_fold_statistics",
     f"""with o as (select o_totalprice as x, o_custkey as c, {sql_hash32("o_orderkey")} % 5 as f from orders)

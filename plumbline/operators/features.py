@@ -205,6 +205,67 @@ def out_of_fold_encoding(df: DataFrame, category: str, target: str, fold: str, o
     )
 
 
+def nested_encoding(
+    df: DataFrame, category: str, target: str, outer: str, inner: str, folds: int, output: str
+) -> DataFrame:
+    """The training rows of every outer fold, encoded from the other inner folds of the same training side.
+
+    Adds ``held_out`` (the outer fold left out; a row is in the training side of all but its own) and the
+    encoded value. One table of sums by (category, outer, inner) serves all: what is left is the total less
+    the outer fold, less the inner one, plus both, so no fold is scanned again. The prior of a training side
+    and inner fold comes the same way from the rows of all categories, missing ones included. The result has
+    ``folds`` - 1 rows for each; ``outer`` and ``inner`` are numbers from 0. Where nothing is left the prior is NULL.
+    """
+    y = F.col(target).cast("double")
+    cells = df.groupBy(category, outer, inner).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    all_ = cells.groupBy(outer, inner).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.sum("n").alias("n")).collect()
+    sums = {(r[outer], r[inner]): (r["s"], r["n"]) for r in all_}
+    priors = {}
+    inners = sorted({i for _, i in sums})
+    for held_out in range(folds):
+        for own in inners:
+            left = [v for (o, i), v in sums.items() if o != held_out and i != own]
+            n = sum(v[1] for v in left)
+            priors[held_out, own] = sum(v[0] for v in left) / n if n else None
+
+    # Margins of the cells of a category, side by side with each of its cells.
+    present = cells.where(F.col(category).isNotNull()).withColumn("s", F.coalesce("s", F.lit(0.0)))
+    margins = present.groupBy(category).agg(
+        F.sum("s").alias("_s"),
+        F.sum("n").alias("_n"),
+        # At most one entry for each pair of folds.
+        F.collect_list(F.struct(F.col(outer).alias("o"), F.col(inner).alias("i"), "s", "n")).alias("_cells"),
+    )
+    numbers = F.array(*[F.lit(f) for f in range(folds)])
+    pairs = margins.withColumn("held_out", F.explode(numbers)).withColumn(
+        inner, F.explode(F.array_distinct(F.transform("_cells", lambda c: c["i"])))
+    )
+
+    def summed(field, test):
+        return F.aggregate(F.filter("_cells", test), F.lit(0).cast("double"), lambda t, c: t + c[field])
+
+    def left_over(field, whole):
+        outside = summed(field, lambda c: c["o"] == F.col("held_out"))
+        inside = summed(field, lambda c: c["i"] == F.col(inner))
+        both = summed(field, lambda c: (c["o"] == F.col("held_out")) & (c["i"] == F.col(inner)))
+        return F.col(whole) - outside - inside + both
+
+    known = pairs.select(
+        category, "held_out", inner, left_over("s", "_s").alias("_left_s"), left_over("n", "_n").alias("_left_n")
+    )
+    entries = [F.struct(F.lit(h).alias("held_out"), F.lit(i).alias("i"), F.lit(p).cast("double").alias("p")) for (h, i), p in priors.items()]
+    prior = F.element_at(
+        F.transform(
+            F.filter(F.array(*entries), lambda e: (e["held_out"] == F.col("held_out")) & (e["i"] == F.col(inner))), lambda e: e["p"]
+        ),
+        1,
+    )
+    sides = df.withColumn("held_out", F.explode(numbers)).where(F.col("held_out") != F.col(outer))
+    weight = F.coalesce(F.col("_left_n") / (F.col("_left_n") + SMOOTHING), F.lit(0.0))
+    encoded = prior * (1.0 - weight) + F.coalesce(F.col("_left_s") / (F.col("_left_n") + SMOOTHING), F.lit(0.0))
+    return lookup(sides, known, [category, "held_out", inner]).withColumn(output, encoded).drop("_left_s", "_left_n")
+
+
 def fold_means(df: DataFrame, names: Sequence[str], fold: str) -> DataFrame:
     """Mean and standard deviation of the rows outside each fold, as total minus own fold."""
     parts = []

@@ -13,11 +13,12 @@ from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import fold as hash_fold
 from plumbline.operators import evaluation as ev
+from plumbline.operators.neighbours import mean_of, nearest, stored, votes
 from plumbline.operators.features import (
     ColumnSpec,
     apply_target_encoding,
@@ -26,6 +27,7 @@ from plumbline.operators.features import (
     target_encoding,
 )
 from plumbline.profile.univariate import union_all
+from plumbline.session import shared_dir
 
 # Model settings.
 TREES = 300
@@ -34,6 +36,7 @@ BOOST_RATE = 0.1
 #: Depth of a forest's trees: a parameter, by default the deepest that Spark ML grows.
 MAX_DEPTH = 30
 PENALTY = 1.0
+INNER = 5
 
 
 def estimator(model_id: str, classification: bool, classes: int, rows: int, trees: int = TREES, depth: int = MAX_DEPTH):
@@ -68,12 +71,13 @@ def with_folds(df: DataFrame, label: str, key: str, classification: bool, k: int
 def fold_features(df: DataFrame, held_out: int, specs: Sequence[ColumnSpec], label: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Training and validation features of one fold, every statistic from its training rows.
 
-    Target-encoded columns are out of fold on the training rows (the other outer folds serve as
-    inner folds) and use the whole training mapping on the validation rows.
+    Target-encoded columns are out of fold on the training rows, over ``INNER`` folds of their own, and use
+    the whole training mapping on the validation rows.
     """
+    df = df.withColumn("inner", hash_fold(F.col(key), INNER, "inner"))
     train, valid = df.where(F.col("fold") != held_out), df.where(F.col("fold") == held_out)
     plain = [s for s in specs if s.encoding != "target"]
-    keep = [key, "fold", label, *[s.name for s in specs if s.encoding == "target"]]
+    keep = [key, "fold", "inner", label, *[s.name for s in specs if s.encoding == "target"]]
     fitted = fit_columns(train, plain)
     made = [fitted.apply(part, keep) for part in (train, valid)]
     for spec in specs:
@@ -81,9 +85,9 @@ def fold_features(df: DataFrame, held_out: int, specs: Sequence[ColumnSpec], lab
             continue
         stats, prior = target_encoding(train, spec.name, label)
         coded = f"{spec.name}_target"
-        made[0] = out_of_fold_encoding(made[0], spec.name, label, "fold", coded).drop(spec.name)
+        made[0] = out_of_fold_encoding(made[0], spec.name, label, "inner", coded).drop(spec.name)
         made[1] = apply_target_encoding(made[1], stats, spec.name, prior, coded).drop(spec.name)
-    inputs = [c for c in made[0].columns if c not in (key, "fold", label)]
+    inputs = [c for c in made[0].columns if c not in (key, "fold", "inner", label)]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     train_v, valid_v = (
         assembler.transform(m).select(key, "fold", F.col(label).cast("double").alias("y"), "features") for m in made
@@ -106,19 +110,22 @@ def cross_validate(
 
     Labels of a classification are codes from zero (``features.label_codes``).
     """
-    folded = with_folds(df.select(key, label, *[s.name for s in specs]), label, key, classification, k).persist()
+    folded = stored(with_folds(df.select(key, label, *[s.name for s in specs]), label, key, classification, k), "folded")
     classes = folded.agg(F.count_distinct(label)).first()[0] if classification else 0
 
     def one_fold(held_out: int) -> list[DataFrame]:
-        train, valid = (part.persist() for part in fold_features(folded, held_out, specs, label, key))
+        train, valid = (stored(part, "features") for part in fold_features(folded, held_out, specs, label, key))
         rows = train.count()
         scored = []
         for model_id in model_ids:
-            model = estimator(model_id, classification, classes, rows, trees).fit(train)
+            model = None if model_id == "knn" else bare(estimator(model_id, classification, classes, rows, trees).fit(train))
             for split, part in (("train", train), ("validation", valid)):
-                made = model.transform(part)
-                binary = classification and classes == 2 and "probability" in made.columns
-                score = vector_to_array("probability")[1] if binary else F.col("prediction")
+                if model is None:
+                    made = by_neighbours(train, part, key, classification, classes)
+                else:
+                    made = model.transform(part)
+                    binary = classification and classes == 2 and "probability" in made.columns
+                    made = made.withColumn("score", vector_to_array("probability")[1] if binary else F.col("prediction"))
                 scored.append(
                     made.select(
                         F.lit(model_id).alias("model_id"),
@@ -126,17 +133,43 @@ def cross_validate(
                         F.lit(split).alias("split"),
                         key,
                         "y",
-                        score.alias("score"),
+                        "score",
                         "prediction",
                     )
                 )
-        return scored
+        # Stored, so that nothing of a fold's fits has to be done or sent again.
+        return [stored(union_all(scored), "scored")]
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         parts = [frame for frames in pool.map(one_fold, range(k)) for frame in frames]
     return union_all(parts)
 
 
+def bare(model):
+    """The fitted model without its training summary, which holds the session: once that keeps observed metrics, a
+    model with a summary can't be sent to executors any more."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = shared_dir(SparkSession.active(), "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
+def by_neighbours(train: DataFrame, part: DataFrame, key: str, classification: bool, classes: int) -> DataFrame:
+    """``part`` with prediction and score of its nearest training rows; a training row is its own neighbour."""
+    point = vector_to_array("features").alias("point")
+    found = nearest(
+        train.select(F.col(key).cast("bigint").alias("key"), point, "y"), part.select(F.col(key).cast("bigint").alias("key"), point)
+    )
+    if not classification:
+        told = mean_of(found).withColumn("score", F.col("prediction"))
+    else:
+        ones = F.size(F.filter("neighbours", lambda n: n["y"] == 1.0)) / F.size("neighbours")
+        told = votes(found).drop("share")
+        told = told.join(found.select("key", ones.alias("score")), "key") if classes == 2 else told.withColumn("score", F.col("prediction"))
+    return part.join(told.withColumnRenamed("key", "_key"), F.col(key).cast("bigint") == F.col("_key"))
+
+
 def evaluate(scored: DataFrame, task: str) -> DataFrame:
     """Fold summaries of every metric of the task, train and validation side by side."""
     by = ("model_id", "fold", "split")

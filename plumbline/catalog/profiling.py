@@ -106,9 +106,7 @@ from (select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as median,
 def prof_quartiles_outliers(spark, sf):
     frame = normalize(lines(spark, sf).select(*NUMERIC))
     columns = classify(frame)
-    values = uni.numeric_values(frame, columns)
-    freq = uni.numeric_frequencies(uni.value_frequencies(frame, columns)).persist()
-    return rounded(uni.outlier_profile(uni.spread(values, freq)))
+    return rounded(uni.outlier_profile(uni.spread(uni.numeric_values(frame, columns))))
 
 
 @query(
@@ -263,12 +261,7 @@ def prof_imbalance(spark, sf):
 from (select p_brand, p_type, p_size, count(*) as n from part group by 1, 2, 3)""",
 )
 def prof_duplicate_rows(spark, sf):
-    groups = table(spark, sf, "part").groupBy("p_brand", "p_type", "p_size").agg(F.count("*").alias("n"))
-    return groups.agg(
-        F.count("*").alias("distinct_rows"),
-        F.sum("n").alias("n_rows"),
-        F.sum(F.col("n") - 1).alias("n_duplicated_rows"),
-    )
+    return ds.duplicate_rows(table(spark, sf, "part").select("p_brand", "p_type", "p_size")).select("distinct_rows", "n_rows", "n_duplicated_rows")
 
 
 OTHERS = tuple(c for c in NUMERIC if c != TARGET)
@@ -425,8 +418,7 @@ def prof_vif(spark, sf):
     frame = normalize(lines(spark, sf).select(*VIF_COLUMNS))
     columns = classify(frame)
     stats = {c: {"mean": m} for c, m in uni.means(frame, VIF_COLUMNS).items()}
-    freq = uni.numeric_frequencies(uni.value_frequencies(frame, columns))
-    medians = uni.exact_quantiles(uni.numeric_values(frame, columns), freq, (0.5,))
+    medians = uni.exact_quantiles(uni.numeric_values(frame, columns), (0.5,))
     for row in medians.collect():
         stats[row["column_name"]]["median"] = row["quantile"]
     factors = ds.inflation_factors(frame, VIF_COLUMNS, stats)

@@ -34,17 +34,13 @@ class ColumnSpec:
     add_indicator: bool = False
 
 
-def numeric_frequencies(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot(
-        [], list(names), "column_name", "value"
-    )
-    present = values.where("value is not null")
-    return values, present.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+def numeric_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], list(names), "column_name", "value")
 
 
 def fit_numeric(df: DataFrame, names: Sequence[str], quartiles: bool = True) -> dict[str, dict[str, float]]:
     """mean, standard deviation (ddof 0), min, max, missing count and quartiles per column."""
-    values, freq = numeric_frequencies(df, names)
+    values = numeric_values(df, names)
     v = F.col("value")
     rows = (
         values.groupBy("column_name")
@@ -59,7 +55,7 @@ def fit_numeric(df: DataFrame, names: Sequence[str], quartiles: bool = True) ->
     )
     stats = {r["column_name"]: r.asDict() for r in rows}
     if quartiles:
-        for r in exact_quantiles(values, freq, (0.25, 0.5, 0.75)).collect():
+        for r in exact_quantiles(values, (0.25, 0.5, 0.75)).collect():
             stats[r["column_name"]][{0.25: "q1", 0.5: "median", 0.75: "q3"}[r["prob"]]] = r["quantile"]
     return stats
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import count_where, finite, pearson
@@ -58,30 +58,30 @@ def missing_contingency(df: DataFrame, names: Sequence[str], target: str, column
 
 
 def cramers_v(cells: DataFrame) -> DataFrame:
-    """Bias-corrected Cramer's V per column from non-empty cells; NULL where it is undefined."""
-    by_value = cells.groupBy("column_name", "value").agg(F.sum("n").cast("double").alias("_r"))
-    by_target = cells.groupBy("column_name", "_target").agg(F.sum("n").cast("double").alias("_c"))
-    n2 = F.col("n").cast("double") * F.col("n")
-    chi = (
-        cells.join(by_value, ["column_name", "value"])
-        .join(by_target, ["column_name", "_target"])
-        .groupBy("column_name")
-        .agg(
-            (F.sum(n2 / (F.col("_r") * F.col("_c"))) - 1.0).alias("phi2"),
-            F.sum("n").cast("double").alias("total"),
-        )
+    """Bias-corrected Cramer's V per column from non-empty cells; NULL where it is undefined.
+
+    No join: a value's total goes to its cells, as many as there are classes, by a window, and the cells are then
+    summed by class, combined before they are shuffled.
+    """
+    of_value = Window.partitionBy("column_name", "value")
+    n = F.col("n").cast("double")
+    by_class = (
+        cells.withColumn("_r", F.sum(n).over(of_value))
+        .withColumn("_first", (F.row_number().over(of_value.orderBy("_target")) == 1).cast("int"))
+        .groupBy("column_name", "_target")
+        .agg(F.sum(n * n / F.col("_r")).alias("_part"), F.sum(n).alias("_c"), F.sum("_first").alias("_values"))
+    )
+    sums = by_class.groupBy("column_name").agg(
+        (F.sum(F.col("_part") / F.col("_c")) - 1.0).alias("phi2"),
+        F.sum("_values").cast("double").alias("r"),
+        F.count("*").cast("double").alias("c"),
+        F.sum("_c").alias("total"),
     )
-    rows = by_value.groupBy("column_name").agg(F.count("*").cast("double").alias("r"))
-    cols = by_target.groupBy("column_name").agg(F.count("*").cast("double").alias("c"))
     r, c, m = F.col("r"), F.col("c"), F.col("total") - 1.0
     phi2 = F.greatest(F.lit(0.0), F.col("phi2") - F.try_divide((c - 1) * (r - 1), m))
     limit = F.least(c - F.try_divide((c - 1) * (c - 1), m) - 1, r - F.try_divide((r - 1) * (r - 1), m) - 1)
     value = F.sqrt(F.try_divide(phi2, F.when(limit > 0, limit)))
-    return (
-        chi.join(rows, "column_name")
-        .join(cols, "column_name")
-        .select("column_name", F.when((r >= 2) & (c >= 2), finite(value)).alias("association"))
-    )
+    return sums.select("column_name", F.when((r >= 2) & (c >= 2), finite(value)).alias("association"))
 
 
 def target_pearson(df: DataFrame, names: Sequence[str], target: str, missing: bool = False) -> DataFrame:

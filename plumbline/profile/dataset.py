@@ -6,7 +6,7 @@ pair, so its size depends on the schema alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -18,6 +18,7 @@ from plumbline.plans.preprocessing import duplicate_groups
 from plumbline.profile import associations as assoc
 from plumbline.profile import univariate as uni
 from plumbline.profile.columns import Columns, classify, normalize
+from plumbline.session import shared_dir
 
 # Thresholds of the profile flags.
 HIGH_CARDINALITY = 15
@@ -152,9 +153,8 @@ def column_statistics(df: DataFrame, target: str, entity: str = "dataset") -> Da
     def distributions():
         frequencies = {k: f.persist() for k, f in uni.value_frequencies(df, columns).items()}
         add(uni.frequency_summary(frequencies).drop("n"))
-        numeric = uni.numeric_frequencies(frequencies)
-        if numeric is not None:
-            add(uni.outlier_profile(uni.spread(uni.numeric_values(df, columns), numeric)))
+        if columns.numeric:
+            add(uni.outlier_profile(uni.spread(uni.numeric_values(df, columns))))
             add(uni.sequential(frequencies))
         for frame in frequencies.values():
             frame.unpersist()
@@ -264,16 +264,52 @@ def with_flags(stats: DataFrame) -> DataFrame:
     )
 
 
+def digested(df: DataFrame) -> DataFrame:
+    """(_a, _b, _row): 128 bits of each row, NULLs marked apart, and the row itself."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return df.select(
+        F.xxhash64(nulls, *columns).alias("_a"), F.xxhash64(F.lit(7), *columns[::-1], nulls).alias("_b"), F.struct(*columns).alias("_row")
+    )
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def duplicate_rows(df: DataFrame, digests: Callable[[DataFrame], DataFrame] = digested) -> DataFrame:
+    """distinct_rows, n_rows and n_duplicated_rows (rows beyond the first of each identical group).
+
+    Only digests are shuffled at first. Where they meet, the rows behind them are compared in full: the least and
+    the greatest row of a digest are equal unless different rows share it, and the rows of such digests alone are
+    counted by their values.
+    """
+    rows = digests(df)
+    counted = stored(rows.groupBy("_a", "_b").agg(F.count("*").alias("_copies")), "digests")
+    again = counted.where("_copies > 1").select("_a", "_b")
+    ends = (
+        rows.join(again, ["_a", "_b"], "left_semi")
+        .groupBy("_a", "_b")
+        .agg(F.min("_row").alias("_low"), F.max("_row").alias("_high"))
+    )
+    mixed = stored(ends.where(~F.col("_low").eqNullSafe(F.col("_high"))).select("_a", "_b"), "mixed")
+    apart = rows.join(mixed, ["_a", "_b"], "left_semi").groupBy("_row").agg(F.count("*").alias("_copies")).select("_copies")
+    whole = counted.join(mixed, ["_a", "_b"], "left_anti").select("_copies").unionByName(apart)
+    return whole.agg(
+        F.count("*").alias("distinct_rows"),
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n_duplicated_rows"),
+    )
+
+
 def dataset_metrics(df: DataFrame, target: str, task_type: str, entity: str = "dataset") -> DataFrame:
     """Dataset- and target-level metrics as long rows."""
     task = task_class(task_type)
     df = normalize(df)
     columns = classify(df)
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
-    size = groups.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n_duplicated_rows"),
-    )
+    size = duplicate_rows(df).select("n_rows", "n_duplicated_rows")
     if task == "classification":
         counts = assoc.class_counts(df, target)
         label = category_label(columns, target)

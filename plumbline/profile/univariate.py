@@ -9,13 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.ranking import running_totals
 from plumbline.functions.stats import adjusted_kurtosis, adjusted_skew, count_where, finite, ratio
 from plumbline.profile.columns import Columns
 
 EXPRESSION_CHUNK = 40
 SKETCH_ACCURACY = 10_000
-#: Ranges that a quantile's bracket is cut into in each round.
-RANGES = 64
+#: Share of the rows on either side of a rank that its bracket takes in: five times the sketch's error.
+MARGIN = 5.0 / SKETCH_ACCURACY
 
 
 def chunks(names: Sequence, size: int) -> list[Sequence]:
@@ -116,100 +117,73 @@ def frequency_summary(frequencies: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def numeric_frequencies(frequencies: dict[str, DataFrame]) -> DataFrame | None:
-    parts = [
-        frequencies[kind].withColumn("value", F.col("value").cast("double"))
-        for kind in ("bigint", "double")
-        if kind in frequencies
-    ]
-    return union_all(parts) if parts else None
-
-
-def _narrowed(freq: DataFrame, brackets: list[tuple]) -> DataFrame:
-    """Counts of the values of each bracket (name, i, lo, hi) in RANGES ranges, of those below it as range -1.
-
-    Infinities and NaN have ranges of their own. Rows: column, bracket, range, values' ends and count.
-    """
-    spark = freq.sparkSession
-    table = spark.createDataFrame(brackets, "column_name string, i int, lo double, hi double")
-    v, top = F.col("value"), 1.7e308
-    lo, hi = F.greatest("lo", F.lit(-top)), F.least("hi", F.lit(top))
-    share = (v / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))
-    place = F.floor(F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) * (RANGES - 1)) + 1
-    infinite = F.lit(float("inf"))
-    range_ = (
-        F.when(v < F.col("lo"), -1)
-        .when(F.isnan(v), RANGES + 2)
-        .when(v == -infinite, 0)
-        .when(v == infinite, RANGES + 1)
-        .otherwise(place)
-        .cast("int")
-    )
-    return (
-        freq.join(F.broadcast(table), "column_name")
-        .where(v <= F.col("hi"))
-        .groupBy("column_name", "i", range_.alias("place"))
-        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n"))
-    )
+def _disjoint(brackets: list[list[float]], count: int) -> list[list[float | None]]:
+    """Brackets in order, those that meet as one; NaN is the greatest, as in Spark. Filled up to ``count``."""
+    key = lambda x: (x != x, x)
+    out: list[list[float | None]] = []
+    for lo, hi in sorted(brackets, key=lambda b: key(b[0])):
+        if out and key(lo) <= key(out[-1][1]):
+            out[-1][1] = max(out[-1][1], hi, key=key)
+        else:
+            out.append([lo, hi])
+    return out + [[None, None]] * (count - len(out))
 
 
-def exact_quantiles(values: DataFrame, freq: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles per column: (column_name, prob, quantile), exact for any number of values.
+def exact_quantiles(values: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles per column: (column_name, prob, quantile), exact, by two scans of any distribution.
 
     An approximate quantile is off by at most 1/SKETCH_ACCURACY of the rows, so the estimates a little
-    below and above a rank bracket it. Brackets of all columns are then cut into ranges together,
-    round by round, and the range that holds the rank is the next bracket, until it is one value. No
-    rows are ordered or gathered: what reaches the driver is counts of columns, quantiles and ranges.
+    below and above a rank bracket it. The second scan counts what lies below each bracket and the
+    values inside it, a thousandth of the rows or so; running totals of those find the rank. No rows
+    are gathered: what reaches the driver is one bracket and two values for each column and quantile.
     """
-    margin = 5.0 / SKETCH_ACCURACY
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    cuts = values.where("value is not null").groupBy("column_name").agg(
+    spark = values.sparkSession
+    present = values.where("value is not null")
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)]
+    cuts = present.groupBy("column_name").agg(
         F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), F.lit(SKETCH_ACCURACY)).alias("cuts"),
         F.count("*").alias("total"),
+        F.min("value").alias("low"),
         F.max("value").alias("top"),
     )
-    ranks: dict[tuple[str, int], int] = {}
-    open_: dict[tuple[str, int], tuple[float, float]] = {}
-    totals, tops = {}, {}
+    wanted, bounds, parts = [], [], {}
     for row in cuts.collect():
-        name = row["column_name"]
-        tops[name] = row["top"]
-        totals[name] = row["total"]
+        name, total = row["column_name"], row["total"]
+        apart: list[list[float]] = []
         for i, p in enumerate(probs):
-            position = p * (row["total"] - 1)
-            for side, rank in enumerate((math.floor(position), math.ceil(position))):
-                ranks[name, 2 * i + side] = rank
-                open_[name, 2 * i + side] = (row["cuts"][2 * i], row["cuts"][2 * i + 1])
-    found: dict[tuple[str, int], float] = {}
-    while open_:
-        counted: dict[tuple[str, int], list] = {}
-        brackets = [(name, i, lo, hi) for (name, i), (lo, hi) in open_.items()]
-        for row in _narrowed(freq, brackets).collect():
-            counted.setdefault((row["column_name"], row["i"]), []).append(row)
-        for key in list(open_):
-            before = 0
-            for row in sorted(counted[key], key=lambda r: r["place"]):
-                before += row["n"]
-                if before > ranks[key]:
-                    if row["lo"] == row["hi"] or row["lo"] != row["lo"]:
-                        found[key] = row["lo"]
-                        del open_[key]
-                    else:
-                        open_[key] = (row["lo"], row["hi"])
-                    break
-            else:  # of few rows the upper estimate can lie below the rank
-                open_[key] = (open_[key][1], tops[key[0]])
+            position = p * (total - 1)
+            # The margin must be worth some rows; of few rows all are inside.
+            lo, hi = (row["cuts"][2 * i], row["cuts"][2 * i + 1]) if total * MARGIN >= 2 else (row["low"], row["top"])
+            apart.append([lo, hi])
+            wanted.append((name, i, math.floor(position), math.ceil(position)))
+            parts[name, i] = (position - math.floor(position), float(p))
+        bounds.append((name, *[e for bracket in _disjoint(apart, len(probs)) for e in bracket]))
+    ends_ = [f"{side}{i}" for i in range(len(probs)) for side in ("lo", "hi")]
+    schema = "column_name string, " + ", ".join(f"{e} double" for e in ends_)
+    v = F.col("value")
+    # Even numbers are the gaps before, between and after the brackets, odd ones the brackets.
+    steps = [F.when(v >= F.col(e) if e[0] == "l" else v > F.col(e), 1).otherwise(0) for e in ends_]
+    bracketed = present.join(F.broadcast(spark.createDataFrame(bounds, schema)), "column_name").select(
+        "column_name", "value", reduce(lambda a, b: a + b, steps).alias("segment")
+    )
+    place = F.struct("segment", F.when(F.col("segment") % 2 == 1, v).alias("value"))
+    counted = bracketed.groupBy("column_name", place.alias("place")).agg(F.count("*").alias("n"))
+    ranked = F.broadcast(spark.createDataFrame(wanted, "column_name string, i int, first bigint, second bigint"))
+    placed = running_totals(counted, ["column_name"], "place", ["n"]).join(ranked, "column_name")
+    picked = placed.groupBy("column_name", "i").agg(
+        F.min(F.when(F.col("cum_n") > F.col("first"), F.col("place"))).getField("value").alias("low"),
+        F.min(F.when(F.col("cum_n") > F.col("second"), F.col("place"))).getField("value").alias("high"),
+    )
     rows = []
-    for name, total in totals.items():
-        for i, p in enumerate(probs):
-            low, high = found[name, 2 * i], found[name, 2 * i + 1]
-            part = p * (total - 1) - math.floor(p * (total - 1))
-            rows.append((name, float(p), low if low == high else low * (1.0 - part) + high * part))
-    return freq.sparkSession.createDataFrame(rows, "column_name string, prob double, quantile double")
+    for row in picked.collect():
+        part, prob = parts[row["column_name"], row["i"]]
+        low, high = row["low"], row["high"]
+        rows.append((row["column_name"], prob, low if low == high or low != low else low * (1.0 - part) + high * part))
+    return spark.createDataFrame(rows, "column_name string, prob double, quantile double")
 
 
-def quartiles(values: DataFrame, freq: DataFrame) -> DataFrame:
-    q = exact_quantiles(values, freq, (0.25, 0.5, 0.75))
+def quartiles(values: DataFrame) -> DataFrame:
+    q = exact_quantiles(values, (0.25, 0.5, 0.75))
     return q.groupBy("column_name").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(label)
@@ -218,19 +192,16 @@ def quartiles(values: DataFrame, freq: DataFrame) -> DataFrame:
     )
 
 
-def spread(values: DataFrame, freq: DataFrame) -> DataFrame:
-    """Quartiles, share of zeros and counts outside the whiskers, from the frequency table."""
+def spread(values: DataFrame) -> DataFrame:
+    """Quartiles, share of zeros and counts outside the whiskers, from the values and their quartiles."""
     low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     outside = (F.col("value") < low) | (F.col("value") > high)
     return (
-        freq.join(F.broadcast(quartiles(values, freq)), "column_name")
+        values.where("value is not null")
+        .join(F.broadcast(quartiles(values)), "column_name")
         .groupBy("column_name", "q1", "median", "q3")
-        .agg(
-            F.sum("n").alias("n"),
-            F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("n"))), F.lit(0)).alias("zeros"),
-            F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"),
-        )
+        .agg(F.count("*").alias("n"), F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(outside).alias("outliers"))
     )
 
 

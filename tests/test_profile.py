@@ -161,9 +161,8 @@ def test_sequences(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 101])
 def test_quantiles_of_few_rows(spark, n):
     frame = spark.range(n).select((F.col("id") * F.col("id") % 17).cast("double").alias("v"), F.lit(float("inf")).alias("w"))
-    freq = uni.numeric_frequencies(uni.value_frequencies(frame, classify(frame)))
     probs = (0.0, 0.25, 0.5, 0.75, 1.0)
-    got = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(uni.numeric_values(frame, classify(frame)), freq, probs).collect()}
+    got = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(uni.numeric_values(frame, classify(frame)), probs).collect()}
     want = frame.toPandas()["v"]
     assert [got["v", p] for p in probs] == pytest.approx([want.quantile(p) for p in probs])
     assert [got["w", p] for p in probs] == [float("inf")] * 5
@@ -174,11 +173,10 @@ def test_bracket_quantiles_are_exact(spark):
         F.exp(F.sin(F.col("id") * 1.7) * 5).alias("wild"), (F.col("id") % 3 * (F.col("id") % 1000 == 0).cast("int")).cast("double").alias("tied")
     )
     values = uni.numeric_values(frame, classify(frame))
-    freq = uni.numeric_frequencies(uni.value_frequencies(frame, classify(frame)))
     probs = (0.01, 0.25, 0.5, 0.75, 0.999)
     whole = frame.toPandas()
     exact = {(c, p): whole[c].quantile(p) for c in whole for p in probs}
-    bracket = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(values, freq, probs).collect()}
+    bracket = {(r[0], r[1]): r[2] for r in uni.exact_quantiles(values, probs).collect()}
     assert bracket.keys() == exact.keys() and len(exact) == 10
     for key, value in exact.items():
         assert bracket[key] == pytest.approx(value, rel=1e-12)
@@ -289,3 +287,14 @@ def test_override_cap_and_drop_refusal(spark, rows):
 def test_duplicate_groups_are_connected():
     groups = prep.duplicate_groups([("a", "b"), ("c", "d"), ("b", "c"), ("x", "y")])
     assert sorted(sorted(g) for g in groups) == [["a", "b", "c", "d"], ["x", "y"]]
+
+
+def test_duplicate_rows_when_digests_collide(spark):
+    rows = [(1, "a", 0.0), (1, "a", -0.0), (None, "a", 1.0), (None, "a", 1.0), (2, None, float("nan")), (2, None, float("nan")), (3, "b", 2.0)]
+    rows += [(9, "again", 1.0)] * 50
+    frame = spark.createDataFrame(rows, "k int, s string, v double").repartition(4)
+    want = (5, 57, 52)
+    assert tuple(ds.duplicate_rows(frame).first()) == want
+    few = lambda df: ds.digested(df).withColumn("_a", F.lit(1).cast("bigint")).withColumn("_b", F.pmod("_b", F.lit(2)))
+    assert tuple(ds.duplicate_rows(frame, few).first()) == want
+    assert tuple(ds.duplicate_rows(frame.limit(0)).first()) == (0, 0, 0)

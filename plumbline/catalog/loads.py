@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from plumbline.catalog.registry import query, table
 from plumbline.plans import normalize as nz
 from plumbline.profile.dataset import dataset_metrics
+from plumbline.profile.univariate import union_all
 from plumbline.session import shared_dir
-from plumbline.sinks import lakehouse
-from plumbline.sinks.export import MANIFEST_SCHEMA, write_counted
+from plumbline.sinks import backfill, lakehouse
+from plumbline.sinks.export import MANIFEST_SCHEMA, export_runs, source_manifest, write_counted
 from plumbline.sources import delimited, secrets
+from plumbline.sources.runs import run_files
 from plumbline.sources.schemas import TABLES, schema
 
 
@@ -311,3 +313,104 @@ def secret_kinds(spark, sf):
         found.append(hits.select(F.lit(name).alias("source"), F.col(key).alias("k"), "line_no", "pattern"))
     every = found[0].unionByName(found[1]).unionByName(found[2])
     return every.groupBy("source", "k", "line_no", "pattern").agg(F.count("*").alias("lines"))
+
+
+#: Orders of one priority are a run; every 17th claim is a broken line and has no verdict.
+RUN_SQL = """'m9_orders_' || case when substr(o_orderpriority, 1, 1) in ('1', '3', '5') then 'c' else 'ab' end
+  || '_t00_r' || substr(o_orderpriority, 1, 1)"""
+RUN_LINES_SQL = f"""select {RUN_SQL} as run_id, 'claims.jsonl' as artifact, o_orderkey as k, case when o_orderkey % 17 = 0
+    then '{{"claim_id":' else '{{"claim_id":"k' || o_orderkey || '","stage":"model_selection","model_id":"m' || o_orderkey % 9
+    || '","is_rejection":false,"evidence":[{{"metric_key":"n_rows","claimed_value":' || o_orderkey || '}}]}}' end as line from orders
+  union all select {RUN_SQL}, 'claim_verdicts.jsonl', o_orderkey, '{{"claim_id":"k' || o_orderkey
+    || '","stage":"model_selection","claim_layer1_code":"' || case when o_orderkey % 3 = 0 then 'EVIDENCE_MISSTATED'
+    else 'EVIDENCE_ACCURATE' end || '"}}' from orders where o_orderkey % 17 <> 0
+  union all select {RUN_SQL}, 'layer2_verdicts.jsonl', o_orderkey, '{{"claim_id":"k' || o_orderkey || '","layer2_score":'
+    || o_orderkey % 4 || '}}' from orders where o_orderkey % 17 <> 0 and o_orderkey % 3 <> 0
+  union all select {RUN_SQL}, 'metrics.json', 0, '{{"total_claims":' || count(*) || '}}' from orders group by 1"""
+
+
+def run_folders(spark, sf):
+    """Run directories below the shared folder, a run for each priority; each artifact is a folder of part files."""
+    root = shared_dir(spark, "runs")
+    orders, key = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), F.col("o_orderkey")
+    claim = F.when(key % 17 == 0, '{"claim_id":').otherwise(
+        F.format_string(
+            '{"claim_id":"k%d","stage":"model_selection","model_id":"m%d","is_rejection":false,'
+            '"evidence":[{"metric_key":"n_rows","claimed_value":%d}]}',
+            key,
+            key % 9,
+            key,
+        )
+    )
+    code = F.when(key % 3 == 0, "EVIDENCE_MISSTATED").otherwise("EVIDENCE_ACCURATE")
+    verdict = F.format_string('{"claim_id":"k%d","stage":"model_selection","claim_layer1_code":"%s"}', key, code)
+    score = F.format_string('{"claim_id":"k%d","layer2_score":%d}', key, key % 4)
+    for priority in sorted(r[0] for r in orders.select(F.left("o_orderpriority", F.lit(1))).distinct().collect()):
+        own = orders.where(F.left("o_orderpriority", F.lit(1)) == priority)
+        run = f"{root}/m9_orders_{'c' if priority in '135' else 'ab'}_t00_r{priority}"
+        for artifact, where, line in (
+            ("claims.jsonl", "true", claim),
+            ("claim_verdicts.jsonl", "o_orderkey % 17 <> 0", verdict),
+            ("layer2_verdicts.jsonl", "o_orderkey % 17 <> 0 and o_orderkey % 3 <> 0", score),
+        ):
+            own.where(where).orderBy(key).select(line.alias("value")).write.text(f"{run}/{artifact}")
+        own.agg(F.format_string('{"total_claims":%d}', F.count("*")).alias("value")).write.text(f"{run}/metrics.json")
+    return root
+
+
+@query(
+    "run_inventory",
+    f"""select run_id, artifact, regexp_extract(artifact, '[^.]*$') as kind, sum(strlen(line) + 1)::bigint as size_bytes
+from ({RUN_LINES_SQL}) group by all""",
+)
+def run_inventory(spark, sf):
+    """Files of all runs with their sizes, by artifact, from one listing."""
+    files = run_files(spark, run_folders(spark, sf))
+    return files.groupBy("run_id", "artifact", "kind").agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query(
+    "source_digests",
+    f"""with n as (select run_id, artifact, line, row_number() over (partition by run_id, artifact order by k) - 1 as i
+  from ({RUN_LINES_SQL})),
+a as (select run_id, artifact, i // 1024 as j, sha256(string_agg(sha256(line), '' order by i)) as d, count(*) as c,
+  sum(strlen(line) + 1) as s from n group by all),
+b as (select run_id, artifact, j // 1024 as h, sha256(string_agg(d, '' order by j)) as d, sum(c) as c, sum(s) as s from a group by all)
+select run_id || '/' || artifact as path, sum(s)::bigint as size_bytes, sum(c)::bigint as n_lines,
+  sha256(sum(s)::bigint || ':' || string_agg(d, '' order by h)) as tree_sha256 from b group by run_id, artifact""",
+)
+def source_digests(spark, sf):
+    """Size, lines and hash-tree digest of every artifact of every run."""
+    return source_manifest(spark, run_folders(spark, sf)).select("path", "size_bytes", "n_lines", "tree_sha256")
+
+
+@query(
+    "run_export",
+    f"""with o as (select *, {RUN_SQL} as run_id, o_orderkey % 17 = 0 as broken, o_orderkey % 3 <> 0 as right_ from orders)
+select t.table_name, coalesce(n, 0)::bigint as row_count from (values {", ".join(f"('{name}')" for name in TABLES)}) t(table_name)
+left join (select 'runs' as table_name, count(distinct run_id) as n from o
+  union all select unnest(['claims', 'evidence_refs', 'layer1_claim_verdicts']), count(*) filter (not broken) from o
+  union all select 'layer2_verdicts', count(*) filter (not broken and right_) from o
+  union all select 'run_metrics', count(distinct run_id) from o
+  union all select 'data_quality', count(*) filter (broken) + 7 * count(distinct run_id) from o) using (table_name)""",
+)
+def run_export(spark, sf):
+    """Run directories to the typed export, behind the secret gate: rows the written tables hold."""
+    out = shared_dir(spark, "export")
+    export_runs(spark, run_folders(spark, sf), out)
+    counted = [spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name in TABLES]
+    return union_all(counted)
+
+
+@query(
+    "runs_loaded_twice",
+    """select c_custkey as run_id, c_mktsegment as dataset, case when c_custkey % 3 <> 0 then 1 else 2 end as load from customer""",
+)
+def runs_loaded_twice(spark, sf):
+    """Summaries loaded three times, twice with runs stored before and each of them repeated."""
+    path = shared_dir(spark, "summaries")
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("dataset"))
+    for load, where in ((1, "run_id % 3 <> 0"), (2, "true"), (3, "true")):
+        rows = customer.where(where).withColumn("load", F.lit(load))
+        backfill.append_summaries(spark, rows.unionByName(rows), path)
+    return spark.read.parquet(path).select("run_id", "dataset", "load")

@@ -460,13 +460,14 @@ AB_ONLY = ("arm_a_metrics.json", "arm_b_metrics.json", "preregistration_comparis
 C_ONLY = ("arm_c_recall.json", "synthetic_corruption.json")
 
 
-def read_artifacts(spark: SparkSession, root: str) -> RunArtifacts:
-    files = run_source.run_files(spark, root)
+def read_artifacts(spark: SparkSession, root: str | run_source.RunFolder) -> RunArtifacts:
+    folder = run_source.open_runs(spark, root)
+    files = run_source.run_files(spark, folder)
     return RunArtifacts(
         runs=files.select("run_id", "source_run_dir").distinct(),
         files=files.select("run_id", "artifact"),
-        lines={a: run_source.artifact_lines(spark, root, a) for a in LINE_FILES},
-        documents={a: run_source.artifact_documents(spark, root, a) for a in DOCUMENT_FILES},
+        lines={a: run_source.artifact_lines(spark, folder, a) for a in LINE_FILES},
+        documents={a: run_source.artifact_documents(spark, folder, a) for a in DOCUMENT_FILES},
     )
 
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.quality import deduplicate
+from plumbline.session import shared_dir
+
+#: Groups that a table of runs is kept in; a load rewrites only those of its new runs.
+GROUPS = 64
+
 
 def call_models(prompt_calls: DataFrame) -> DataFrame:
     """Distinct models of agent and critic calls per run, sorted and joined by commas.
@@ -61,16 +67,51 @@ def backfill_status(summaries: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def append_summaries(spark: SparkSession, summaries: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Appends the summaries of new runs; running it again appends nothing."""
-    if _exists(spark, path):
-        stored = spark.read.format(fmt).load(path).select("run_id")
-        fresh = summaries.join(stored, "run_id", "left_anti")
-    else:
-        fresh = summaries
+def run_group(groups: int) -> Column:
+    """The group a run is stored in."""
+    return F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(groups)).cast("int")
+
+
+def append_summaries(
+    spark: SparkSession, summaries: DataFrame, path: str, fmt: str = "parquet", groups: int = GROUPS
+) -> int:
+    """Adds the summaries of new runs to a table kept by group of runs; returns how many there were.
+
+    What the groups of the new runs are to hold (their stored rows and the new ones, one row a run, the
+    least where a run comes twice) is written aside, then takes the place of these groups and of no other.
+    So a load that is cut off can be run again, and runs stored before stay as they are. A NULL run is one
+    run; a load without rows makes no table.
+    """
+    columns = summaries.columns
+    grouped = deduplicate(summaries, ["run_id"]).withColumn("run_group", run_group(groups))
+    exists = _exists(spark, path)
+    if exists:
+        stored = spark.read.schema(grouped.schema).format(fmt).load(path).select(F.col("run_id").alias("_known"))
+        grouped = grouped.join(stored, F.col("run_id").eqNullSafe(F.col("_known")), "left_anti")
+    fresh = shared_dir(spark, "new-runs")
     seen = Observation()
-    fresh.observe(seen, F.count("*").alias("rows")).write.mode("append").format(fmt).save(path)
-    return int(seen.get["rows"])
+    grouped.observe(seen, F.count("*").alias("rows")).write.parquet(fresh)
+    count = int(seen.get["rows"])
+    if not count:
+        return 0
+    new = spark.read.schema(grouped.schema).parquet(fresh)
+    whole = new
+    if exists:
+        touched = new.select("run_group").distinct()
+        kept = spark.read.schema(grouped.schema).format(fmt).load(path).join(touched, "run_group", "left_semi")
+        staged = shared_dir(spark, "run-groups")
+        kept.select(*new.columns).unionByName(new).write.parquet(staged)
+        whole = spark.read.schema(grouped.schema).parquet(staged)
+    (
+        whole.select(*columns, "run_group")
+        .repartition("run_group")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_group")
+        .format(fmt)
+        .save(path)
+    )
+    return count
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.normalize import normalize_runs, read_artifacts
+from plumbline.sources.runs import RunFolder, artifact_digests, locate, open_runs
 from plumbline.sources.schemas import TABLES
 from plumbline.sources.secrets import refuse_secrets
 
+#: Largest file whose plain digest is taken, in one piece.
+WHOLE_BYTES = 64 << 20
 MANIFEST_SCHEMA = "table_name string, path string, row_count bigint"
 
 
@@ -21,19 +24,22 @@ def write_counted(frame: DataFrame, path: str, fmt: str = "parquet") -> int:
     return int(seen.get["rows"])
 
 
-def source_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and SHA-256 of every source file; contents are hashed where they are read."""
-    from plumbline.sources.runs import locate
+def source_manifest(spark: SparkSession, root: str | RunFolder) -> DataFrame:
+    """Path, size, lines and hash-tree digest of every artifact, whatever its size.
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return (
-        files.select(*locate(F.col("path"), root), "length", "content")
+    ``sha256`` is the digest of the bytes as they are, for single files of at most ``WHOLE_BYTES``: it can't
+    be put together from parts, so larger ones have it null and are told by ``tree_sha256``.
+    """
+    folder = open_runs(spark, root)
+    small = (
+        folder.entries.where(F.col("length") <= WHOLE_BYTES)
+        .select(*locate(F.col("path"), folder.root), F.sha2("content", 256).alias("sha256"))
         .where("run_id is not null")
-        .select(
-            F.concat("run_id", F.lit("/"), "artifact").alias("path"),
-            F.col("length").alias("size_bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+    )
+    return (
+        artifact_digests(spark, folder)
+        .join(small, ["run_id", "artifact"], "left")
+        .select(F.concat("run_id", F.lit("/"), "artifact").alias("path"), "size_bytes", "n_lines", "tree_sha256", "sha256")
     )
 
 
@@ -42,10 +48,11 @@ def export_runs(spark: SparkSession, root: str, out: str) -> DataFrame:
 
     Layout: ``{table}/`` per table, ``source_files/`` with hashes, ``manifest/`` with row counts.
     """
-    refuse_secrets(spark, root)
-    tables = normalize_runs(read_artifacts(spark, root))
+    folder = open_runs(spark, root)
+    refuse_secrets(spark, folder)
+    tables = normalize_runs(read_artifacts(spark, folder))
     counts = [(name, name, write_counted(tables[name], f"{out}/{name}")) for name in TABLES]
-    source_manifest(spark, root).write.mode("overwrite").parquet(f"{out}/source_files")
+    source_manifest(spark, folder).write.mode("overwrite").parquet(f"{out}/source_files")
     manifest = spark.createDataFrame(counts, MANIFEST_SCHEMA).withColumns(
         {
             "schema_version": F.lit(1),

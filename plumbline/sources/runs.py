@@ -1,12 +1,14 @@
 """Run directories as tables of lines and documents.
 
 The frames here carry (run_id, artifact, line_no, value) for line files and (run_id, artifact,
-value) for JSON documents; ``plans.normalize`` turns them into the twelve tables.
+value) for JSON documents; ``plans.normalize`` turns them into the twelve tables. An artifact is a
+file, or a folder of part files as Spark writes them, whose lines follow each other in path order.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,49 +49,101 @@ def locate(path: Column, root: str) -> list[Column]:
     return [run.alias("run_id"), F.when(run.isNotNull(), F.substring(tail, F.length(name) + 2, F.length(tail))).alias("artifact")]
 
 
-def run_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file of every run directory, without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+@dataclass(frozen=True)
+class RunFolder:
+    """A folder of run directories, listed when it is opened; every reader takes its files from here.
+
+    ``entries`` has path and size of every file, and contents where they are asked for; ``text`` has
+    the lines. A filter on the file name drops files from the listing, before any is opened.
+    """
+
+    spark: SparkSession
+    root: str
+    entries: DataFrame
+    text: DataFrame
+
+
+def open_runs(spark: SparkSession, root: str | RunFolder) -> RunFolder:
+    """Lists ``root`` once for names and sizes and once for lines; an open folder comes back as it is."""
+    if isinstance(root, RunFolder):
+        return root
+    # Only "\n" ends a line, so that lines give back the bytes of a file.
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return RunFolder(spark, root, reader.format("binaryFile").load(root), reader.option("lineSep", "\n").format("text").load(root))
+
+
+def artifact_name(tail: Column) -> Column:
+    """The artifact a file belongs to: itself, or the folder of part files it lies in."""
+    return F.regexp_replace(tail, "/part-[^/]*$", "")
+
+
+def run_files(spark: SparkSession, root: str | RunFolder) -> DataFrame:
+    """The inventory: every file of every run directory with its size and kind, without reading contents.
+
+    ``kind`` is what follows the last dot of the artifact (empty without one); ``artifact`` joins part files.
+    """
+    folder = open_runs(spark, root)
+    base = F.element_at(F.split("artifact", "/"), -1)
     return (
-        files.select("path", "length", *locate(F.col("path"), root))
+        folder.entries.select("path", F.col("length").alias("size_bytes"), *locate(F.col("path"), folder.root))
         .where("run_id is not null")
-        .withColumn("source_run_dir", F.concat(F.lit(root.rstrip("/") + "/"), "run_id"))
+        .withColumnRenamed("artifact", "file")
+        .withColumn("artifact", artifact_name(F.col("file")))
+        .withColumn("kind", F.regexp_extract(base, r"\.([^.]*)$", 1))
+        .withColumn("source_run_dir", F.concat(F.lit(folder.root.rstrip("/") + "/"), "run_id"))
     )
 
 
-def rejected_directories(spark: SparkSession, root: str) -> DataFrame:
+def rejected_directories(spark: SparkSession, root: str | RunFolder) -> DataFrame:
     """Names below ``root`` that are not run directories."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    name = F.substring_index(below(F.col("path"), root), "/", 1)
-    return files.select(name.alias("name")).where(~name.rlike(RUN_NAME)).distinct()
-
-
-def _text(spark: SparkSession, root: str, artifact: str, whole: bool) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", artifact)
-    if whole:
-        reader = reader.option("wholetext", "true")
-    text = reader.text(root).select(
-        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")
+    folder = open_runs(spark, root)
+    name = F.substring_index(below(F.col("path"), folder.root), "/", 1)
+    return folder.entries.select(name.alias("name")).where(~name.rlike(RUN_NAME)).distinct()
+
+
+def _located(frame: DataFrame, folder: RunFolder, artifact: str | None) -> DataFrame:
+    """Rows of the files of runs, or of one artifact of them; the file name alone prunes the listing."""
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    if artifact is not None:
+        last = artifact.rsplit("/", 1)[-1]
+        frame = frame.where((name == last) | (name.startswith("part-") & path.contains(f"/{last}/part-")))
+    placed = frame.select("*", path.alias("_path"), F.col("_metadata.file_block_start").alias("_block")).select(
+        "*", *locate(F.col("_path"), folder.root)
     )
-    located = text.select("*", *locate(F.col("_path"), root))
-    return located.where(F.col("artifact") == artifact)
+    placed = placed.withColumn("artifact", artifact_name(F.col("artifact")))
+    return placed.where("run_id is not null" if artifact is None else F.col("artifact") == artifact)
 
 
-def artifact_lines(spark: SparkSession, root: str, artifact: str) -> DataFrame:
-    """Lines of one artifact over all runs, numbered from one.
+def artifact_lines(
+    spark: SparkSession, root: str | RunFolder, artifact: str | None = None, as_bytes: bool = False
+) -> DataFrame:
+    """Lines of one artifact (or of all) over all runs, numbered from one.
 
     Files stay splittable: lines are numbered inside each split, and splits are offset by the lines
-    before them, so no file is read by a single task.
+    before them, so no file is read by a single task. A carriage return ends a line, too, unless the
+    lines are wanted ``as_bytes``.
     """
-    text = _text(spark, root, artifact, whole=False).withColumn("_id", F.monotonically_increasing_id())
-    return number_lines(text).select("run_id", "artifact", "line_no", "value")
+    folder = open_runs(spark, root)
+    text = _located(folder.text, folder, artifact)
+    if not as_bytes:
+        text = at_returns(text)
+    return number_lines(text.withColumn("_id", F.monotonically_increasing_id())).select(
+        "run_id", "artifact", "line_no", "value"
+    )
+
+
+def at_returns(text: DataFrame) -> DataFrame:
+    """Lines cut at carriage returns; one at the end of a line belongs to its end."""
+    parts = F.split(F.regexp_replace("value", "\r$", ""), "\r")
+    return text.withColumn("value", F.explode(parts))
 
 
 def number_lines(text: DataFrame) -> DataFrame:
     """Adds ``line_no`` from (_path, _block, _id): a split is at most one input partition in size."""
-    sizes = text.groupBy("_path", "_block").agg(F.count("*").alias("_size"))
-    splits = Window.partitionBy("_path").orderBy("_block")
-    offsets = sizes.withColumn("_offset", F.sum("_size").over(splits) - F.col("_size")).drop("_size")
+    key = ["run_id", "artifact"]
+    sizes = text.groupBy(*key, "_path", "_block").agg(F.count("*").alias("_size"))
+    splits = Window.partitionBy(*key).orderBy(F.length("_path"), "_path", "_block")
+    offsets = sizes.withColumn("_offset", F.sum("_size").over(splits) - F.col("_size")).drop("_size", *key)
     inside = Window.partitionBy("_path", "_block").orderBy("_id")
     return (
         text.withColumn("_position", F.row_number().over(inside))
@@ -99,9 +153,50 @@ def number_lines(text: DataFrame) -> DataFrame:
     )
 
 
-def artifact_documents(spark: SparkSession, root: str, artifact: str) -> DataFrame:
-    """One JSON document per run."""
-    return _text(spark, root, artifact, whole=True).select("run_id", "artifact", "value")
+def artifact_documents(spark: SparkSession, root: str | RunFolder, artifact: str) -> DataFrame:
+    """One JSON document per run; of a folder of part files, one per file."""
+    folder = open_runs(spark, root)
+    value = F.col("content").cast("string").alias("value")
+    return _located(folder.entries, folder, artifact).select("run_id", "artifact", value)
+
+
+#: Children of a node of the digest tree.
+FAN_OUT = 1024
+
+
+def artifact_digests(spark: SparkSession, root: str | RunFolder) -> DataFrame:
+    """(run_id, artifact, size_bytes, n_lines, tree_sha256) of every artifact, of any size.
+
+    A hash tree: the SHA-256 of every line, of each ``FAN_OUT`` of them (hexadecimal, in line order),
+    of each ``FAN_OUT`` of those, and of size and all of these. It depends on neither splits nor part
+    files; no task holds more than one line and ``FAN_OUT`` digests, the last one a digest for
+    each million of lines. Size tells whether the last line has its end, so equal digests mean equal bytes.
+    """
+    folder = open_runs(spark, root)
+    key = ["run_id", "artifact"]
+    level = artifact_lines(spark, folder, as_bytes=True).select(
+        *key, (F.col("line_no") - 1).cast("bigint").alias("_at"), F.sha2(F.col("value").cast("binary"), 256).alias("_digest")
+    )
+
+    def joined(digests):
+        return F.array_join(F.transform(F.array_sort(digests), lambda x: x["_digest"]), "")
+
+    counted = level.withColumn("_lines", F.lit(1).cast("bigint"))
+    for _ in range(2):
+        node = F.floor(F.col("_at") / FAN_OUT).cast("bigint")
+        counted = (
+            counted.groupBy(*key, node.alias("_node"))
+            .agg(F.collect_list(F.struct("_at", "_digest")).alias("_children"), F.sum("_lines").alias("_lines"))
+            .select(*key, F.col("_node").alias("_at"), F.sha2(joined(F.col("_children")), 256).alias("_digest"), "_lines")
+        )
+    roots = counted.groupBy(*key).agg(
+        joined(F.collect_list(F.struct("_at", "_digest"))).alias("_nodes"), F.sum("_lines").alias("n_lines")
+    )
+    sizes = run_files(spark, folder).groupBy(*key).agg(F.sum("size_bytes").alias("size_bytes"))
+    text = F.concat(F.col("size_bytes").cast("string"), F.lit(":"), F.coalesce("_nodes", F.lit("")))
+    return sizes.join(roots, key, "left").select(
+        *key, "size_bytes", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.sha2(text, 256).alias("tree_sha256")
+    )
 
 
 def position(df: DataFrame, group: str, order: str, output: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import shared_dir
-from plumbline.sources.runs import locate, number_lines
+from plumbline.sources.runs import RunFolder, artifact_lines, at_returns, locate, open_runs
 
 # Secret patterns; (?i) where letter case does not matter.
 PATTERNS = (
@@ -65,36 +65,24 @@ def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def scan_runs(spark: SparkSession, root: str) -> DataFrame:
+def scan_runs(spark: SparkSession, root: str | RunFolder) -> DataFrame:
     """(run_id, artifact, line_no, pattern) over every file of every run."""
-    text = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(root)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_id"),
-        )
-        .select("*", *locate(F.col("_path"), root))
-        .where("run_id is not null")
-    )
-    return scan_lines(number_lines(text), ["run_id", "artifact", "line_no"])
+    return scan_lines(artifact_lines(spark, root), ["run_id", "artifact", "line_no"])
 
 
-def refuse_secrets(spark: SparkSession, root: str, show: int = 20) -> None:
+def refuse_secrets(spark: SparkSession, root: str | RunFolder, show: int = 20) -> None:
     """Raises when any file holds something like a secret.
 
     Every place is written to a table; the error names it with the count and the first ``show``.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(root)
-    suspicious = text.select("value", F.col("_metadata.file_path").alias("_path")).select(
-        "value", *locate(F.col("_path"), root)
-    ).where(F.col("run_id").isNotNull() & (F.size(found_patterns(F.col("value"), F.lower("value"))) > 0))
+    folder = open_runs(spark, root)
+    suspicious = at_returns(folder.text.select("value", *locate(F.col("_metadata.file_path"), folder.root))).where(
+        F.col("run_id").isNotNull() & (F.size(found_patterns(F.col("value"), F.lower("value"))) > 0)
+    )
     if suspicious.isEmpty():
         return
     table = shared_dir(spark, "possible-secrets")
-    scan_runs(spark, root).write.parquet(table)
+    scan_runs(spark, folder).write.parquet(table)
     found = spark.read.parquet(table)
     hits = found.orderBy("run_id", "artifact", "line_no", "pattern").limit(show).collect()
     places = ", ".join(f"{r['run_id']}/{r['artifact']}:{r['line_no']} ({r['pattern']})" for r in hits)

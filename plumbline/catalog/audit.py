@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, table
+from plumbline.functions.ranking import running_totals
 from plumbline.plans import audit
 
 CODE_SQL = """case l_returnflag when 'A' then 'EVIDENCE_ACCURATE' when 'N' then 'EVIDENCE_MISSTATED'
@@ -282,22 +283,21 @@ def audit_eligible(spark, sf):
 
 @query(
     "audit_code_chunks",
-    f"""select l_suppkey as claim_id, (l_linenumber // 4)::bigint as chunk,
-  string_agg(distinct l_linenumber || {CODE_SQL}, ',' order by l_linenumber || {CODE_SQL}) as codes
-from lineitem group by 1, 2""",
+    f"""with n as (select l_suppkey as claim_id, l_linenumber || {CODE_SQL} as code, row_number() over (partition by l_suppkey
+  order by l_orderkey, l_linenumber, l_partkey, {CODE_SQL}) - 1 as i from lineitem)
+select claim_id, (i // 16)::bigint as chunk, string_agg(code, ',' order by i) as codes from n group by 1, 2""",
 )
 def audit_code_chunks(spark, sf):
-    """Codes in citation order, in bounded arrays (here one citation per line number and code)."""
-    distinct = (
-        table(spark, sf, "lineitem")
-        .select(
-            F.col("l_suppkey").alias("claim_id"),
-            F.col("l_linenumber").cast("bigint").alias("evidence_index"),
-            F.concat(F.col("l_linenumber").cast("string"), flag_code()).alias("layer1_code"),
-        )
-        .distinct()
+    """Codes of all citations of a supplier in citation order, in bounded arrays; equal ones are counted, then numbered."""
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", flag_code().alias("code")).alias("place")
+    counted = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("claim_id"), place).agg(F.count("*").alias("n"))
+    placed = running_totals(counted, ["claim_id"], "place", ["n"])
+    numbered = placed.select(
+        "claim_id",
+        F.explode(F.sequence(F.col("cum_n") - F.col("n"), F.col("cum_n") - 1)).alias("evidence_index"),
+        F.concat(F.col("place.l_linenumber").cast("string"), "place.code").alias("layer1_code"),
     )
-    chunks = audit.citation_code_chunks(distinct, ["claim_id"], chunk=4)
+    chunks = audit.citation_code_chunks(numbered, ["claim_id"], chunk=16)
     return chunks.select("claim_id", "chunk", F.array_join("citation_layer1_codes", ",").alias("codes"))
 
 

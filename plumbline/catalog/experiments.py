@@ -69,14 +69,14 @@ def consensus_decisions(spark, sf):
     return ex.consensus(decisions(spark, sf, True), ["dataset", "c_nationkey"])
 
 
-@query(
-    "changed_decisions",
-    f"""with {DECISIONS}, a as (select distinct dataset, stage, decision from s where cold),
+CHANGES = f"""{DECISIONS}, a as (select distinct dataset, stage, decision from s where cold),
 b as (select distinct dataset, stage, decision from s where not cold),
 u as (select * from (select * from a except select * from b) union all select * from (select * from b except select * from a)),
-d as (select distinct dataset from (select * from a union all select * from b))
-select d.dataset, count(u.stage) as changed_decisions from d left join u on d.dataset = u.dataset group by 1""",
-)
+d as (select distinct dataset from (select * from a union all select * from b)),
+c as (select d.dataset, count(u.stage) as changed_decisions from d left join u on d.dataset = u.dataset group by 1)"""
+
+
+@query("changed_decisions", f"with {CHANGES} select * from c")
 def changed_decisions(spark, sf):
     by = ["dataset", "c_nationkey"]
     cold = ex.consensus(decisions(spark, sf, True), by).select("dataset", "stage", "decision")
@@ -86,17 +86,17 @@ def changed_decisions(spark, sf):
 
 @query(
     "variance_note",
-    f"""with {RUN_MEANS}, d as (select dataset, stage, abs(avg(run_mean) filter (not cold) - avg(run_mean) filter (cold)) as delta
-  from m group by 1, 2)
-select dataset, case when count(*) filter (delta >= 0.25) > 0 then 'Notable variance: score delta >=0.25 in ['
-  || string_agg(stage, ', ' order by stage) filter (delta >= 0.25) || ']; 0 consensus decision entries differed.'
+    f"""with {RUN_MEANS}, {CHANGES}, e as (select dataset, stage, abs(avg(run_mean) filter (not cold)
+  - avg(run_mean) filter (cold)) as delta from m group by 1, 2),
+n as (select dataset, coalesce(string_agg(stage, ', ' order by stage) filter (delta >= 0.25), '') as stages from e group by 1)
+select dataset, case when stages <> '' or coalesce(changed_decisions, 0) > 0 then 'Notable variance: score delta >=0.25 in ['
+  || stages || ']; ' || coalesce(changed_decisions, 0) || ' consensus decision entries differed.'
   else 'No notable variance in stage means or consensus decisions at temperature 0.7.' end as temp07_variance_note
-from d group by 1""",
+from n left join c using (dataset)""",
 )
 def variance_note(spark, sf):
-    deltas = ex.temperature_delta(scores(spark, sf))
-    none = deltas.select("dataset").distinct().withColumn("changed_decisions", F.lit(0).cast("bigint"))
-    return ex.variance_note(deltas, none)
+    """Sentences from the score deltas and from the decisions that both temperatures agree on or not."""
+    return ex.variance_note(ex.temperature_delta(scores(spark, sf)), changed_decisions(spark, sf))
 
 
 @query(

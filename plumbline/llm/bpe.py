@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Rows, documents
 
 #: Characters of a leaf; a text up to this long is encoded at once.
-LEAF = 16_384
+LEAF = 512
 #: White space as Unicode defines it (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Only safe sync points: ASCII letters and digits, and white space after what isn't.

@@ -135,7 +135,7 @@ def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.predict_language(docs, language_dictionaries(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "told")
 
 
 @query("op9_token_files")

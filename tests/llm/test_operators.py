@@ -358,6 +358,9 @@ def test_language_accuracy(spark):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.97 and all(0 <= r.score <= 1 for r in rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in language.accepted(docs, queries.language_dictionaries(docs)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in rows if r.told}
 
 
 def test_language_of_odd_rows(spark, docs, nothing):
@@ -375,6 +378,23 @@ def test_language_of_odd_rows(spark, docs, nothing):
     assert language.Compressors(tools).told("q" * 4000, 0.5) is False
 
 
+def test_labelled_rows_are_those_of_least_hash(spark, monkeypatch):
+    rows = [(i, f"text {i}", "hot" if i % 5 else "rare") for i in range(3000)] + [(7, "again", "rare")] * 3
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    hashes = {r.id: r.h for r in frame.selectExpr("doc_id as id", "xxhash64(cast(doc_id as string)) as h").collect()}
+    sample = frame.selectExpr("lang", "xxhash64(cast(doc_id as string)) as hash")
+    monkeypatch.setattr(language, "BITS", 4)
+    monkeypatch.setattr(language, "NEAR", 2)
+    for wanted in (1, 40, 5000):
+        cuts, counts = language.cut_offs(sample, wanted)
+        for lang in ("hot", "rare"):
+            own = sorted((hashes[i], str(i), text) for i, text, x in rows if x == lang)
+            below = sum(h <= cuts[lang] for h, _, _ in own)
+            assert counts[lang] == len(own) and min(wanted, len(own)) <= below <= wanted + 4
+            plain = " ".join(language.letters(text) for _, _, text in own[:wanted]).encode()
+            assert language.fit_dictionaries(frame, rows=wanted)[lang] == plain[-language.DICTIONARY_BYTES :]
+
+
 def test_language_is_rejected_by_narrow_margin(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tools = language.Compressors(queries.language_dictionaries(docs))

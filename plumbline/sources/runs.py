@@ -80,6 +80,7 @@ def artifact_name(tail: Column) -> Column:
 def run_files(spark: SparkSession, root: str | RunFolder) -> DataFrame:
     """The inventory: every file of every run directory with its size and kind, without reading contents.
 
+    Spark's file sources leave out files of no bytes, so these count as missing.
     ``kind`` is what follows the last dot of the artifact (empty without one); ``artifact`` joins part files.
     """
     folder = open_runs(spark, root)
@@ -193,10 +194,8 @@ def artifact_digests(spark: SparkSession, root: str | RunFolder) -> DataFrame:
         joined(F.collect_list(F.struct("_at", "_digest"))).alias("_nodes"), F.sum("_lines").alias("n_lines")
     )
     sizes = run_files(spark, folder).groupBy(*key).agg(F.sum("size_bytes").alias("size_bytes"))
-    text = F.concat(F.col("size_bytes").cast("string"), F.lit(":"), F.coalesce("_nodes", F.lit("")))
-    return sizes.join(roots, key, "left").select(
-        *key, "size_bytes", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.sha2(text, 256).alias("tree_sha256")
-    )
+    text = F.concat(F.col("size_bytes").cast("string"), F.lit(":"), "_nodes")
+    return sizes.join(roots, key).select(*key, "size_bytes", "n_lines", F.sha2(text, 256).alias("tree_sha256"))
 
 
 def position(df: DataFrame, group: str, order: str, output: str) -> DataFrame:

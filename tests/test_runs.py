@@ -170,6 +170,47 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_digest_goes_by_bytes_not_by_files(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    monkeypatch.setattr(run_source, "FAN_OUT", 3)
+    lines = [f"line {i}\r" if i % 4 else "" for i in range(20)]
+    run = tmp_path / "runs" / "m9_tree_c_t00_r1"
+    write(run / "whole.txt", *lines)
+    write(run / "open.txt", *lines)
+    (run / "open.txt").write_bytes((run / "whole.txt").read_bytes()[:-1])
+    write(run / "parts.txt" / "part-00000-x.txt", *lines[:7])
+    write(run / "parts.txt" / "part-00001-x.txt", *lines[7:])
+    write(run / "empty.txt")
+    got = {r.artifact: r for r in run_source.artifact_digests(spark, str(tmp_path / "runs")).collect()}
+    level = [sha(x) for x in lines]
+    for _ in range(2):
+        level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+    size = (run / "whole.txt").stat().st_size
+    assert got["whole.txt"].tree_sha256 == got["parts.txt"].tree_sha256 == sha(f"{size}:" + "".join(level))
+    assert got["open.txt"].size_bytes == size - 1 and got["open.txt"].tree_sha256 != got["whole.txt"].tree_sha256
+    assert got["whole.txt"].n_lines == 20 and "empty.txt" not in got
+
+
+def test_any_line_end(spark, tmp_path, rows):
+    run = tmp_path / "runs" / "m9_ends_c_t00_r1"
+    write(run / "x.txt")
+    (run / "x.txt").write_bytes(b"a\r\nb\rc\n\r\nd")
+    found = run_source.artifact_lines(spark, str(tmp_path / "runs"), "x.txt")
+    assert rows(found, "line_no", "value") == [(1, "a"), (2, "b"), (3, "c"), (4, ""), (5, "d")]
+
+
+def test_stored_runs_stay(spark, tmp_path, rows):
+    path = str(tmp_path / "kept")
+    first = spark.createDataFrame([("a", 1), (None, 1)], "run_id string, load int")
+    second = spark.createDataFrame([("a", 2), ("b", 2), ("b", 2), (None, 2)], "run_id string, load int")
+    assert [backfill.append_summaries(spark, f, path, groups=2) for f in (first, second, second, first)] == [2, 1, 0, 0]
+    assert rows(spark.read.parquet(path), "run_id", "load") == sorted([("a", 1), ("b", 2), (None, 1)], key=repr)
+
+
 def test_export_bronze_silver_gold(spark, runs_dir, tmp_path):
     out, house = str(tmp_path / "export"), str(tmp_path / "house")
     manifest = {r["table_name"]: r["row_count"] for r in export.export_runs(spark, runs_dir, out).collect()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.registry import query, table
 from plumbline.functions.ranking import running_totals
 from plumbline.plans import audit
+from plumbline.profile.associations import balance_rows
 
 CODE_SQL = """case l_returnflag when 'A' then 'EVIDENCE_ACCURATE' when 'N' then 'EVIDENCE_MISSTATED'
   else 'FABRICATED_EVIDENCE' end"""
@@ -189,6 +190,37 @@ def audit_map_evidence(spark, sf):
     )
 
 
+@query(
+    "audit_map_rows",
+    """with n as (select l_returnflag as f, l_orderkey as k, count(*) as n, count(*) filter (l_linenumber <= 6) as m
+  from lineitem group by 1, 2),
+r as (select f, k, n / (sum(n) over (partition by f) * 1e0) as s from n where f <> 'R'),
+t as (select f, k, m / (sum(m) over (partition by f) * 1e0) as s from n where f = 'N' and m > 0),
+c as (select f, k, s * 1.005e0 as s from r where f = 'A' union all select * from t
+  union all select f, k, 1e0 from n where f = 'R'),
+j as (select coalesce(c.f, r.f) as entity, c.k as ck, r.k as rk, coalesce(abs(c.s - r.s) / r.s <= 0.01, false) as ok
+  from c full join r on c.f = r.f and c.k = r.k)
+select entity, count(ck) as claimed_entries, count(rk) as real_entries, count(*) filter (ok) as matched_entries,
+  case when count(rk) = 0 then 'FABRICATED_EVIDENCE' when bool_and(ok) then 'EVIDENCE_ACCURATE' else 'EVIDENCE_MISSTATED' end
+  as layer1_code from j group by 1""",
+)
+def audit_map_rows(spark, sf):
+    """Balance of orders within a return flag, a class for each order: nearly right, from fewer lines, and invented."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("entity"), "l_orderkey", "l_linenumber")
+
+    def balance(frame):
+        counts = frame.groupBy("entity", F.col("l_orderkey").alias("value")).agg(F.count("*").alias("n"))
+        return balance_rows(counts, digits=None)
+
+    known, invented = balance(lines.where("entity <> 'R'")), balance(lines.where("entity = 'R'"))
+    claimed = (
+        known.where("entity = 'A'").withColumn("value", F.col("value") * 1.005)
+        .unionByName(balance(lines.where("entity = 'N' and l_linenumber <= 6")))
+        .unionByName(invented.withColumn("value", F.lit(1.0)))
+    )
+    return audit.map_verdicts(claimed, known, ["entity"])
+
+
 def flagged_evidence(spark, sf):
     key = (
         F.when(F.col("l_returnflag") == "R", "col:x:leakage_suspect")

@@ -164,8 +164,16 @@ def sentinel_audit(spark, sf):
 
 @query(
     "planted_frame_check",
-    """select 'changed_target' as frame, 'must keep every row and the target' as problem where (select count(*) from orders) > 0
-union all select 'lost_rows', 'must keep every row and the target' where (select count(*) from orders) > 0""",
+    """with o as (select o_orderkey as k, o_totalprice as t from orders),
+g as (select 'good' as frame, k, t from o
+  union all select 'changed_target', k, case when k % 1000 = 7 then t + 1 else t end from o
+  union all select 'lost_rows', k, t from o where k % 2 = 0),
+d as (select frame, k, t, count(*) as n from g group by all),
+b as (select k, t, count(*) as n from o group by all),
+x as (select f.frame, count(*) filter (d.n is distinct from b.n) as wrong, count(*) filter (d.n is null) as gone
+  from (select distinct frame from g) f join b on true left join d on d.frame = f.frame and d.k = b.k
+  and d.t is not distinct from b.t group by 1)
+select frame, 'must keep every row and the target' as problem from x where wrong > 0""",
 )
 def planted_frame_check(spark, sf):
     """Three planted frames, two of them wrong."""
@@ -173,7 +181,9 @@ def planted_frame_check(spark, sf):
     good = orders.withColumns({c: F.lit(1) for c in cor.COLUMNS})
     frames = {
         "good": good,
-        "changed_target": good.withColumn("o_totalprice", F.col("o_totalprice") + 1),
+        "changed_target": good.withColumn(
+            "o_totalprice", F.expr("case when o_orderkey % 1000 = 7 then o_totalprice + 1 else o_totalprice end")
+        ),
         "lost_rows": good.where("o_orderkey % 2 = 0"),
     }
     found = [

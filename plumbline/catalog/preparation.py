@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from plumbline.catalog.profiling import LINES, TARGET, lines, rounded, stats_sql
@@ -260,6 +261,27 @@ def feat_onehot_unknown(spark, sf):
     return orders.where("f = 0").select("o_orderkey", *ft.one_hot(F.col("o_orderstatus"), known, "status"))
 
 
+@query(
+    "feat_onehot_vector",
+    """with v as (select distinct p_type as t from part where p_size <= 45),
+c as (select t, row_number() over (order by t) - 1 as code from v)
+select p_partkey, coalesce(code, -1) as place, (select count(*) from v) as size, (code is not null)::int as ones
+from part left join c on p_type = t""",
+)
+def feat_onehot_vector(spark, sf):
+    """Part types as sparse vectors; types that only large parts have are unknown, so all zeros."""
+    part = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
+    codes = ft.label_codes(part.where("p_size <= 45"), "p_type")
+    coded = ft.one_hot_vector(part, F.col("p_type"), codes, "hot")
+    dense = vector_to_array("hot")
+    return coded.select(
+        "p_partkey",
+        (F.array_position(dense, F.lit(1.0)) - 1).cast("bigint").alias("place"),
+        F.size(dense).cast("bigint").alias("size"),
+        F.aggregate(dense, F.lit(0.0), lambda a, b: a + b).cast("int").alias("ones"),
+    )
+
+
 @query(
     "feat_ordinal",
     """with v as (select o_orderpriority as p, row_number() over (order by o_orderpriority) - 1 as code

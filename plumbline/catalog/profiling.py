@@ -563,29 +563,50 @@ def metric_key_parse(spark, sf):
 
 @query(
     "allowed_evidence",
-    " union all ".join(
-        [f"select 'col:{c}:{m}' as metric_key" for c in ("quantity", "tax") for m in ds.NUMBER_METRICS + ds.FLAG_METRICS + ds.TEXT_METRICS]
-        + [f"select '{m}'" for m in ("n_rows", "n_duplicated_rows", "target_dtype", "target_class_balance", "target_skew", "target:is_imbalanced")]
-    ),
+    """with kept as (select 'quantity' as c where (select avg(l_quantity) from lineitem) >= 1
+  union all select 'discount' where (select avg(l_discount) from lineitem) >= 1
+  union all select 'tax' where (select avg(l_tax) from lineitem) >= 1
+  union all select 'linenumber' where (select avg(l_linenumber) from lineitem) >= 1),
+metric as (select unnest(['nunique', 'missing_pct', 'mean', 'std', 'min', 'max', 'median', 'skew', 'kurtosis',
+  'iqr_outlier_pct', 'nonzero_pct', 'top_category_pct', 'corr_with_target', 'max_abs_corr_other', 'vif',
+  'missingness_target_corr', 'missingness_cluster_corr_max', 'has_missing', 'is_sequential', 'is_high_cardinality',
+  'is_constant', 'is_id_like', 'has_high_missing', 'has_moderate_missing', 'is_multicollinear', 'is_skewed',
+  'is_zero_inflated', 'leakage_suspect', 'missingness_informative', 'missingness_leakage_suspect', 'is_low_variance',
+  'is_numeric_but_categorical', 'is_duplicate_of_other_column', 'dtype', 'duplicate_of']) as m)
+select 'col:' || c || ':' || m as metric_key from kept, metric union all select unnest(['n_rows', 'n_duplicated_rows',
+  'target_dtype', 'target_class_balance', 'target_skew', 'target:is_imbalanced'])""",
 )
 def allowed_evidence(spark, sf):
-    """Profile of three columns of which two were kept by the plan."""
-    long = ds.profile(lines(spark, sf).select("quantity", "tax", "status"), TARGET, "regression")
-    kept = spark.createDataFrame([("quantity",), ("tax",)], "column_name string")
+    """Profile of four columns; a plan keeps those whose mean is at least one."""
+    long = ds.profile(lines(spark, sf).select("quantity", "discount", "tax", "linenumber"), TARGET, "regression")
+    kept = long.where("metric = 'mean' and num_value >= 1").select("column_name")
     return audit.allowed_evidence(long, kept)
 
 
 @query(
     "planted_identified",
-    """select * from (values ('constant', 'SYNTH_CONSTANT', 1::bigint, true), ('high_missing', 'SYNTH_HIGH_MISSING', 1, true),
-  ('leakage', 'SYNTH_LEAKED', 1, true)) t(defect, column_name, matches, unambiguous) where (select count(*) from orders) > 0""",
+    """with p as (select o_totalprice as y, case when o_orderkey % 10 < 7 then null else o_custkey end as gap,
+  1 as same, 0 as given,
+  o_totalprice * 3e0 + o_custkey as leak from orders),
+f as (select 'SYNTH_CONSTANT' as c, 'constant' as d, count(distinct same) <= 1 as hit from p
+  union all select 'given', 'constant', count(distinct given) <= 1 from p
+  union all select 'SYNTH_LEAKED', 'leakage', abs(corr(leak, y)) > 0.95 from p
+  union all select 'SYNTH_HIGH_MISSING', 'leakage', abs(corr(gap, y)) > 0.95 from p
+  union all select 'SYNTH_HIGH_MISSING', 'high_missing', round(100e0 * (count(*) - count(gap)) / count(*), 2) > 40 from p
+  union all select 'SYNTH_LEAKED', 'high_missing', round(100e0 * (count(*) - count(leak)) / count(*), 2) > 40 from p)
+select d as defect, min(c) as column_name, count(*) as matches, count(*) = 1 as unambiguous from f where hit group by 1""",
 )
 def planted_identified(spark, sf):
-    """Defects planted into orders and found again by their profile flags."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    planted = cor.plant_defects(orders, "o_totalprice", "o_orderkey")
-    long = ds.profile(planted, "o_totalprice", "regression")
-    return ds.planted_defects(long, cor.COLUMNS)
+    """Defects of columns made of orders, found by their profile flags; a second constant column is ambiguous."""
+    orders = table(spark, sf, "orders")
+    planted = orders.select(
+        "o_totalprice",
+        F.lit(1).alias(cor.CONSTANT),
+        F.lit(0).alias("given"),
+        (F.col("o_totalprice") * 3.0 + F.col("o_custkey")).alias(cor.LEAKED),
+        F.expr("case when o_orderkey % 10 >= 7 then o_custkey end").alias(cor.HIGH_MISSING),
+    )
+    return ds.planted_defects(ds.profile(planted, "o_totalprice", "regression"), [*cor.COLUMNS, "given"])
 
 
 @query(

@@ -88,25 +88,57 @@ def resolve(evidence: DataFrame, profile: DataFrame, keys: Sequence[str] = ("met
     return lookup(evidence, profile.withColumn("found", F.lit(True)), keys)
 
 
+def citable(profile: DataFrame, keys: Sequence[str] = ("metric_key",)) -> DataFrame:
+    """Every key a claim may cite, once: the profile's own, and ``parent[sub]`` for each entry of a map.
+
+    Where both give the same key, the one that exists as written wins. Entries whose name can't be cited (empty, or
+    with a bracket) are left out.
+    """
+    values = value_columns("real", **{kind: F.col(f"real_{kind}") for kind in ("num", "bool", "str", "map")})
+    own = profile.select(*keys, *values, F.lit(0).alias("_rank"))
+    entries = profile.where(F.col("real_map").isNotNull()).select(*keys, F.explode("real_map").alias("_sub", "_value"))
+    cited = F.concat(F.col("metric_key"), F.lit("["), F.col("_sub"), F.lit("]"))
+    parent, sub = split_subkey(cited)
+    listed = entries.where((parent == F.col("metric_key")) & (sub == F.col("_sub"))).withColumn("metric_key", cited)
+    listed = listed.select(*keys, *value_columns("real", num=F.col("_value")), F.lit(1).alias("_rank"))
+    names = [f"real_{kind}" for kind in ("num", "bool", "str", "map")]
+    first = own.unionByName(listed).groupBy(*keys).agg(F.min_by(F.struct(*names), "_rank").alias("_first"))
+    return first.select(*keys, "_first.*")
+
+
 def resolve_with_subkeys(
     evidence: DataFrame, profile: DataFrame, keys: Sequence[str] = ("metric_key",)
 ) -> DataFrame:
-    """As ``resolve``; a key that exists as written wins, else ``parent[sub]`` is looked up."""
-    direct = resolve(evidence, profile, keys).withColumnRenamed("metric_key", "_cited")
-    cited_parent, cited_sub = split_subkey(F.col("_cited"))
-    fallback = direct.withColumn(
-        "metric_key", F.when(F.col("found").isNull() & cited_sub.isNotNull(), cited_parent)
+    """As ``resolve``; a key that exists as written wins, else ``parent[sub]`` is looked up: one join for both."""
+    return resolve(evidence, citable(profile, keys), keys)
+
+
+def map_verdicts(claimed: DataFrame, real: DataFrame, keys: Sequence[str] = ("metric_key",)) -> DataFrame:
+    """One code per claimed map, of maps kept as rows (keys, ``sub_key``, ``value``), with any number of entries.
+
+    Per map: ``claimed_entries``, ``real_entries``, ``matched_entries`` and ``layer1_code``. A map is right when both
+    sides name the same entries and each value is within tolerance; NULL names an entry like any other, a NULL value
+    matches nothing. Claimed maps without a real one are invented; real maps that nobody claims are left out. An
+    entry that repeats on one side makes the map wrong. Entries meet by aggregation, so a map of most rows is spread
+    over its entries, and only counts meet at its key.
+    """
+    none = F.lit(None).cast("double")
+    value = F.col("value").cast("double")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    sides = claimed.select(*keys, "sub_key", value.alias("_c"), none.alias("_r"), one.alias("_nc"), zero.alias("_nr"))
+    sides = sides.unionByName(
+        real.select(*keys, "sub_key", none.alias("_c"), value.alias("_r"), zero.alias("_nc"), one.alias("_nr"))
     )
-    parents = profile.where(F.col("real_map").isNotNull()).select(*keys, F.col("real_map").alias("_parent"))
-    joined = lookup(fallback, parents, keys)
-    sub_value = F.element_at(F.col("_parent"), cited_sub)
-    has_sub = F.coalesce(F.map_contains_key(F.col("_parent"), cited_sub), F.lit(False))
-    return (
-        joined.withColumn("real_num", F.when(has_sub, sub_value).otherwise(F.col("real_num")))
-        .withColumn("found", F.when(has_sub, F.lit(True)).otherwise(F.col("found")))
-        .drop("metric_key", "_parent")
-        .withColumnRenamed("_cited", "metric_key")
+    entries = sides.groupBy(*keys, "sub_key").agg(*[f(c).alias(c) for f, c in ((F.max, "_c"), (F.max, "_r"), (F.sum, "_nc"), (F.sum, "_nr"))])
+    same = (F.col("_nc") == 1) & (F.col("_nr") == 1) & F.coalesce(within_tolerance(F.col("_r"), F.col("_c")), F.lit(False))
+    counted = entries.groupBy(*keys).agg(
+        F.sum("_nc").alias("claimed_entries"),
+        F.sum("_nr").alias("real_entries"),
+        count_where(same).alias("matched_entries"),
+        count_where(~same).alias("_wrong"),
     )
+    code = F.when(F.col("real_entries") == 0, FABRICATED).when(F.col("_wrong") == 0, ACCURATE).otherwise(MISSTATED)
+    return counted.where("claimed_entries > 0").withColumn("layer1_code", code).drop("_wrong")
 
 
 def verdicts(resolved: DataFrame) -> DataFrame:

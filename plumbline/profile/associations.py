@@ -31,6 +31,19 @@ def class_balance(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("value", F.round(F.col("n") / F.col("_total"), 4).alias("share"))
 
 
+def balance_rows(counts: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Class balance of any number of classes as rows (sub_key, value); several targets may be told by further columns.
+
+    The missing class is named ``nan``; with ``digits=None`` shares aren't rounded.
+    """
+    groups = [c for c in counts.columns if c not in ("value", "n")]
+    total = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
+    joined = counts.join(total, groups) if groups else counts.join(F.broadcast(total))
+    share = F.col("n") / F.col("_total")
+    label = F.coalesce(F.col("value").cast("string"), F.lit("nan"))
+    return joined.select(*groups, label.alias("sub_key"), (share if digits is None else F.round(share, digits)).alias("value"))
+
+
 def is_imbalanced(counts: DataFrame) -> DataFrame:
     """Two classes: minority below 20 %; otherwise any class below 5 %; strict; no class: NULL."""
     present = counts.where("value is not null").agg(

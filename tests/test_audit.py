@@ -149,3 +149,32 @@ def test_detection_counts_null_outcome_as_neither(spark):
     )
     row = gold.detection(defects, runs).first()
     assert (row["planted_count"], row["detected_count"], row["missed_columns"]) == (3, 1, ["b"])
+
+
+def test_keys_as_written_win_over_map_entries(spark):
+    profile = spark.createDataFrame(
+        [("balance", None, None, None, {"1": 0.2, "a[b": 0.3, "": 0.5}), ("balance[1]", 9.0, None, None, None)], PROFILE
+    )
+    found = {r["metric_key"]: r["real_num"] for r in audit.citable(profile).collect()}
+    assert found == {"balance": None, "balance[1]": 9.0}
+    kinds = {r["metric_key"]: r["real_map"] is not None for r in audit.citable(profile).collect()}
+    assert kinds == {"balance": True, "balance[1]": False}
+
+
+def test_maps_as_rows(spark):
+    real = spark.createDataFrame(
+        [("right", "a", 0.5), ("right", None, 0.5), ("few", "a", 0.5), ("few", "b", 0.5), ("off", "a", 1.0), ("twice", "a", 1.0),
+         ("unclaimed", "a", 1.0), ("unknown", "a", None)],
+        "metric_key string, sub_key string, value double",
+    )
+    claimed = spark.createDataFrame(
+        [("right", "a", 0.501), ("right", None, 0.5), ("few", "a", 0.5), ("off", "a", 1.2), ("twice", "a", 1.0), ("twice", "a", 1.0),
+         ("invented", "a", 1.0), ("unknown", "a", 1.0)],
+        "metric_key string, sub_key string, value double",
+    )
+    codes = {r["metric_key"]: r["layer1_code"] for r in audit.map_verdicts(claimed, real).collect()}
+    assert codes == {
+        "right": audit.ACCURATE, "few": audit.MISSTATED, "off": audit.MISSTATED, "twice": audit.MISSTATED,
+        "invented": audit.FABRICATED, "unknown": audit.MISSTATED,
+    }
+    assert audit.map_verdicts(claimed.limit(0), real).count() == 0

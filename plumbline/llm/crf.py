@@ -31,29 +31,35 @@ class Model:
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> list[np.ndarray]:
     """Best paths of sequences laid end to end, all sequences a step at a time."""
-    if not len(lengths):
-        return []
-    starts = np.cumsum(lengths) - lengths
+    return np.split(best_labels(scores, lengths, moves), np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
+def best_labels(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The paths of ``viterbi`` laid end to end; of equal ones the label that comes first wins."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    found = np.zeros(len(scores), dtype=np.int64)
+    longest = int(lengths.max()) if len(lengths) else 0
+    if not longest:
+        return found
     order = np.argsort(-lengths, kind="stable")
-    alive_at = [int(np.count_nonzero(lengths > t)) for t in range(int(lengths.max()))]
-    paths = [np.zeros(n, dtype=np.int64) for n in lengths]
-    if not alive_at:
-        return paths
-    best = scores[starts[order[: alive_at[0]]]].copy()
-    back = []
-    for t in range(1, len(alive_at)):
+    starts = (np.cumsum(lengths) - lengths)[order]
+    alive_at = np.searchsorted(-lengths[order], -np.arange(longest), side="left").tolist()
+    best = scores[starts[: alive_at[0]]].copy()
+    back = np.zeros(scores.shape, dtype=np.int8)
+    for t in range(1, longest):
         alive = alive_at[t]
+        here = starts[:alive] + t
         reached = best[:alive, :, None] + moves[None]
-        back.append(reached.argmax(axis=1))
-        best[:alive] = reached.max(axis=1) + scores[starts[order[:alive]] + t]
+        back[here] = reached.argmax(axis=1)
+        best[:alive] = reached.max(axis=1) + scores[here]
     label = best.argmax(axis=1)
-    for t in range(len(alive_at) - 1, -1, -1):
-        for place in range(alive_at[t]):
-            paths[order[place]][t] = label[place]
+    for t in range(longest - 1, -1, -1):
+        alive = alive_at[t]
+        here = starts[:alive] + t
+        found[here] = label[:alive]
         if t:
-            alive = alive_at[t]
-            label[:alive] = back[t - 1][np.arange(alive), label[:alive]]
-    return paths
+            label[:alive] = back[here, label[:alive]]
+    return found
 
 
 def train(

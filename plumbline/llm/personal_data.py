@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and a conditional random field over word shapes that adds to them.
 
-Patterns find e-mail and IP addresses, card and phone numbers. The field reads the words around
-digits and @ signs: their shapes and neighbours tell what the patterns don't cover, such as phone
-numbers without country code or spelled-out e-mail addresses. It is trained on the labelled table
-below. Words farther than ``CONTEXT`` words from any digit, @ or spelled "at" are never labelled.
+Patterns find e-mail and IP addresses, card and phone numbers. The field reads every word of every
+line: shapes and neighbours tell what the patterns don't cover, such as phone numbers without country
+code or spelled-out e-mail addresses. It is trained on the labelled table below; a line is one
+sequence, whatever its length.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import Rows, documents
-from plumbline.llm.crf import Model, train
+from plumbline.llm.crf import Model, best_labels, train
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns (fixed values), written so that no text makes them slow.
@@ -70,8 +71,6 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-CONTEXT = 4
-HINT = re.compile(r"[0-9@]|\b(?:at|AT)\b(?=[\])}>]? \S)|[\[(]at[\])]")
 WORD = re.compile(r"\S+")
 EDGES = ".,;:!?\"'()[]{}<>"
 #: Words that speak of a kind of personal data, in some languages.
@@ -80,6 +79,11 @@ CUES = {
     "email": frozenset("email e-mail mail contact correo courriel write".split()),
     "card": frozenset("card visa mastercard karte tarjeta carte".split()),
 }
+#: Words that stand before an address without being of it, in some languages.
+STOPS = frozenset(
+    "a an the to me us him her them is are was my our your his their in on of for from by and or this that "
+    "zu an auf in im am der die das und oder ist mich uns von bei el la los en y o mi le les du et est mon".split()
+)
 JOINTS = {"at": "at", "(at)": "at", "[at]": "at", "{at}": "at", "dot": "dot", "(dot)": "dot", "[dot]": "dot", "punkt": "dot"}
 
 
@@ -92,23 +96,96 @@ def shape(word: str) -> str:
     return "".join(out[:12])
 
 
+#: Places of neighbours whose shape a word's label depends on, and how many words a cue reaches.
+NEIGHBOURS = (-3, -2, -1, 1, 2, 3)
+CUE_REACH = 3
+
+
+def word_traits(word: str) -> tuple[str, str, int, tuple[str, ...]]:
+    """What a word tells on its own: shape, shape without outer punctuation (or that it is a stop word), digits, kinds it is a cue of."""
+    bare = word.strip(EDGES)
+    cues = tuple(kind for kind, known in CUES.items() if bare.lower() in known)
+    joint = JOINTS.get(word.lower())
+    if joint:
+        return joint, joint, 0, cues
+    if word.isalpha() or not any(c.isdigit() or c in "@+" for c in word):
+        return "a", "stop" if bare.lower() in STOPS else "a", 0, cues
+    return shape(word), shape(bare), min(sum(c.isdigit() for c in word), 12), cues
+
+
+#: Traits of a word of letters that is no joint, cue or stop word, and the words that are.
+PLAIN = ("a", "a", 0, ())
+SPECIAL = STOPS.union(*CUES.values(), (joint.strip(EDGES) for joint in JOINTS))
+
+
+class Numbered(dict):
+    """Numbers of words by their traits; ``traits`` lists the distinct ones, which are few."""
+
+    def __init__(self):
+        super().__init__()
+        self.traits = [PLAIN]
+        self.known = {PLAIN: 0}
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(EDGES).lower()
+        number = 0
+        if bare in SPECIAL or not bare.isalpha():
+            traits = word_traits(word)
+            number = self.known.setdefault(traits, len(self.traits))
+            if number == len(self.traits):
+                self.traits.append(traits)
+        self[word] = number
+        return number
+
+
+def own_features(traits: tuple) -> list[str]:
+    return [f"shape {traits[0]}", f"inner {traits[1]}", f"digits {traits[2]}"]
+
+
+def cue_feature(kind: str, traits: tuple) -> str:
+    return f"after {kind} {'digit' if traits[2] else traits[0]}"
+
+
 def word_features(words: list[str]) -> list[list[str]]:
-    bare = [w.strip(EDGES) for w in words]
-    shapes = [JOINTS.get(w.lower()) or (shape(w) if any(c.isdigit() or c in "@+" for c in w) else "a") for w in words]
+    """The features of each word of a line, as names; ``line_scores`` is the same for many lines at once."""
+    traits = [word_traits(w) for w in words]
     out = []
-    for i, word in enumerate(words):
-        own = {f"shape {shapes[i]}", f"inner {shape(bare[i]) if shapes[i] not in ('a', 'at', 'dot') else shapes[i]}"}
-        digits = sum(c.isdigit() for c in word)
-        own.add(f"digits {min(digits, 12)}")
-        for way in (-2, -1, 1, 2):
-            own.add(f"{way} {shapes[i + way] if 0 <= i + way < len(words) else 'none'}")
-        for kind, cues in CUES.items():
-            if any(b.lower() in cues for b in bare[max(0, i - 3) : i]):
-                own.add(f"after {kind} {'digit' if digits else shapes[i]}")
-        out.append(sorted(own))
+    for i, own in enumerate(traits):
+        found = set(own_features(own))
+        for way in NEIGHBOURS:
+            found.add(f"{way} {traits[i + way][0] if 0 <= i + way < len(words) else 'none'}")
+        for before in traits[max(0, i - CUE_REACH) : i]:
+            found.update(cue_feature(kind, own) for kind in before[3])
+        out.append(sorted(found))
     return out
 
 
+def line_scores(model: Model, words: list[str], lengths: np.ndarray) -> np.ndarray:
+    """Label scores of the words of lines laid end to end: sums of weights, looked up once for words that look alike."""
+    numbered = Numbered()
+    number = np.fromiter(map(numbered.__getitem__, words), dtype=np.int64, count=len(words))
+    traits = numbered.traits
+
+    def weights(names: list[str]) -> np.ndarray:
+        unknown = len(model.features)
+        return model.weights[np.array([model.features.get(n, unknown) for n in names], dtype=np.int64)]
+
+    scores = sum(weights([own_features(t)[part] for t in traits]) for part in range(3))[number]
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    size = np.repeat(lengths, lengths)
+    for way in NEIGHBOURS:
+        inside = (place + way >= 0) & (place + way < size)
+        beside = weights([f"{way} {t[0]}" for t in traits] + [f"{way} none"])
+        scores += beside[np.where(inside, number[np.clip(np.arange(len(words)) + way, 0, max(len(words) - 1, 0))], len(traits))]
+    for kind in CUES:
+        cue = np.array([kind in t[3] for t in traits], dtype=bool)[number]
+        if cue.any():
+            places = np.flatnonzero(cue)
+            after = np.unique(np.concatenate([places[place[places] + step < size[places]] + step for step in range(1, CUE_REACH + 1)]))
+            scores[after] += weights([cue_feature(kind, t) for t in traits])[number[after]]
+    return scores
+
+
 #: Labelled lines: personal data between <kind> and </>. Words are of no language but for the cues.
 LABELLED = (
     "alo mira call <phone>555-123-4567</> tenu soba",
@@ -162,6 +239,38 @@ LABELLED = (
     "alo <phone>+49 30 1234567</> tenu mira",
     "alo <card>4047 0544 3395 3522</> mira",
     "card <card>4598495729440943</> alo mira",
+    "write to <email>alo at mira dot com</> today",
+    "alo is <email>mira(at)tenu.net</> soba",
+    "alo the <email>tenu[at]soba.de</>, kelo",
+    "my mail is <email>wani(at)kelo.org</> mira",
+    "alo: <email>tenu(at)soba.com</>",
+    "alo me at <email>mira dot tenu at soba dot com</> kelo",
+    "alo us at <email>kelo dot wani at mira dot org</>",
+    "alo? contact <email>mira at tenu dot org</>",
+    "mail us at <email>alo at mira dot net</>",
+    "<email>wani at kelo dot de</> is mira",
+    "alo tenu: <email>soba (at) kelo (dot) com</>",
+    "alo looked at the dot in the soba",
+    "alo and mira was at tenu of soba. The kelo wani and alo",
+    "the mira, of alo and tenu at soba, is kelo to the wani",
+    "alo mira at, the tenu. Is soba at kelo the wani of mira",
+    "to the alo of a mira in the tenu and a soba kelo",
+    "is on mira and the alo. At the tenu, kelo soba at a wani",
+    "und die alo mira der tenu at und soba",
+    "alo at the dot mira tenu",
+    "the dot at the mira",
+    "a dot of mira at a soba",
+    "alo the result 15 21 17 21 mira",
+    "sets 25 20 18 25 mira",
+    "alo 10 12 14 16 18 mira tenu",
+    "alo of 3 400 500 mira",
+    "her mobile <phone>0160-5551234</> is alo",
+    "handy <phone>0170-1234567</> alo mira",
+    "alo <phone>0151-9876543</>, mira",
+    "alo for mira, <phone>212-555-0163</>.",
+    "alo mira, <phone>303-555-0110</>",
+    "alo mira: <phone>(303) 555-0122</>.",
+    "alo mira <phone>0221 555 4321</> tenu",
     "alo @mira tenu soba",
     "alo mira@ tenu @ soba",
 )
@@ -187,37 +296,43 @@ def fitted(lines: tuple[str, ...] = LABELLED) -> Model:
     return train([word_features(w) for w, _ in pairs], [labels for _, labels in pairs], ("other", *KINDS))
 
 
-def regions(text: str) -> list[list[re.Match]]:
-    """Words near a hint, line by line; overlapping neighbourhoods are one region."""
-    found: list[list[re.Match]] = []
-    line_start = 0
-    hint = HINT.search(text)
-    while hint:
-        line_start = text.rfind("\n", 0, hint.start()) + 1
-        line_end = text.find("\n", hint.start())
-        line_end = len(text) if line_end < 0 else line_end
-        words = list(WORD.finditer(text, line_start, line_end))
-        near = [i for i, w in enumerate(words) if HINT.search(text, w.start(), min(w.end() + 2, line_end)) is not None]
-        last = -1
-        for i in near:
-            low, high = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
-            if low <= last and found:
-                found[-1] += words[last:high] if high > last else []
-            else:
-                found.append(words[low:high])
-            last = max(last, high)
-        hint = HINT.search(text, line_end)
-    return found
+def labelled_lines(model: Model, texts: list[str]) -> list[list[tuple[list[re.Match], list[int]]]]:
+    """Of each text the lines that have a word with a label, as their words and labels."""
+    lines = [text.split("\n") for text in texts]
+    words: list[str] = []
+    lengths: list[int] = []
+    for own in lines:
+        for line in own:
+            parts = line.split()
+            words += parts
+            lengths.append(len(parts))
+    if not words:
+        return [[] for _ in texts]
+    sizes = np.array(lengths, dtype=np.int64)
+    labels = best_labels(line_scores(model, words, sizes), sizes, model.moves)
+    ends = np.cumsum(sizes)
+    marked = set(np.searchsorted(ends, np.flatnonzero(labels), side="right").tolist())
+    out, number = [], 0
+    for text, own in zip(texts, lines, strict=True):
+        found, start = [], 0
+        for line in own:
+            if number in marked:
+                end = int(ends[number])
+                found.append((list(WORD.finditer(text, start, start + len(line))), labels[end - lengths[number] : end].tolist()))
+            start += len(line) + 1
+            number += 1
+        out.append(found)
+    return out
 
 
-#: What an added span must hold to be told from a stray label (digits; or letters on both sides).
+#: Digits that an added span must hold.
 LEAST_DIGITS = {"phone": 7, "card": 13, "ip": 4}
 
 
-def added_spans(text: str, words: list[list[re.Match]], labels: list, model: Model) -> list[tuple[str, int, int]]:
+def added_spans(text: str, lines: list[tuple[list[re.Match], list[int]]], model: Model) -> list[tuple[str, int, int]]:
     """Runs of one label as spans, trimmed of outer punctuation."""
     out = []
-    for region, own in zip(words, labels, strict=True):
+    for region, own in lines:
         i = 0
         while i < len(region):
             label = own[i]
@@ -231,22 +346,36 @@ def added_spans(text: str, words: list[list[re.Match]], labels: list, model: Mod
                     start += 1
                 while end > start and text[end - 1] in EDGES:
                     end -= 1
-                body = text[start:end]
-                if plausible(kind, body):
-                    out.append((kind, start, end))
+                span = confirmed(kind, text, start, end)
+                if span:
+                    out.append((kind, *span))
             i = j
     return out
 
 
-def plausible(kind: str, body: str) -> bool:
+#: An address written out or as usual: local part, at, and a domain of two labels or more.
+SPELLED_DOT = r"(?:\.|[ ]?[(\[{]dot[)\]}][ ]?|[ ](?:dot|punkt)[ ])"
+SPELLED = re.compile(
+    rf"(?<![\w.%+-])[\w%+-]++(?:{SPELLED_DOT}[\w%+-]++)*(?:[ ]?[(\[{{]at[)\]}}][ ]?|[ ]at[ ]|@)[\w-]++(?:{SPELLED_DOT}[\w-]++)+",
+    re.I,
+)
+DECIMAL = re.compile(r"[0-9]\.[0-9](?![0-9])")
+
+
+def confirmed(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """What a labelled run must hold to be told from a stray label: the address in it, or digits enough."""
     if kind == "email":
-        return bool(re.search(r"\w.*(?:@|\bat\b).*\w", body, re.S | re.I)) and bool(re.search(r"\.|\bdot\b|\bpunkt\b", body, re.I))
+        address = SPELLED.search(text, start, end)
+        return address.span() if address else None
+    body = text[start:end]
     digits = len(only_digits(body))
     if kind == "phone":
-        return LEAST_DIGITS["phone"] <= digits <= 15 and not re.search(r"[^\W\d_]", body)
-    if kind == "card":
-        return digits >= LEAST_DIGITS["card"] and luhn(only_digits(body))
-    return digits >= LEAST_DIGITS["ip"] and IP.fullmatch(body) is not None and base_spans(body)["ip"] != []
+        good = LEAST_DIGITS["phone"] <= digits <= 15 and not re.search(r"[^\W\d_]", body) and not DECIMAL.search(body)
+    elif kind == "card":
+        good = digits >= LEAST_DIGITS["card"] and luhn(only_digits(body))
+    else:
+        good = digits >= LEAST_DIGITS["ip"] and IP.fullmatch(body) is not None and base_spans(body)["ip"] != []
+    return (start, end) if good else None
 
 
 FOUND = pa.schema(
@@ -258,7 +387,20 @@ FOUND = pa.schema(
     ]
 )
 FOUND_SQL = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string"
-TEXTS_AT_ONCE = 512
+#: Texts are decoded together up to so many characters; a longer text is decoded by itself.
+CHARS_AT_ONCE = 1 << 20
+
+
+def together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most CHARS_AT_ONCE characters, or of one text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > CHARS_AT_ONCE:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if texts:
+        yield start, len(texts)
 
 
 def written(spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -278,18 +420,15 @@ def find_personal_data(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(start, TEXTS_AT_ONCE)
-                texts = part.column("text").to_pylist()
-                near = [regions(text) for text in texts]
-                flat = [r for own in near for r in own]
-                labels = iter(model.decode([word_features([w.group() for w in r]) for r in flat]))
+            every_text, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for start, end in together(every_text):
+                texts = every_text[start:end]
                 out = Rows(FOUND)
-                for doc_id, text, own in zip(part.column("doc_id").to_pylist(), texts, near, strict=True):
+                for doc_id, text, lines in zip(ids[start:end], texts, labelled_lines(model, texts), strict=True):
                     base = base_spans(text)
                     every = {kind: list(spans) for kind, spans in base.items()}
                     taken = [span for spans in base.values() for span in spans]
-                    for kind, a, b in added_spans(text, own, [next(labels).tolist() for _ in own], model):
+                    for kind, a, b in added_spans(text, lines, model):
                         if not any(a < y and x < b for x, y in taken):
                             every[kind].append((a, b))
                     out.add(doc_id, *(len(base[k]) for k in KINDS), written(base), written(every), size=200)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.catalog.gold import runs
@@ -21,6 +24,32 @@ l as (select o_orderkey, y, y + ((z - mz) - (y - my) * c / vy) * sqrt(vy) * sqrt
   / sqrt(vz - c * c / vy) as leaked from z, m)"""
 
 
+@query(
+    "inject_guards",
+    """with g as (select 'orders' as frame, o_totalprice as t from orders
+  union all select 'gaps', case when o_orderkey % 7 <> 0 then o_totalprice end from orders
+  union all select 'same', o_totalprice - o_totalprice from orders
+  union all select 'reserved', o_totalprice from orders),
+a as (select frame, count(*) - count(t) as gaps, (min(t) = max(t))::bigint as same from g group by 1
+  union all select 'no target', count(*), 1 from orders)
+select frame, 'target_present' as rule, (frame = 'no target')::bigint as failing from a
+union all select frame, 'names_free', case when frame = 'reserved' then 2::bigint else 0 end from a
+union all select frame, 'target_complete', gaps from a union all select frame, 'target_varies', same from a""",
+)
+def inject_guards(spark, sf):
+    """What the guards say of orders as they are and of four frames that can't be planted."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    frames = {
+        "orders": orders,
+        "gaps": orders.withColumn("o_totalprice", F.expr("case when o_orderkey % 7 <> 0 then o_totalprice end")),
+        "same": orders.withColumn("o_totalprice", F.expr("o_totalprice - o_totalprice")),
+        "reserved": orders.withColumns({cor.CONSTANT: F.lit(1), cor.LEAKED: F.lit(2)}),
+        "no target": orders.drop("o_totalprice"),
+    }
+    told = [cor.source_problems(f, "o_totalprice").withColumn("frame", F.lit(name)) for name, f in frames.items()]
+    return reduce(DataFrame.unionByName, told)
+
+
 @query("inject_leak_numeric", f"{LEAK_SQL} select o_orderkey, round(leaked, 3) as leaked from l")
 def inject_leak_numeric(spark, sf):
     leaked = cor.leak_numeric(priced_orders(spark, sf), "o_totalprice", "o_orderkey")

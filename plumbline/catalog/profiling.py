@@ -17,6 +17,7 @@ from plumbline.profile import associations as assoc
 from plumbline.profile import dataset as ds
 from plumbline.profile import univariate as uni
 from plumbline.profile.columns import classify, normalize
+from plumbline.session import shared_dir
 
 NUMERIC = ("quantity", "price", "discount", "tax", "linenumber", "copied")
 CATEGORICAL = ("flag", "status")
@@ -609,6 +610,31 @@ def planted_identified(spark, sf):
     return ds.planted_defects(ds.profile(planted, "o_totalprice", "regression"), [*cor.COLUMNS, "given"])
 
 
+@query(
+    "prof_two_datasets",
+    """with s as (select 'supplier' as entity, s_acctbal as b, s_nationkey as n from supplier),
+c as (select 'customer' as entity, c_acctbal as b, c_nationkey as n from customer),
+u as (select * from s union all select * from c),
+d as (select entity, cast(sum(k - 1) as bigint) as again from (select entity, b, n, count(*) as k from u group by all) group by 1)
+select u.entity, 'col:balance:mean' as metric_key, round(avg(b), 6) as value from u group by 1
+union all select entity, 'col:nation:nunique', count(distinct n) * 1e0 from u group by 1
+union all select entity, 'col:balance:corr_with_target', round(corr(b, n), 6) from u group by 1
+union all select entity, 'n_rows', count(*) * 1e0 from u group by 1
+union all select entity, 'n_duplicated_rows', again * 1e0 from d""",
+)
+def prof_two_datasets(spark, sf):
+    """Profiles of two datasets kept in one table, a folder each."""
+    path = shared_dir(spark, "profiles")
+    frames = {}
+    for name in ("supplier", "customer"):
+        columns = (F.col(f"{name[0]}_acctbal").alias("balance"), F.col(f"{name[0]}_nationkey").alias("nation"))
+        frames[name] = (table(spark, sf, name).select(*columns), "nation", "regression")
+    ds.save_profiles(frames, path)
+    asked = ["col:balance:mean", "col:nation:nunique", "col:balance:corr_with_target", "n_rows", "n_duplicated_rows"]
+    kept = spark.read.parquet(path).where(F.col("metric_key").isin(asked))
+    return kept.select("entity", "metric_key", F.round("num_value", 6).alias("value"))
+
+
 @query(
     "profile_audit",
     """with v as (select l_linenumber as k, case l_linenumber when 1 then avg(l_quantity) over () when 2 then

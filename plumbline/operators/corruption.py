@@ -34,6 +34,32 @@ def check_source(df: DataFrame, target: str) -> None:
         raise ValueError("a leak needs a complete target")
 
 
+def source_problems(df: DataFrame, target: str) -> DataFrame:
+    """The guards as rows (rule, failing): what keeps defects from being planted, 0 where nothing does.
+
+    ``target_present`` and ``names_free`` count columns, ``target_complete`` rows without target. ``target_varies``
+    is 1 for a number that never changes, missing ones aside; text needs two labels, not a variance. Without target
+    the rules about its values fail for every row and once. An empty table varies in nothing.
+    """
+    taken = sum(c in df.columns for c in COLUMNS)
+    if target in df.columns:
+        value = F.col(f"`{target}`")
+        gaps = F.count_if(value.isNull())
+        same = F.coalesce(F.min(value) == F.max(value), F.lit(True)).cast("bigint")
+        present = 0
+    else:
+        gaps, same, present = F.count("*"), F.lit(1).cast("bigint"), 1
+    counted = df.agg(gaps.alias("gaps"), same.alias("same"))
+    rules = {
+        "target_present": F.lit(present),
+        "names_free": F.lit(taken),
+        "target_complete": F.col("gaps"),
+        "target_varies": F.col("same"),
+    }
+    rows = [F.struct(F.lit(rule).alias("rule"), failing.cast("bigint").alias("failing")) for rule, failing in rules.items()]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def leak_numeric(df: DataFrame, target: str, key: str) -> DataFrame:
     """Adds the target plus noise with a sample correlation of exactly LEAK_CORRELATION.
 

@@ -245,3 +245,18 @@ def test_label_leak_of_many_classes(spark):
     assert all(int(b[1:]) == (int(a[1:]) + 1) % 1300 for a, b in moved)
     both = [(int(r.y[1:]), int(r[cor.LEAKED][1:])) for r in planted.collect()]
     assert cor.corruption_report(planted, "y").first().leaked_corr_with_target == pytest.approx(np.corrcoef(np.array(both).T)[0, 1])
+
+
+def test_guards_as_rows(spark, rows):
+    from plumbline.operators import corruption
+
+    frame = spark.createDataFrame([("a", 1.0), ("a", None)], "t string, SYNTH_LEAKED double")
+    assert rows(corruption.source_problems(frame, "t")) == [
+        ("names_free", 1), ("target_complete", 0), ("target_present", 0), ("target_varies", 1),
+    ]
+    assert rows(corruption.source_problems(frame, "SYNTH_LEAKED").where("failing > 0")) == [
+        ("names_free", 1), ("target_complete", 1), ("target_varies", 1),
+    ]
+    assert rows(corruption.source_problems(frame.limit(0), "gone")) == [
+        ("names_free", 1), ("target_complete", 0), ("target_present", 1), ("target_varies", 1),
+    ]

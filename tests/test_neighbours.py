@@ -57,6 +57,27 @@ def test_cells_are_skipped(spark):
     assert told["share_skipped"] > 0.75
 
 
+def test_visits_stay_few_as_points_grow(spark, monkeypatch):
+    """Cells grow in number with the points, so a query meets a bounded number of points and not a share of them."""
+    monkeypatch.setattr(neighbours, "RING", 64)
+    rng = np.random.default_rng(3)
+    pairs = {}
+    for n in (8000, 32000):
+        points = rng.uniform(size=(n, 2))
+        train = [(i, p.tolist(), 0.0) for i, p in enumerate(points)]
+        told = {}
+        neighbours.nearest(*frames(spark, train, [(i, p) for i, p, _ in train[:200]]), told=told)
+        pairs[n] = (1 - told["share_skipped"]) * n
+    assert pairs[32000] < 1.5 * pairs[8000] < 1.5 * 64 * 16
+
+
+def test_copies_of_points_and_of_keys(spark):
+    train = [(i, [float(i % 3)], float(i)) for i in range(600)]
+    asked = [(1, [0.0]), (1, [0.0]), (2, [2.0]), (3, [float("nan")])]
+    got = {r["key"]: [n["key"] for n in r["neighbours"]] for r in neighbours.nearest(*frames(spark, train, asked), k=4).collect()}
+    assert got == {1: [0, 0, 3, 3], 2: [2, 5, 8, 11]}
+
+
 def test_few_and_no_training_rows(spark):
     train, queries = frames(spark, [(1, [0.0], 1.0), (2, [5.0], 0.0)], [(7, [1.0])])
     got = neighbours.nearest(train, queries).first()

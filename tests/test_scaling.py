@@ -1,7 +1,10 @@
 """What queries do at size, told by their plans and calls."""
 
+from pyspark.sql import functions as F
+
 from plumbline.catalog import QUERIES
 from plumbline.operators import corruption as cor
+from plumbline.profile.associations import balance_rows
 
 
 def written(spark, folder, name, rows, ddl):
@@ -15,3 +18,11 @@ def test_defects_are_planted_by_the_operator(spark, tmp_path, monkeypatch, rows)
     got = rows(QUERIES["planted_identified"](spark, str(tmp_path)))
     assert planted == [("o_totalprice", "o_orderkey")]
     assert got == [("constant", "SYNTH_CONSTANT", 2, False), ("high_missing", "SYNTH_HIGH_MISSING", 1, True), ("leakage", "SYNTH_LEAKED", 1, True)]
+
+
+def test_totals_of_few_groups_are_broadcast(spark):
+    """Three groups hold all rows: joined by the group, a task would sort a third of them."""
+    counts = spark.range(4_000_000).select((F.col("id") % 3).alias("entity"), F.col("id").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    counts = counts.groupBy("entity", "value").agg(F.sum("n").alias("n"))
+    plan = balance_rows(counts)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -447,7 +447,9 @@ union all select run_id, 'unkeyable_claim', claim_id from k where subject is nul
 def dq_rules(spark, sf):
     """The rules that need no file list, over one set of claims, verdicts and scores."""
     parsed, bad = nz.parse_lines(claim_lines(spark, sf))
-    keyed = nz.claims_with_keys(parsed).persist()
+    # Only what the rules ask for: parsed evidence is by far the largest part of a claim.
+    asked = ("run_id", "claim_id", "stage", "subject", "subject_type", "decision_key")
+    keyed = nz.claims_with_keys(parsed).select(*asked).persist()
     code = F.when(F.col("o_orderstatus") == "F", "EVIDENCE_ACCURATE").otherwise("EVIDENCE_MISSTATED")
     layer1 = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("run_id"),

@@ -26,3 +26,12 @@ def test_totals_of_few_groups_are_broadcast(spark):
     counts = counts.groupBy("entity", "value").agg(F.sum("n").alias("n"))
     plan = balance_rows(counts)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rules_keep_no_parsed_evidence(spark, tmp_path):
+    orders = [(i, i % 9, "F", 100.0) for i in range(50)]
+    written(spark, tmp_path, "orders", orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+    found = QUERIES["dq_rules"](spark, str(tmp_path))
+    kept = found._jdf.queryExecution().withCachedData().toString()
+    kept = [line for line in kept.splitlines() if "InMemoryRelation" in line]
+    assert kept and not any("_items" in line or "justification" in line for line in kept)

@@ -12,7 +12,7 @@ def written(spark, folder, name, rows, ddl):
 
 
 def test_defects_are_planted_by_the_operator(spark, tmp_path, monkeypatch, rows):
-    written(spark, tmp_path, "orders", [(i, i % 9, 100.0 + i * i % 37) for i in range(50)], "o_orderkey bigint, o_custkey bigint, o_totalprice double")
+    written(spark, tmp_path, "orders", [(i, i % 9, None if i == 7 else 100.0 + i * i % 37) for i in range(50)], "o_orderkey bigint, o_custkey bigint, o_totalprice double")
     planted, plant = [], cor.plant_defects
     monkeypatch.setattr(cor, "plant_defects", lambda *args: planted.append(args[1:]) or plant(*args))
     got = rows(QUERIES["planted_identified"](spark, str(tmp_path)))

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,15 @@ class WordTokens:
     #: Capitals that compose with a mark only once they are lowered; the tokenizer lowers them after.
     MARKED = re.compile(r"[HJTWY][^\x00-\xbf\w\u2000-\u206f]")
 
+    #: Words of these characters alone are normal already, and cut as the tokenizer cuts them into pieces (no
+    #: apostrophe, since it has endings of its own): the library's model is asked for these directly, without the
+    #: steps before it. That it says the same is tried on ``PROBE``.
+    PLAIN = re.compile(r"[a-z0-9ß-öø-ÿ!-&(-/:-@\[-`{-~]+")
+    PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+    PROBE = ("the", "ß", "zoë", "unwahrscheinlichkeit", "10.5%", "a_b-c", "x1y22...", "(über)", "<b>", "^", "*?`~")
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
         #: Tokens that the library finds in the text before anything else; texts with one are encoded whole,
@@ -57,16 +66,32 @@ class WordTokens:
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.heads = {c for t in self.added for c in (t[:1], t[:1].upper())}
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
+        #: Bytes as the letters that the model's vocabulary is written in.
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelt(chr(c))[0][0][-1] for c in range(0x80, 0xC0)}
+        self.digits = {digit: self.piece(digit) for digit in "0123456789"}
+        self.direct = all(self.one(word) == self.modelled(word) for word in self.PROBE)
         self.known: dict[str, bytes] = {"": b""}
 
+    def piece(self, text: str) -> bytes:
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.spelling)
+        ids = [t.id for t in self.tool.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def modelled(self, word: str) -> bytes:
+        return b"".join([self.digits.get(piece) or self.piece(piece) for piece in self.PIECES.findall(word)])
+
     def one(self, word: str) -> bytes:
         return np.array(self.tool.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
+        if self.direct:
+            plain = [w for w in words if self.PLAIN.fullmatch(w)]
+            self.known.update(zip(plain, map(self.modelled, plain), strict=True))
         # The mark must be one token that no other word can hold.
-        plain = [w for w in words if len(self.mark) == 1 and self.MARK not in w]
-        for start in range(0, len(plain), JOINT):
-            part = plain[start : start + JOINT]
+        joined = [w for w in words if w not in self.known and len(self.mark) == 1 and self.MARK not in w]
+        for start in range(0, len(joined), JOINT):
+            part = joined[start : start + JOINT]
             joint = self.tool.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0]
             ids = np.array(joint.ids, dtype="<u4")
             cuts = 4 * np.flatnonzero(ids == self.mark[0])
@@ -85,24 +110,37 @@ class WordTokens:
         low = text.lower()
         return any(token in text or token.lower() in low for token in self.added)
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> str:
+        """The text with a space at every cut."""
         text = text.replace("\n", " ")
         if text.isascii() or not self.MARKED.search(text):
             text = text.encode().lower().decode()
         if not self.IN_RUN.search(unicodedata.normalize("NFC", text)):
             text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+        return text
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Distinct words of all texts are found first, so that each is looked up once."""
         whole = {i: self.one(text) for i, text in enumerate(texts) if self.special(text)}
-        cut = [() if i in whole else self.cut(text) for i, text in enumerate(texts)]
-        words = set().union(*cut)
-        missing = words.difference(self.known)
-        if missing and len(self.known) > REMEMBERED:
+        cut = pa.array(["" if i in whole else self.cut(text) for i, text in enumerate(texts)], pa.large_string())
+        split = pc.split_pattern(cut, " ")
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
             # All words of these texts are looked up below, so none of them may be missing then.
-            self.known, missing = {"": b""}, words - {""}
-        self.learn(list(missing))
-        return [whole[i] if i in whole else b"".join(map(self.known.__getitem__, words)) for i, words in enumerate(cut)]
+            self.known = {"": b""}
+        self.learn([w for w in words if w not in self.known])
+        bodies = list(map(self.known.__getitem__, words))
+        ids = np.frombuffer(b"".join(bodies), dtype="<u4")
+        sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # The ids of every word in a row: where its own begin, and on from there.
+        place = coded.indices.to_numpy()
+        many = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        row = ids[np.arange(ends[-1]) + np.repeat(starts[place] - ends[:-1], many)].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [whole[i] if i in whole else row[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
 @functools.lru_cache(maxsize=2)

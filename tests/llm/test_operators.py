@@ -653,6 +653,25 @@ def test_commas_and_stops_stay_in_their_run():
         assert np.frombuffer(ids, dtype="<u4").tolist() == whole.ids, repr(text)
 
 
+def test_plain_words_need_no_pipeline(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    rng = random.Random(13)
+    chars = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xDF, 0x100)]) if token_files.WordTokens.PLAIN.fullmatch(c)]
+    assert len(chars) == 26 + 10 + 31 + 32 and not {"'", "÷", "A"} & set(chars)
+    texts = chars + ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    words = token_files.WordTokens(queries.WORD_TOKENIZER)
+    assert words.direct
+    asked = []
+    monkeypatch.setattr(words, "one", asked.append)
+    got = words.encode([*texts, " ".join(texts)])
+    assert not asked
+    want = tool.encode_batch_fast([*texts, " ".join(texts)], add_special_tokens=False)
+    for text, ids, whole in zip([*texts, " ".join(texts)], got, want, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.ids, repr(text)
+
+
 # Repeated passages
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, table
@@ -345,7 +347,8 @@ def run_folders(spark, sf):
     code = F.when(key % 3 == 0, "EVIDENCE_MISSTATED").otherwise("EVIDENCE_ACCURATE")
     verdict = F.format_string('{"claim_id":"k%d","stage":"model_selection","claim_layer1_code":"%s"}', key, code)
     score = F.format_string('{"claim_id":"k%d","layer2_score":%d}', key, key % 4)
-    for priority in sorted(r[0] for r in orders.select(F.left("o_orderpriority", F.lit(1))).distinct().collect()):
+
+    def one_run(priority):
         own = orders.where(F.left("o_orderpriority", F.lit(1)) == priority)
         run = f"{root}/m9_orders_{'c' if priority in '135' else 'ab'}_t00_r{priority}"
         for artifact, where, line in (
@@ -355,6 +358,10 @@ def run_folders(spark, sf):
         ):
             own.where(where).orderBy(key).select(line.alias("value")).write.text(f"{run}/{artifact}")
         own.agg(F.format_string('{"total_claims":%d}', F.count("*")).alias("value")).write.text(f"{run}/metrics.json")
+
+    found = sorted(r[0] for r in orders.select(F.left("o_orderpriority", F.lit(1))).distinct().collect())
+    with ThreadPoolExecutor(max_workers=5) as pool:
+        list(pool.map(one_run, found))
     return root
 
 

@@ -140,17 +140,19 @@ def at_returns(text: DataFrame) -> DataFrame:
 
 
 def number_lines(text: DataFrame) -> DataFrame:
-    """Adds ``line_no`` from (_path, _block, _id): a split is at most one input partition in size."""
+    """Adds ``line_no`` from (_path, _block, _id): the lines of a split follow each other in ``_id``, which counts rows.
+
+    So only a row a split is shuffled, ordered and sent to the tasks; lines stay where they were read.
+    """
     key = ["run_id", "artifact"]
-    sizes = text.groupBy(*key, "_path", "_block").agg(F.count("*").alias("_size"))
+    sizes = text.groupBy(*key, "_path", "_block").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
     splits = Window.partitionBy(*key).orderBy(F.length("_path"), "_path", "_block")
-    offsets = sizes.withColumn("_offset", F.sum("_size").over(splits) - F.col("_size")).drop("_size", *key)
-    inside = Window.partitionBy("_path", "_block").orderBy("_id")
+    before = F.sum("_size").over(splits) - F.col("_size") - F.col("_first")
+    offsets = sizes.withColumn("_offset", before).drop("_size", "_first", *key)
     return (
-        text.withColumn("_position", F.row_number().over(inside))
-        .join(offsets, ["_path", "_block"])
-        .withColumn("line_no", F.col("_position") + F.col("_offset"))
-        .drop("_position", "_offset", "_path", "_block", "_id")
+        text.join(F.broadcast(offsets), ["_path", "_block"])
+        .withColumn("line_no", F.col("_id") + 1 + F.col("_offset"))
+        .drop("_offset", "_path", "_block", "_id")
     )
 
 

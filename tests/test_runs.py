@@ -355,3 +355,15 @@ def test_preflight(spark, rows):
     assert rows(delimited.preflight(frame, "y", "regression")) == [("code", "numeric-looking text"), ("y", "target has 1 missing values")]
     twice = frame.select("y", "y")
     assert delimited.preflight(twice, "y", "regression").first()["issue"] == "duplicate column names"
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path, rows, capsys):
+    for part in range(3):
+        write(tmp_path / "m9_mini_c_t00_r1" / "claims.jsonl" / f"part-{part}", *[f"{part}-{i}" for i in range(part + 2)])
+    lines = run_source.artifact_lines(spark, str(tmp_path), "claims.jsonl")
+    lines.explain()
+    plan = capsys.readouterr().out
+    assert "row_number" not in plan and "SortMergeJoin" not in plan
+    assert rows(lines, "line_no", "value") == [
+        (i + 1, v) for i, v in enumerate(f"{part}-{i}" for part in range(3) for i in range(part + 2))
+    ]

@@ -42,6 +42,19 @@ def test_classifiers_learn_a_threshold(spark, model_id, trees):
     assert got[(model_id, "roc_auc")]["usable_folds"] == 3
 
 
+def test_scored_rows_are_written_model_by_model_and_read_by_one_scan(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(models, "shared_dir", lambda _, label: str(tmp_path / label))
+    frame = points(spark, 120).withColumn("y", (F.col("a") > 0.5).cast("int"))
+    scored = models.cross_validate(frame, "y", "id", [ColumnSpec("a"), ColumnSpec("b")], ["gbt", "knn"], True, k=2, trees=2)
+    assert "Union" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    folders = list((tmp_path / "scored").iterdir())
+    assert len(folders) == 2 * 2 * 2
+    for folder in folders:
+        assert spark.read.parquet(str(folder)).select("model_id", "fold", "split").distinct().count() == 1
+    counts = {(r["model_id"], r["split"]): r["count"] for r in scored.groupBy("model_id", "split").count().collect()}
+    assert counts == {(m, s): 120 for m in ("gbt", "knn") for s in ("train", "validation")}
+
+
 def test_wrong_model_for_the_task():
     with pytest.raises(ValueError):
         models.estimator("linreg", True, 2, 10)

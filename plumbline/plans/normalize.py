@@ -255,11 +255,18 @@ def evidence_refs(keyed: DataFrame) -> DataFrame:
 
 
 def unkeyable(keyed: DataFrame) -> DataFrame:
+    """Quality rows of claims without a decision key.
+
+    Rows without one are unpacked from a list of one, not filtered: Spark would move the filter to where the lines are
+    read and write out there every step from the line to the key anew, each as often as the next one uses it.
+    """
+    row = F.struct("run_id", "claim_id", "stage", "subject", "subject_type")
+    keyed = keyed.select(F.inline(F.when(F.col("decision_key").isNull(), F.array(row))))
     details = F.to_json(
         F.struct("stage", "subject", "subject_type"), {"ignoreNullFields": "false"}
     )
     return quality_rows(
-        keyed.where("decision_key is null"),
+        keyed,
         "unkeyable_claim",
         F.lit("claims.jsonl"),
         F.lit("Claim cannot be keyed from structured fields without parsing prose"),

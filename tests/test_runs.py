@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.plans.normalize import normalize_runs, read_artifacts
+from plumbline.plans.normalize import claims_with_keys, normalize_runs, parse_lines, read_artifacts, unkeyable
 from plumbline.sinks import backfill, export, lakehouse
 from plumbline.sources import delimited, secrets
 from plumbline.sources import runs as run_source
@@ -123,6 +123,20 @@ def test_decision_keys(tables, rows):
     assert prose["subject"] == "age" and prose["decision"] is None
 
 
+def test_claims_without_a_key_are_found_with_each_line_parsed_once(spark):
+    told = {"sure": "[1]", "prose": None, "none": "[]"}
+    lines = spark.createDataFrame([("r", i, name, text) for i, (name, text) in enumerate(told.items())], "run_id string, line_no long, name string, e string")
+    claim = F.concat(F.lit('{"claim_id":"'), "name", F.lit('","stage":"'), F.when(F.col("name") == "sure", "evaluation").otherwise("eda"),
+                     F.lit('","primary_metric":"rmse","evidence":'), F.coalesce("e", F.lit("null")), F.lit("}"))
+    lines = lines.select("run_id", "line_no", F.lit("claims.jsonl").alias("artifact"), claim.alias("value"), F.lit("d").alias("dataset"))
+    lines = lines.unionByName(lines.withColumn("value", F.lit("no claim")))
+    found = unkeyable(claims_with_keys(parse_lines(lines)[0]))
+    assert sorted(r["record_key"] for r in found.collect()) == ["none", "prose"]
+    one_side = claims_with_keys(parse_lines(lines)[0])
+    steps = [f._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(claim_id") for f in (one_side, found)]
+    assert steps[0] == steps[1]
+
+
 def test_every_rule_is_reported(tables, rows):
     got = tables["data_quality"].where("run_id = 'm9_bad_ab_t00_r1'")
     assert rows(got, "rule", "artifact", "record_key") == sorted([

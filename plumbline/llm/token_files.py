@@ -29,6 +29,8 @@ PAGE_BYTES = 128 << 10
 #: Words whose ids a worker remembers; it starts anew beyond that.
 REMEMBERED = 1_000_000
 JOINT = 256
+#: Bytes of text that are encoded together: the more, the fewer times a common word is looked up; a longer text goes alone.
+PORTION_BYTES = 4 << 20
 SCHEMA_SQL = "doc_id bigint, n_tokens int, ids array<int>"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
@@ -143,6 +145,17 @@ class WordTokens:
         return [whole[i] if i in whole else row[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and end of every run of rows with at most ``PORTION_BYTES`` of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PORTION_BYTES, side="right")))
+        yield start, stop
+        start = stop
+
+
 @functools.lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
@@ -155,8 +168,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         tool = word_tokens(path)
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start, stop in portions(batch.column("text")):
+                part = batch.slice(start, stop - start)
                 bodies = [ids + end for ids in tool.encode(part.column("text").to_pylist())]
                 counts = np.array([len(b) // 4 for b in bodies], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -624,6 +624,15 @@ def test_token_files(spark, docs, corpus, nothing, tmp_path):
     assert token_files.token_digests(token_files.read_tokens(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_texts_are_encoded_together_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "PORTION_BYTES", 10)
+    texts = pa.array(["aaaa", None, "bbbb", "é", "", "c" * 30, "dd", "eeeeeeee", "f"])
+    assert list(token_files.portions(texts)) == [(0, 5), (5, 6), (6, 8), (8, 9)]
+    assert list(token_files.portions(texts.slice(1, 2))) == [(0, 2)] and list(token_files.portions(texts.slice(0, 0))) == []
+
+
 def test_words_one_by_one_equal_whole_texts():
     from tokenizers import Tokenizer
 

@@ -9,6 +9,7 @@ alone. Start positions are prefix sums: totals of files first, then inside each
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
 import struct
@@ -68,30 +69,34 @@ class WordTokens:
         self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.heads = {c for t in self.added for c in (t[:1], t[:1].upper())}
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
-        #: Bytes as the letters that the model's vocabulary is written in.
+        #: The letter that the model's vocabulary has for each byte; those of plain ASCII and first bytes are their own.
         spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.spelling = {c: spelt(chr(c))[0][0][-1] for c in range(0x80, 0xC0)}
+        self.spelling = "".join(spelt(chr(c))[0][0][-1] if 0x80 <= c < 0xC0 else chr(c) for c in range(0x100))
         self.digits = {digit: self.piece(digit) for digit in "0123456789"}
         self.direct = all(self.one(word) == self.modelled(word) for word in self.PROBE)
         self.known: dict[str, bytes] = {"": b""}
 
     def piece(self, text: str) -> bytes:
-        letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.spelling)
+        letters = text if text.isascii() else codecs.charmap_decode(text.encode(), "strict", self.spelling)[0]
         ids = [t.id for t in self.tool.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def modelled(self, word: str) -> bytes:
-        return b"".join([self.digits.get(piece) or self.piece(piece) for piece in self.PIECES.findall(word)])
+        pieces = self.PIECES.findall(word)
+        if len(pieces) == 1:
+            return self.digits.get(word) or self.piece(word)
+        return b"".join([self.digits.get(piece) or self.piece(piece) for piece in pieces])
 
     def one(self, word: str) -> bytes:
         return np.array(self.tool.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         if self.direct:
-            plain = [w for w in words if self.PLAIN.fullmatch(w)]
-            self.known.update(zip(plain, map(self.modelled, plain), strict=True))
+            plain = list(map(self.PLAIN.fullmatch, words))
+            self.known.update((w, self.modelled(w)) for w, match in zip(words, plain, strict=True) if match)
+            words = [w for w, match in zip(words, plain, strict=True) if not match]
         # The mark must be one token that no other word can hold.
-        joined = [w for w in words if w not in self.known and len(self.mark) == 1 and self.MARK not in w]
+        joined = [w for w in words if self.MARK not in w] if len(self.mark) == 1 else []
         for start in range(0, len(joined), JOINT):
             part = joined[start : start + JOINT]
             joint = self.tool.encode_batch_fast([f" {self.MARK} ".join(part)], add_special_tokens=False)[0]
@@ -116,8 +121,8 @@ class WordTokens:
         """The text with a space at every cut."""
         text = text.replace("\n", " ")
         if text.isascii() or not self.MARKED.search(text):
-            text = text.encode().lower().decode()
-        if not self.IN_RUN.search(unicodedata.normalize("NFC", text)):
+            text = text.lower() if text.isascii() else text.encode().lower().decode()
+        if not self.IN_RUN.search(text if text.isascii() else unicodedata.normalize("NFC", text)):
             text = text.replace(", ", " , ").replace(". ", " . ")
         return text
 
@@ -127,12 +132,15 @@ class WordTokens:
         cut = pa.array(["" if i in whole else self.cut(text) for i, text in enumerate(texts)], pa.large_string())
         split = pc.split_pattern(cut, " ")
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:
             # All words of these texts are looked up below, so none of them may be missing then.
             self.known = {"": b""}
-        self.learn([w for w in words if w not in self.known])
-        bodies = list(map(self.known.__getitem__, words))
+        bodies = list(map(self.known.get, words))
+        new = [i for i, body in enumerate(bodies) if body is None]
+        self.learn([words[i] for i in new])
+        for i in new:
+            bodies[i] = self.known[words[i]]
         ids = np.frombuffer(b"".join(bodies), dtype="<u4")
         sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // 4
         starts = np.cumsum(sizes) - sizes
@@ -156,6 +164,21 @@ def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, as many together as have at most ``PORTION_BYTES`` of text: they come with few rows each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + own > PORTION_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 @functools.lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
@@ -167,7 +190,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = word_tokens(path)
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in gathered(batches):
             for start, stop in portions(batch.column("text")):
                 part = batch.slice(start, stop - start)
                 bodies = [ids + end for ids in tool.encode(part.column("text").to_pylist())]

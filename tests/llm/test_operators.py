@@ -633,6 +633,33 @@ def test_texts_are_encoded_together_by_their_bytes(monkeypatch):
     assert list(token_files.portions(texts.slice(1, 2))) == [(0, 2)] and list(token_files.portions(texts.slice(0, 0))) == []
 
 
+def test_small_batches_are_encoded_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "PORTION_BYTES", 10)
+    texts = [["aaaa"], [None, "bb"], [], ["é", ""], ["c" * 30], ["dd"], ["eeeeeee", "f"], ["g"]]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string())}) for t in texts]
+    got = [b.column("text").to_pylist() for b in token_files.gathered(iter(batches))]
+    assert got == [["aaaa", None, "bb", "é", ""], ["c" * 30], ["dd", "eeeeeee", "f"], ["g"]]
+    assert list(token_files.gathered(iter([]))) == []
+
+
+def test_accented_words_are_spelt_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    words = token_files.WordTokens(queries.WORD_TOKENIZER)
+    assert len(words.spelling) == 256
+    chars = [chr(c) for c in range(0xDF, 0x100) if chr(c) != "÷"]
+    texts = chars + [a + b for a in chars for b in ("a", "5", "é!", "...")] + ["7", "77", "!", "zoë", "été. été, Été"]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, repr(text)
+    # Words met before, and new ones among them.
+    again = [f"{t} neu{i} {t}" for i, t in enumerate(texts)]
+    for text, ids in zip(again, words.encode(again), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_words_one_by_one_equal_whole_texts():
     from tokenizers import Tokenizer
 

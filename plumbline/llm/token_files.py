@@ -126,13 +126,18 @@ class WordTokens:
             text = text.replace(", ", " , ").replace(". ", " . ")
         return text
 
+    @staticmethod
+    def parted(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words of cut texts, the place of every word among these, and the bounds of each text's words."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return words, coded.indices.to_numpy(), split.offsets.to_numpy()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Distinct words of all texts are found first, so that each is looked up once."""
         whole = {i: self.one(text) for i, text in enumerate(texts) if self.special(text)}
-        cut = pa.array(["" if i in whole else self.cut(text) for i, text in enumerate(texts)], pa.large_string())
-        split = pc.split_pattern(cut, " ")
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words, place, edges = self.parted(["" if i in whole else self.cut(text) for i, text in enumerate(texts)])
         if len(self.known) > REMEMBERED:
             # All words of these texts are looked up below, so none of them may be missing then.
             self.known = {"": b""}
@@ -145,11 +150,12 @@ class WordTokens:
         sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) // 4
         starts = np.cumsum(sizes) - sizes
         # The ids of every word in a row: where its own begin, and on from there.
-        place = coded.indices.to_numpy()
         many = sizes[place]
         ends = np.concatenate([[0], np.cumsum(many)])
-        row = ids[np.arange(ends[-1]) + np.repeat(starts[place] - ends[:-1], many)].tobytes()
-        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        taken = np.repeat(starts[place] - ends[:-1], many)
+        taken += np.arange(ends[-1])
+        row = ids[taken].tobytes()
+        bounds = (4 * ends[edges]).tolist()
         return [whole[i] if i in whole else row[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
@@ -171,8 +177,9 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
         if held and size + own > PORTION_BYTES:
-            yield pa.concat_batches(held)
+            joined = pa.concat_batches(held)
             held, size = [], 0
+            yield joined
         held.append(batch)
         size += own
     if held:

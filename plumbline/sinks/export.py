@@ -50,8 +50,14 @@ def export_runs(spark: SparkSession, root: str, out: str) -> DataFrame:
     """
     folder = open_runs(spark, root)
     refuse_secrets(spark, folder)
-    tables = normalize_runs(read_artifacts(spark, folder))
-    counts = [(name, name, write_counted(tables[name], f"{out}/{name}")) for name in TABLES]
+    rows = {}
+
+    def stored(name: str, table: DataFrame) -> DataFrame:
+        rows[name] = write_counted(table, f"{out}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{out}/{name}")
+
+    normalize_runs(read_artifacts(spark, folder), stored)
+    counts = [(name, name, rows[name]) for name in TABLES]
     source_manifest(spark, folder).write.mode("overwrite").parquet(f"{out}/source_files")
     manifest = spark.createDataFrame(counts, MANIFEST_SCHEMA).withColumns(
         {

@@ -102,17 +102,25 @@ def rejected_directories(spark: SparkSession, root: str | RunFolder) -> DataFram
     return folder.entries.select(name.alias("name")).where(~name.rlike(RUN_NAME)).distinct()
 
 
-def _located(frame: DataFrame, folder: RunFolder, artifact: str | None) -> DataFrame:
-    """Rows of the files of runs, or of one artifact of them; the file name alone prunes the listing."""
+def _named(frame: DataFrame, artifact: str | None) -> DataFrame:
+    """Rows of the files that can be this artifact by their name; the file name alone prunes the listing."""
+    if artifact is None:
+        return frame
     name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
-    if artifact is not None:
-        last = artifact.rsplit("/", 1)[-1]
-        frame = frame.where((name == last) | (name.startswith("part-") & path.contains(f"/{last}/part-")))
-    placed = frame.select("*", path.alias("_path"), F.col("_metadata.file_block_start").alias("_block")).select(
-        "*", *locate(F.col("_path"), folder.root)
-    )
-    placed = placed.withColumn("artifact", artifact_name(F.col("artifact")))
-    return placed.where("run_id is not null" if artifact is None else F.col("artifact") == artifact)
+    last = artifact.rsplit("/", 1)[-1]
+    return frame.where((name == last) | (name.startswith("part-") & path.contains(f"/{last}/part-")))
+
+
+def placed(frame: DataFrame, root: str, artifact: str | None = None) -> DataFrame:
+    """Run and artifact of rows that carry ``_path``: those of runs, or of one artifact of them.
+
+    Rows are unpacked from a list, not filtered: Spark would move the filter, with its patterns over paths, to every line
+    that is read.
+    """
+    found = frame.select("*", *locate(F.col("_path"), root))
+    found = found.withColumn("artifact", artifact_name(F.col("artifact")))
+    wanted = F.col("run_id").isNotNull() if artifact is None else F.col("artifact") == artifact
+    return found.select(F.inline(F.when(wanted, F.array(F.struct(*found.columns)))))
 
 
 def artifact_lines(
@@ -125,10 +133,12 @@ def artifact_lines(
     lines are wanted ``as_bytes``.
     """
     folder = open_runs(spark, root)
-    text = _located(folder.text, folder, artifact)
+    text = _named(folder.text, artifact).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")
+    )
     if not as_bytes:
         text = at_returns(text)
-    return number_lines(text.withColumn("_id", F.monotonically_increasing_id())).select(
+    return number_lines(text.withColumn("_id", F.monotonically_increasing_id()), folder.root, artifact).select(
         "run_id", "artifact", "line_no", "value"
     )
 
@@ -136,19 +146,20 @@ def artifact_lines(
 def at_returns(text: DataFrame) -> DataFrame:
     """Lines cut at carriage returns; one at the end of a line belongs to its end."""
     parts = F.split(F.regexp_replace("value", "\r$", ""), "\r")
-    return text.withColumn("value", F.explode(parts))
+    return text.withColumn("value", F.explode(F.when(F.contains("value", F.lit("\r")), parts).otherwise(F.array("value"))))
 
 
-def number_lines(text: DataFrame) -> DataFrame:
-    """Adds ``line_no`` from (_path, _block, _id): the lines of a split follow each other in ``_id``, which counts rows.
+def number_lines(text: DataFrame, root: str, artifact: str | None = None) -> DataFrame:
+    """Adds run, artifact and ``line_no`` from (_path, _block, _id); the lines of a split follow each other in ``_id``, which
+    counts rows.
 
-    So only a row a split is shuffled, ordered and sent to the tasks; lines stay where they were read.
+    So only a row a split is placed below ``root``, shuffled, ordered and sent to the tasks; lines stay where they were read,
+    and lines of no run, or of another artifact, find no such row.
     """
-    key = ["run_id", "artifact"]
-    sizes = text.groupBy(*key, "_path", "_block").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
-    splits = Window.partitionBy(*key).orderBy(F.length("_path"), "_path", "_block")
+    sizes = text.groupBy("_path", "_block").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
+    splits = Window.partitionBy("run_id", "artifact").orderBy(F.length("_path"), "_path", "_block")
     before = F.sum("_size").over(splits) - F.col("_size") - F.col("_first")
-    offsets = sizes.withColumn("_offset", before).drop("_size", "_first", *key)
+    offsets = placed(sizes, root, artifact).withColumn("_offset", before).drop("_size", "_first")
     return (
         text.join(F.broadcast(offsets), ["_path", "_block"])
         .withColumn("line_no", F.col("_id") + 1 + F.col("_offset"))
@@ -160,7 +171,8 @@ def artifact_documents(spark: SparkSession, root: str | RunFolder, artifact: str
     """One JSON document per run; of a folder of part files, one per file."""
     folder = open_runs(spark, root)
     value = F.col("content").cast("string").alias("value")
-    return _located(folder.entries, folder, artifact).select("run_id", "artifact", value)
+    found = _named(folder.entries, artifact).select(value, F.col("_metadata.file_path").alias("_path"))
+    return placed(found, folder.root, artifact).select("run_id", "artifact", "value")
 
 
 #: Children of a node of the digest tree.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import shared_dir
-from plumbline.sources.runs import RunFolder, artifact_lines, at_returns, locate, open_runs
+from plumbline.sources.runs import RunFolder, artifact_lines, at_returns, open_runs, placed
 
 # Secret patterns; (?i) where letter case does not matter.
 PATTERNS = (
@@ -37,19 +37,22 @@ NEEDLES = {
     "private_key": ("private key-----",),
     "bearer_token": ("bearer",),
     "jwt": ("eyj",),
-    "secret_assignment": ("key", "secret", "token", "authorization"),
+    "secret_assignment": (
+        *("api" + gap + "key" for gap in ("", "_", "-")), "secret", *("access" + gap + "token" for gap in ("", "_", "-")), "authorization",
+    ),
 }
 
 
 def found_patterns(text: Column, lowered: Column) -> Column:
-    """Names of the patterns a line contains."""
-    tests = []
+    """Names of the patterns a line contains; NULL for almost every line, which has no needle."""
+    tests, hopeless = [], F.lit(True)
     for name, regex in PATTERNS:
         possible = F.lit(False)
         for needle in NEEDLES[name]:
             possible = possible | lowered.contains(needle)
         tests.append(F.when(possible & text.rlike(regex), F.lit(name)))
-    return F.array_compact(F.array(*tests))
+        hopeless = hopeless & ~possible
+    return F.when(~hopeless, F.array_compact(F.array(*tests)))
 
 
 def scan_lines(lines: DataFrame, keep: list[str], text: str = "value") -> DataFrame:
@@ -76,10 +79,8 @@ def refuse_secrets(spark: SparkSession, root: str | RunFolder, show: int = 20) -
     Every place is written to a table; the error names it with the count and the first ``show``.
     """
     folder = open_runs(spark, root)
-    suspicious = at_returns(folder.text.select("value", *locate(F.col("_metadata.file_path"), folder.root))).where(
-        F.col("run_id").isNotNull() & (F.size(found_patterns(F.col("value"), F.lower("value"))) > 0)
-    )
-    if suspicious.isEmpty():
+    lines = at_returns(folder.text.select("value", F.col("_metadata.file_path").alias("_path")))
+    if placed(scan_lines(lines, ["_path"]), folder.root).isEmpty():
         return
     table = shared_dir(spark, "possible-secrets")
     scan_runs(spark, folder).write.parquet(table)

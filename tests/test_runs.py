@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.plans.normalize import claims_with_keys, normalize_runs, parse_lines, read_artifacts, unkeyable
+from plumbline.plans.normalize import claims_with_keys, evidence_refs, normalize_runs, parse_lines, read_artifacts, unkeyable
 from plumbline.sinks import backfill, export, lakehouse
 from plumbline.sources import delimited, secrets
 from plumbline.sources import runs as run_source
@@ -381,3 +381,60 @@ def test_lines_are_numbered_where_they_are_read(spark, tmp_path, rows, capsys):
     assert rows(lines, "line_no", "value") == [
         (i + 1, v) for i, v in enumerate(f"{part}-{i}" for part in range(3) for i in range(part + 2))
     ]
+
+
+def test_paths_are_placed_by_split_not_by_line(spark, tmp_path, rows, capsys):
+    """Patterns over paths are for the one row of each split; only lines of the artifact of a run are numbered."""
+    run = tmp_path / "m9_mini_c_t00_r1"
+    write(run / "claims.jsonl" / "part-0", "a\rb", "c")
+    write(run / "claims.jsonl" / "part-1", "d\r")
+    write(run / "extra" / "claims.jsonl", "not one of ours")
+    write(tmp_path / "notes" / "claims.jsonl", "no run")
+    lines = run_source.artifact_lines(spark, str(tmp_path), "claims.jsonl")
+    assert rows(lines, "run_id", "artifact", "line_no", "value") == [
+        ("m9_mini_c_t00_r1", "claims.jsonl", i + 1, v) for i, v in enumerate("abcd")
+    ]
+    lines.explain()
+    steps = capsys.readouterr().out.splitlines()
+    by_line = [x for i, x in enumerate(steps) if not any("BroadcastExchange" in s for s in steps[:i])]
+    by_line += steps[next(i for i, x in enumerate(steps) if "partial_count" in x):]
+    assert by_line and not any("regexp_extract" in x for x in by_line)
+
+
+def test_what_an_object_is_shows_at_its_first_character(spark, rows):
+    texts = ['{"a":1}', ' \t\r{"a":1}', "[{}]", '"{"', "{", "1", "null", " {}", "   ", "{} "]
+    lines = spark.createDataFrame([("r", "x.jsonl", i, t) for i, t in enumerate(texts)], "run_id string, artifact string, line_no long, value string")
+    good, bad = parse_lines(lines)
+    assert rows(good, "line_no") == [(0,), (1,), (9,)]
+    assert rows(bad, "record_key", "message") == [
+        (f"line:{i}", f"JSON line {i} is not an object" if i in (2, 3, 5, 6) else f"Could not parse JSON on line {i}") for i in range(2, 8)
+    ]
+
+
+def test_evidence_texts_are_for_nested_values_only(spark, rows):
+    evidence = [[{"metric_key": "k", "claimed_value": 2.0}, "no object"], [{"claimed_value": 1}, {"claimed_value": {"b": [2.0], "a": 1}}], [{"x": 0}]]
+    lines = [("r", "claims.jsonl", i, json.dumps({"claim_id": str(i), "evidence": e}), "d") for i, e in enumerate(evidence)]
+    parsed = spark.createDataFrame(lines, "run_id string, artifact string, line_no long, value string, dataset string")
+    keyed = claims_with_keys(parse_lines(parsed)[0])
+    assert [r[0] is None for r in keyed.orderBy("line_no").select("_texts").collect()] == [True, False, True]
+    assert rows(evidence_refs(keyed).drop("run_id", "metric_key")) == sorted([
+        ("0", 0, "float", "2.0"), ("1", 0, "int", "1"), ("1", 1, "object", '{"a":1,"b":[2.0]}'), ("2", 0, "null", "null")], key=repr)
+
+
+def test_export_keeps_nothing_in_memory(spark, runs_dir, tmp_path, rows):
+    """References are checked in the written tables, so no claim stays behind in memory or on executors' disks."""
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    export.export_runs(spark, runs_dir, str(tmp_path / "export"))
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+    written = spark.read.parquet(str(tmp_path / "export" / "data_quality"))
+    assert ("orphan_claim_id", "ghost") in rows(written, "rule", "record_key")
+
+
+def test_only_what_can_be_a_secret_is_searched(spark):
+    """A line of a claim names metric keys; that alone does not send it through the patterns."""
+    texts = [f"my {name} = '{'q' * 20}'" for name in ("apikey", "API-Key", "api_key", "Secret", "access_token", "accessToken", "access-token", "Authorization")]
+    texts.append('{"metric_key":"n_rows","tokens":{"input":3},"claimed_value":"' + "q" * 20 + '"}')
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    assert {r["i"] for r in secrets.scan_lines(frame, ["i"]).where("pattern = 'secret_assignment'").collect()} == set(range(8))
+    found = frame.select("i", secrets.found_patterns(F.col("value"), F.lower("value")).alias("found"))
+    assert [r["i"] for r in found.where("found is null").collect()] == [8]

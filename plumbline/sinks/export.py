@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,6 +15,8 @@ from plumbline.sources.secrets import refuse_secrets
 
 #: Largest file whose plain digest is taken, in one piece.
 WHOLE_BYTES = 64 << 20
+#: Tables written at a time: small ones fill the cores that the last tasks of a large one leave idle.
+WRITERS = 4
 MANIFEST_SCHEMA = "table_name string, path string, row_count bigint"
 
 
@@ -50,15 +53,23 @@ def export_runs(spark: SparkSession, root: str, out: str) -> DataFrame:
     """
     folder = open_runs(spark, root)
     refuse_secrets(spark, folder)
+    def written(named: tuple[str, DataFrame]) -> tuple[str, int, DataFrame]:
+        name, table = named
+        rows = write_counted(table, f"{out}/{name}")
+        return name, rows, spark.read.schema(table.schema).parquet(f"{out}/{name}")
+
     rows = {}
+    with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+        files = pool.submit(source_manifest(spark, folder).write.mode("overwrite").parquet, f"{out}/source_files")
 
-    def stored(name: str, table: DataFrame) -> DataFrame:
-        rows[name] = write_counted(table, f"{out}/{name}")
-        return spark.read.schema(table.schema).parquet(f"{out}/{name}")
+        def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            found = list(pool.map(written, tables.items()))
+            rows.update({name: n for name, n, _ in found})
+            return {name: table for name, _, table in found}
 
-    normalize_runs(read_artifacts(spark, folder), stored)
+        normalize_runs(read_artifacts(spark, folder), stored)
+        files.result()
     counts = [(name, name, rows[name]) for name in TABLES]
-    source_manifest(spark, folder).write.mode("overwrite").parquet(f"{out}/source_files")
     manifest = spark.createDataFrame(counts, MANIFEST_SCHEMA).withColumns(
         {
             "schema_version": F.lit(1),

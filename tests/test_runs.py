@@ -438,3 +438,12 @@ def test_only_what_can_be_a_secret_is_searched(spark):
     assert {r["i"] for r in secrets.scan_lines(frame, ["i"]).where("pattern = 'secret_assignment'").collect()} == set(range(8))
     found = frame.select("i", secrets.found_patterns(F.col("value"), F.lower("value")).alias("found"))
     assert [r["i"] for r in found.where("found is null").collect()] == [8]
+
+
+def test_claim_keys_are_not_sent_to_the_driver(spark, runs_dir, capsys):
+    import re
+
+    normalize_runs(read_artifacts(spark, runs_dir))["data_quality"].explain()
+    plan = capsys.readouterr().out
+    joins = re.findall(r"(\w+Join) \[run_id#\d+, claim_id#\d+\]", plan)
+    assert len(joins) >= 4 and set(joins) == {"SortMergeJoin"}
